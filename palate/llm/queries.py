@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, simhash
+from . import bpe, html_text, langid, line_dedup, mixing, quality, simhash, topk, toxicity, url_filter
 from .common import read_table
 
 
@@ -37,6 +37,62 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def remainder(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n (null id: null)."""
+    return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(n))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    dictionaries = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+#: Domains of the labelled table: texts of low quality, and the languages of the others; and the weights wanted for their tokens.
+MIX_TARGETS = {"de": 0.16, "en": 0.54, "es": 0.12, "fr": 0.15, "low": 0.03}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(text, domain) of labelled documents; the labels that may be used are bounded, so they can be broadcast."""
+    labels = read_table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.MAX_TRAIN)
+    rows = docs.join(F.broadcast(labels), "doc_id")  # MAX_TRAIN rows of two numbers
+    return rows.select("text", F.when(F.col("q") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return mixing.mix(docs.select("doc_id", "text"), labelled_domains(spark, sf_dir, docs), MIX_TARGETS).select("doc_id", "n_words", "posterior", "rate", "copies")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    machine = toxicity.learn(docs, read_table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.to_integers(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "vector")
+    return topk.top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -53,5 +109,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op8_line_dedup": op8_line_dedup}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html_text, op4_url_filter, op5_language, op6_mixing, op7_toxicity, op8_line_dedup, op9_quality, op10_topk)}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
