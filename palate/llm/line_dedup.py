@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, staged
 
 #: Defaults of the contract: keys of at least ten code points, found in at least two documents.
 MIN_CHARS = 10
@@ -40,6 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars).select("d", "th", "pos", *_hashes(F.col("key")))
     shared = lines.groupBy("h1", "h2").agg(F.min("d").alias("owner"), F.max("d").alias("last"), F.count_if(F.col("d").isNull()).alias("nulls"))
     shared = shared.filter((F.col("owner") < F.col("last")) | ((F.col("nulls") > 0) & F.col("owner").isNotNull())).select("h1", "h2", "owner")
+    shared = staged(shared)  # so that the join below has an exchange of its own on either side, which Spark splits where a line is hot
     lost = lines.join(shared, ["h1", "h2"]).filter(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "th", "pos")
     lost = lost.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("__lost"))
     keyed = base.withColumns({"__d": F.coalesce(F.col(id_col), F.lit(-1)), "__null": F.col(id_col).isNull(), "__th": F.xxhash64(text)})
