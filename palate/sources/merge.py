@@ -27,7 +27,7 @@ def coalescing_upsert(stored: DataFrame, arriving: DataFrame, *keys: str) -> Dat
     new = richest(arriving, *keys)
     rest = [c for c in stored.columns if c not in keys]
     both = stored.alias("o").join(new.alias("n"), list(keys), "full_outer")
-    value = lambda c: F.when(_blank(new, c, "n"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+    value = lambda c: F.when(_blank(new, c, "n"), F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))).otherwise(F.col(f"n.{c}"))
     return both.select(*keys, *((value(c) if c in new.columns else F.col(f"o.{c}")).alias(c) for c in rest))
 
 
