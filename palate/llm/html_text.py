@@ -190,11 +190,12 @@ def labels(found: list[Block], declared: str = "") -> list[bool]:
     n = len(found)
     before, after = [(BAD, n)] * n, [(BAD, n)] * n  # the nearest decided neighbour on either side and how far it is
     for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last: dict[int, tuple[str, int]] = {}  # by article; what is no part of an article by name is no neighbour in it
         for i in order:
-            into[i] = (last[0], abs(i - last[1])) if last else (BAD, n)
-            if first[i] in (GOOD, BAD):
-                last = (first[i], i)
+            own = found[i].home
+            into[i] = (last[own][0], abs(i - last[own][1])) if own in last else (BAD, n)
+            if first[i] in (GOOD, BAD) and not (own and found[i].away):
+                last[own] = (first[i], i)
     # a container that by its tag holds the article vouches for its undecided blocks if nothing in it was decided
     settled = {b.home for b, x in zip(found, first, strict=True) if b.home and x == GOOD}
     out = []
