@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and token pairs that a worker remembers before it starts afresh; memory only, results do not depend on them.
@@ -173,6 +175,7 @@ def _tokenizer(spec: str) -> BpeTokenizer:
 
 def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the ids of each whole text. ``tokenizer_json``: the file's content, sent to the executors once (a vocabulary: a few MB)."""
+    ship_package(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     @F.arrow_udf("array<int>")
@@ -189,6 +192,7 @@ def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col:
 
 def decode(df: DataFrame, tokenizer_json: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text that each id array stands for; bytes that are not UTF-8 become U+FFFD."""
+    ship_package(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     @F.arrow_udf("string")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import checkpointed, shared_folder, ship_package
+
+__all__ = ["ascii_lower", "checkpointed", "read_table", "shared_folder", "ship_package", "staged", "whole_texts", "words"]
+
+#: Rows of an Arrow batch for queries over whole texts: their workers hold some MB of text at a time.
+TEXTS_A_BATCH = 512
+
 #: The six ASCII white-space characters, as a class for Java and Python patterns and as a plain string.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,45 +21,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application, so that they need no install of it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="palate-py-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
+def whole_texts(spark: SparkSession) -> None:
+    """For the session: keep Arrow batches small, as rows are whole texts, and the package at hand on the executors."""
+    ship_package(spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    whole_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="palate-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; Spark deletes the files once the frame is no longer referenced (if so configured)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write the frame once as Parquet in the shared folder and read it back: columns stay prunable and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"

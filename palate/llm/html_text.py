@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 # Common function words of the languages that pages come in.
 STOP_WORDS = {
     "en": "a about after all also an and are as at be been but by can could did do for from had has have he her his how i if in into is it its more no not of on one or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your",
@@ -232,6 +234,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """Add the main text of each page."""
+    ship_package(pages.sparkSession)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: Bounds of what is learned: bytes of a dictionary, documents a language to fill it from, characters of these (longer ones come last), languages.
 DICT_BYTES, DOCS_PER_LANG, USUAL_CHARS, MAX_LANGS = 120_000, 120, 4_000, 200
 LEVEL, CHUNK_BYTES, MOST_SAVED = 6, 1_024, 0.12
@@ -91,6 +93,7 @@ def packed_sizes(text: str, packers: list[zstandard.ZstdCompressor]) -> np.ndarr
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """Add lang_pred, score and rejected."""
+    ship_package(docs.sparkSession)
     langs = list(dictionaries)
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGS * DICT_BYTES at most
 

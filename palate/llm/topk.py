@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ship_package, staged
 
 #: Vectors of a candidate block and of a query block; queries whose partial scores are held at once.
 CANDIDATES, QUERIES, AT_ONCE = 8_192, 2_048, 128
@@ -79,6 +79,7 @@ def _matrix(lists) -> np.ndarray:
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, vec_id, score): the exact top k of each query among all candidates but its own id. Vectors: array<bigint>."""
+    ship_package(candidates.sparkSession)
     c, q = (staged(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("id is not null and size(v) > 0")) for df in (candidates, queries))
     n_c, n_q = (max(1, -(-df.count() // size)) for df, size in ((c, CANDIDATES), (q, QUERIES)))
     blocks = lambda own, other, left: F.explode(F.transform(F.sequence(F.lit(0), F.lit(other - 1)), lambda o: (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(own)) * other + o) if left else (o * own + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(own)))))

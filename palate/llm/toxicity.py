@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: Hash buckets (a power of two), labelled documents that teach at most, inputs of the machine at most, factors.
 BUCKETS, MAX_TRAIN, MAX_TERMS, FACTORS = 1 << 18, 20_000, 4_096, 6
 STEPS, RATE, DECAY, SEED = 150, 0.1, 2e-3, 11
@@ -110,6 +112,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> tuple[fl
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fit on the documents of at most ``max_train`` labelled ids, picked evenly by a hash of the id."""
+    ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # max_train rows of two numbers
@@ -133,6 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Add each text's probability of being toxic."""
+    ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
