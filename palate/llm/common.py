@@ -24,6 +24,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def whole_texts(spark: SparkSession) -> None:
     """For the session: keep Arrow batches small, as rows are whole texts, and the package at hand on the executors."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_A_BATCH))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
