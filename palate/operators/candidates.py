@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import graph
 from .graph import satisfied
 
 SUPPRESSING = ("not_interested", "hidden", "seen_it")
@@ -32,16 +33,27 @@ def offered_items(items: DataFrame, as_of: datetime, min_scorers: int = 2000, al
 def eligible(users: DataFrame, offered: DataFrame, entries: DataFrame, feedback: DataFrame, franchise: DataFrame | None = None, closure: DataFrame | None = None, catalogue: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, franchise_id, known_franchise, format_class) for every user and item that nothing speaks against.
 
-    users x offered is the result's own size; listed and suppressed pairs and unmet prequels leave by anti-joins.
+    The result is near users x offered, so that product is made once, where the users already lie: what a user listed or dismissed
+    rides along as arrays no longer than the list, and no pair is shuffled. Titles with prequels come in from what users completed.
     """
     f = franchise.select("item_id", "franchise_id") if franchise is not None else offered.select("item_id", F.col("item_id").alias("franchise_id"))
     pool = offered.join(f, "item_id", "left").select("item_id", F.coalesce("franchise_id", "item_id").alias("franchise_id"), "format_class")
-    pairs = users.select("user_id").distinct().crossJoin(pool)
-    pairs = pairs.join(entries.select("user_id", "item_id").unionByName(suppressed(feedback)).distinct(), ["user_id", "item_id"], "left_anti")
+    met = entries.select("user_id", "item_id").join(f, "item_id", "left").select("user_id", "item_id", "franchise_id").unionByName(suppressed(feedback).withColumn("franchise_id", F.lit(None).cast("long")))
+    own = met.groupBy("user_id").agg(F.collect_set("item_id").alias("__out"), F.collect_set("franchise_id").alias("__known"))
     if closure is not None:
-        pairs = satisfied(pairs, closure, catalogue if catalogue is not None else offered, entries)
-    known = entries.select("user_id", "item_id").join(f, "item_id").select("user_id", "franchise_id").distinct().withColumn("known_franchise", F.lit(True))
-    return pairs.join(known, ["user_id", "franchise_id"], "left").fillna({"known_franchise": False})
+        items = catalogue if catalogue is not None else offered
+        free = pool.join(graph.requirements(closure, items), "item_id", "left_anti")
+        extra = graph.opened(closure, items, entries).groupBy("user_id").agg(F.collect_set("item_id").alias("__open"))
+        own = own.join(extra, "user_id", "left")
+    else:
+        free = pool
+        own = own.withColumn("__open", F.lit(None).cast("array<long>"))
+    rows = users.select("user_id").distinct().join(own, "user_id", "left")
+    known = F.coalesce(F.array_contains("__known", F.col("franchise_id")), F.lit(False)).alias("known_franchise")
+    open_ = rows.filter(F.size("__open") > 0).select("user_id", "__out", "__known", F.explode("__open").alias("item_id")).join(pool, "item_id") if closure is not None else None
+    pairs = rows.drop("__open").crossJoin(free)
+    pairs = pairs if open_ is None else pairs.unionByName(open_)
+    return pairs.filter(~F.coalesce(F.array_contains("__out", F.col("item_id")), F.lit(False))).select("user_id", "item_id", "franchise_id", known, "format_class")
 
 
 def dismissed_franchises(feedback: DataFrame, entries: DataFrame, franchise: DataFrame) -> DataFrame:
