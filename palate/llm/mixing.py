@@ -34,8 +34,8 @@ MAX_TRAIN, BUCKETS, STEPS, CLOSE = 4_000, 256, 40, 1e-3
 def _features(docs: DataFrame, text_col: str) -> DataFrame:
     """Add features: hashed words and the shares of capitals, digits and symbols; n_words: the words of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    share = lambda chars: F.coalesce(F.try_divide((F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("double"), F.char_length(text)), F.lit(0.0))
-    rows = docs.withColumn("__w", words(F.lower(text))).withColumns({"n_words": F.size("__w").cast("long"), "__marks": F.array(share("#*$%&|<>!"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"))})
+    share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), F.char_length(text)), F.lit(0.0))
+    rows = docs.withColumn("__w", words(F.lower(text))).withColumns({"n_words": F.size("__w").cast("long"), "__marks": F.array(share("[#*$%&|<>!]"), share("[A-Z]"), share("[0-9]"))})
     rows = Normalizer(inputCol="__tf", outputCol="__unit", p=2.0).transform(HashingTF(inputCol="__w", outputCol="__tf", numFeatures=BUCKETS).transform(rows))
     rows = rows.withColumns({f"__m{k}": F.col("__marks")[k] for k in range(3)})
     return VectorAssembler(inputCols=["__unit", "__m0", "__m1", "__m2"], outputCol="__x").transform(rows).drop("__w", "__tf", "__unit", "__marks", "__m0", "__m1", "__m2")
