@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -50,7 +51,7 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.asarray(self.encode(piece.encode()), np.int32).tobytes()
+        out = self.encode(piece.encode()).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES:
                 self.clear()
@@ -84,8 +85,9 @@ class BpeTokenizer:
         for token, i in vocab.items():
             if self._encodes_to_itself(i):
                 key = self.bytes_of[i].decode("latin-1")
-                self.automaton.add_word(key, (len(key), i))
+                self.automaton.add_word(key, (len(key) - 1, i))
         self.automaton.make_automaton()
+        self.size_of = [len(b) for b in self.bytes_of]
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.pieces = _Pieces(self._encode_piece)
@@ -128,23 +130,28 @@ class BpeTokenizer:
             found = self.pair_ok[key] = self._first_merge(a, b) is None
         return found
 
-    def _encode_piece(self, piece: bytes) -> list[int]:
-        last: list[tuple[int, int]] = [(0, -1)] * len(piece)  # (length, id) of each prefix's last token
-        done = -1
+    def _encode_piece(self, piece: bytes) -> array:
+        last = [-1] * len(piece)  # the last token of each prefix
+        known, done = self.pair_ok.get, -1
         for end, (n, token) in self.automaton.iter(piece.decode("latin-1")):
             if done == end:
                 continue
-            before = end - n
-            if before < 0 or (last[before][1] >= 0 and self.compatible(last[before][1], token)):
-                last[end], done = (n, token), end
-        ids, end = [], len(piece) - 1
+            if end == n:  # the token starts the piece; n is its length less one
+                last[end], done = token, end
+                continue
+            before = last[end - n - 1]
+            fits = known(before << 32 | token)
+            if fits or fits is None and before >= 0 and self.compatible(before, token):
+                last[end], done = token, end
+        ids, end, size = [], len(piece) - 1, self.size_of
         while end >= 0:
-            n, token = last[end]
+            token = last[end]
             if token < 0:
                 raise ValueError("the vocabulary lacks a byte")
             ids.append(token)
-            end -= n
-        return ids[::-1]
+            end -= size[token]
+        ids.reverse()
+        return array("i", ids)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as int32 bytes."""
