@@ -94,7 +94,7 @@ def user_neighbours(ratings: DataFrame, users: DataFrame, k: int = 50, shrink: f
     pairs = mine.join(centred.select(F.col("user_id").alias("other_id"), "item_id", F.col("c").alias("y")), "item_id").filter("user_id <> other_id").groupBy("user_id", "other_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count("*").alias("co"))
     sims = pairs.join(norms.withColumnRenamed("norm", "nu"), "user_id").join(norms.select(F.col("user_id").alias("other_id"), F.col("norm").alias("no")), "other_id")
     sims = sims.withColumn("sim", F.try_divide("dot", F.col("nu") * F.col("no")) * F.col("co") / (F.col("co") + shrink)).filter("sim > 0")
-    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("sim"), "other_id"))).filter(F.col("rank") <= k).select("user_id", "other_id", "sim", "co", "rank")
+    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("sim", 9)), "other_id"))).filter(F.col("rank") <= k).select("user_id", "other_id", "sim", "co", "rank")  # equal but for the order of a sum: the smaller id
 
 
 def evidence_lines(picks: DataFrame, values: DataFrame, evidence: DataFrame, top: int = 4) -> DataFrame:

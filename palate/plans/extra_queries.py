@@ -65,8 +65,8 @@ def fit_gate(t: Tables) -> DataFrame:
     return registry.gate(new, old, ("rmse",)).select("metric", *r6("change"), "ok")
 
 
-@query("sta7_user_neighbours", oracle("""SELECT user_id, other_id, round(sim, 6) AS sim, co FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other_id) AS k FROM (SELECT a.user_id AS user_id, b.user_id AS other_id, sum(a.c * b.c) / (any_value(a.norm) * any_value(b.norm)) * count(*) / (count(*) + 10.0) AS sim, count(*) AS co
-    FROM c a JOIN c b ON a.item_id = b.item_id AND a.user_id <> b.user_id WHERE a.user_id <= 20 GROUP BY 1, 2) WHERE sim > 0) WHERE k <= 10""", "rated", c="SELECT *, sqrt(sum(c * c) OVER (PARTITION BY user_id)) AS norm FROM (SELECT user_id, item_id, score - avg(score) OVER (PARTITION BY user_id) AS c FROM rated)"))
+@query("sta7_user_neighbours", oracle("""SELECT user_id, other_id, round(sim, 6) AS sim, co FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, other_id) AS k FROM (SELECT a.user_id AS user_id, b.user_id AS other_id, sum(a.c * b.c) / (any_value(a.norm) * any_value(b.norm)) * count(*) / (count(*) + 10.0) AS sim, count(*) AS co
+    FROM c a JOIN c b ON a.item_id = b.item_id AND a.user_id <> b.user_id AND a.norm > 0 AND b.norm > 0 WHERE a.user_id <= 20 GROUP BY 1, 2) WHERE sim > 0) WHERE k <= 10""", "rated", c="SELECT *, sqrt(sum(c * c) OVER (PARTITION BY user_id)) AS norm FROM (SELECT user_id, item_id, score - avg(score) OVER (PARTITION BY user_id) AS c FROM rated)"))
 def user_neighbours(t: Tables) -> DataFrame:
     asked = t.rated.filter("user_id <= 20").select("user_id").distinct()  # the users that are asked for
     return registry.user_neighbours(t.rated, asked, 10).select("user_id", "other_id", *r6("sim"), "co")
