@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input, against brute force; and what is planted must go while clean documents stay."""
 
+import numpy as np
 import pytest
 from test_exact import PATH, plain_lines
 from tokenizers import Tokenizer
@@ -80,3 +81,24 @@ def test_planted_copies(spark):
     got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {5: 3, 3: 3, 9: 3, 1: 1, 2: 2, 4: 2, 7: 7, 8: 7}
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited_copies(seed, n=300, length=400):
+    """A master and copies that overlap by 0.8 or more with it and less with one another, each with edits of its own."""
+    rng = np.random.default_rng(seed)
+    master = [f"m{seed}x{i}" for i in range(length)]
+    rows = [(1000 * seed + n, " ".join(master))]
+    for k in range(n):
+        words = list(master)
+        for at in rng.choice(length // 8, 8, replace=False) * 8:
+            words[at + 4] = f"e{seed}x{k}x{at}"
+        rows.append((1000 * seed + k, " ".join(words)))
+    return rows
+
+
+def test_copies_that_only_the_master_joins(spark):
+    rows = edited_copies(1)
+    texts = dict(rows)
+    assert overlap(texts[1000], texts[1300]) >= 0.8 > overlap(texts[1000], texts[1001])
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(c == 1000 for c in got.values()) >= 0.97 * len(rows)
