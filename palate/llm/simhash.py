@@ -103,12 +103,23 @@ def fingerprint_column(text_col: str = "text", shingle: int = SHINGLE) -> Column
     return of(F.col(text_col))
 
 
+def content_key(h: np.ndarray) -> np.ndarray:
+    """128 bits of the set of shingles, as two words."""
+    return np.frombuffer(xxhash.xxh3_128_digest(np.unique(h).tobytes(), SEED), np.uint64)
+
+
 def wide_column(text_col: str, shingle: int, words: int) -> Column:
+    """The two words of the content key, then those of the wide fingerprint."""
+
+    def both(text: str | None) -> np.ndarray:
+        h = shingle_hashes(text, shingle)
+        return np.concatenate([content_key(h), wide_fingerprint(h, words)])
+
     @F.arrow_udf("array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            flat = np.concatenate([*(wide_fingerprint(shingle_hashes(t, shingle), words) for t in texts.to_pylist()), np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, words, dtype=np.int32)), pa.array(flat))
+            flat = np.concatenate([*map(both, texts.to_pylist()), np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, words + 2, dtype=np.int32)), pa.array(flat))
 
     return of(F.col(text_col))
 
@@ -423,11 +434,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every link is checked exactly. Dense buckets first offer a spanning forest; then all of their pairs that the links found so far do
     not join, since a pair may overlap enough where the tree's pairs do not. Finding them is a matter of chance: at an overlap of 0.8 about 13 in 100 bits differ, and a pair
     shares one of the 48 bands in more than 99 of 100 cases; at 20 differing bits in 100, in 3 of 4. Texts without a word are copies
-    of one another. Equal wide fingerprints count as copies without a further check. Null ids take part as in ``near_duplicates``.
+    of one another. Texts of one set of shingles (128 bits of it) count as copies without a further check. Null ids take part as in ``near_duplicates``.
     """
     ship_package(docs.sparkSession)
-    prints = staged(docs.select(F.col(id_col).alias("id"), wide_column(text_col, shingle, WIDE).alias("wide")))
-    nodes = staged(prints.groupBy("wide").agg(F.min("id").alias("node")))
+    made = docs.select(F.col(id_col).alias("id"), wide_column(text_col, shingle, WIDE).alias("w"))
+    prints = staged(made.select("id", F.slice("w", 1, 2).alias("content"), F.slice("w", 3, WIDE).alias("wide")))
+    nodes = staged(prints.groupBy("content").agg(F.min("id").alias("node"), F.min("wide").alias("wide")))  # equal contents, equal prints
     per_word = 64 // BAND
     bands = F.array(*(F.lit(k << 32).bitwiseOR(F.shiftrightunsigned(F.col("wide")[k // per_word], BAND * (k % per_word)).bitwiseAND(F.lit((1 << BAND) - 1))) for k in range(WIDE * per_word)))
     keyed = nodes.filter("node is not null").select(F.col("wide")[0].alias("fp"), "node", F.explode(bands).alias("key"))
@@ -441,5 +453,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rest = _met(keyed.join(staged(labelled), "node").select("fp", "node", "label", "key"), _bucket_rest(APART), chunk)
         alike = alike.unionByName(_overlapping(checkpointed(rest), texts, shingle, similarity))
     groups = components(alike)
-    labelled = nodes.join(groups, nodes["node"] == groups["v"], "left").select("wide", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, "wide").select(F.col("id").alias(id_col), "component_id")
+    labelled = nodes.join(groups, nodes["node"] == groups["v"], "left").select("content", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(labelled, "content").select(F.col("id").alias(id_col), "component_id")

@@ -102,3 +102,10 @@ def test_copies_that_only_the_master_joins(spark):
     assert overlap(texts[1000], texts[1300]) >= 0.8 > overlap(texts[1000], texts[1001])
     got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sum(c == 1000 for c in got.values()) >= 0.97 * len(rows)
+
+
+def test_one_repeated_run_makes_no_copies(spark):
+    rows = [(i, "0 " * 500 + " ".join(f"t{i}w{k}" for k in range(60))) for i in range(6)]
+    rows += [(10, rows[0][1]), (11, "0 " * 300 + rows[0][1])]  # the same set of shingles
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: i for i in range(6)} | {10: 0, 11: 0}
