@@ -109,3 +109,29 @@ def test_one_repeated_run_makes_no_copies(spark):
     rows += [(10, rows[0][1]), (11, "0 " * 300 + rows[0][1])]  # the same set of shingles
     got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {i: i for i in range(6)} | {10: 0, 11: 0}
+
+
+def test_recall_of_links_just_over_the_bound(spark):
+    """Pairs that overlap by 0.80 to 0.83, and pairs that differ in how often a passage is repeated, too."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(1500):
+        n = int(rng.integers(60, 400))
+        words = [f"r{i}x{k}" for k in range(n)]
+        cut = round(0.183 * n)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[cut:]))]
+    for i in range(1500, 1600):
+        words = " ".join(f"r{i}x{k}" for k in range(100))
+        rows += [(2 * i, words), (2 * i + 1, words + " go" + f" r{i} say it all again" * 400)]
+    texts = dict(rows)
+    linked = [i for i in range(1600) if 0.8 <= overlap(texts[2 * i], texts[2 * i + 1]) < (0.83 if i < 1500 else 1)]
+    assert len(linked) > 1000 and linked[-1] >= 1500
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    for some in ([i for i in linked if i < 1500], [i for i in linked if i >= 1500]):
+        assert sum(got[2 * i] == got[2 * i + 1] for i in some) >= 0.99 * len(some)
+
+
+def test_short_texts_meet(spark):
+    """Four shingles of five are shared."""
+    rows = [(10 * i + k, " ".join(f"s{i}x{j}" for j in range(9 - k))) for i in range(600) for k in range(2)]
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert sum(got[10 * i + 1] == 10 * i for i in range(600)) >= 0.99 * 600
