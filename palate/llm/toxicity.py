@@ -2,7 +2,8 @@
 
 Terms are the words of a text and their beginnings (inflected insults share those), hashed and taken once a text. On a bounded
 sample of labelled texts, Spark counts which terms go with the label; the telling ones become the machine's inputs, so that a long
-text is not judged by thousands of noise terms. Linear weights and pairwise factors are then fitted with Adam in NumPy; the factors
+text is not judged by thousands of noise terms. A term that tells nothing by itself becomes an input, too, if beside another term it
+changes what that one says. Linear weights and pairwise factors are then fitted with Adam in NumPy; the factors
 learn what linear weights cannot, such as an insult that counts beside the mention of a group only.
 
 Odd cases: null and empty texts get the score of the bias alone; without labels, or with labels of one kind, every text gets the
@@ -21,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import checkpointed, ship_package
 
 #: Hash buckets (a power of two), labelled documents that teach at most, inputs of the machine at most, factors.
 BUCKETS, MAX_TRAIN, MAX_TERMS, FACTORS = 1 << 18, 20_000, 4_096, 6
 STEPS, RATE, DECAY, SEED = 150, 0.1, 2e-3, 11
 #: Least documents of a term, least association with the label (G-squared) and least change of the odds for it to become an input.
 MIN_DOCS, MIN_GAIN, MIN_ODDS = 2, 8.0, 2.0
+#: Terms (the most frequent ones and the telling ones) whose pairs are looked at, least documents with both, one or none of a pair,
+#: least evidence (z squared) that two terms say together what the telling ones have missed, and inputs at most that come by pairs.
+PAIR_TERMS, PAIR_DOCS, PAIR_GAIN, MAX_PAIRED = 2_048, 5, 32.0, 256
 PREFIXES = (3, 4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,7 +82,9 @@ class FactorizationMachine:
 
     def score(self, text: str | None) -> float:
         x = self.place[hashed_terms(text)]
-        x = x[x >= 0]
+        return self.of_inputs(x[x >= 0])
+
+    def of_inputs(self, x: np.ndarray) -> float:
         v = self.factors[x]
         z = self.bias + self.linear[x].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
@@ -110,6 +116,32 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> tuple[fl
     return float(bias[0]), w, v
 
 
+def telling_pairs(of: np.ndarray, cols: np.ndarray, y: np.ndarray, p: np.ndarray, n_terms: int) -> np.ndarray:
+    """The terms, best first, that together with another term say what the model has missed: the contrast of the mean residuals of the
+    texts with both, one and none. of, cols: the document and the term of each entry, documents ascending; p: the model's scores."""
+    n, residual = len(y), y - p
+    spread = np.maximum(p * (1 - p), 0.02)
+    sums = [np.zeros((n_terms, n_terms), np.float32) for _ in range(3)]  # documents with both terms, their residuals, their variance
+    alone, total = [np.zeros(n_terms) for _ in range(3)], (float(n), residual.sum(), spread.sum())
+    for at in range(0, n, 2_048):
+        a, b = np.searchsorted(of, [at, at + 2_048])
+        x = np.zeros((min(2_048, n - at), n_terms), np.float32)
+        x[of[a:b] - at, cols[a:b]] = 1
+        for k, w in enumerate((None, residual[at : at + 2_048], spread[at : at + 2_048])):
+            sums[k] += x.T @ (x if w is None else x * w[:, None].astype(np.float32))
+            alone[k] += x.sum(0) if w is None else x.T @ w
+    best = np.zeros(n_terms)
+    for at in range(0, n_terms, 128):
+        s = slice(at, at + 128)
+        cells = [[m[s], one[s, None] - m[s], one[None] - m[s], whole - one[s, None] - one[None] + m[s]] for m, one, whole in zip(sums, alone, total, strict=True)]
+        held = np.maximum(cells[0], 1)
+        change = sum(sign * r / h for sign, r, h in zip((1, -1, -1, 1), cells[1], held, strict=True))
+        variance = sum(np.maximum(v, 0.01) / h**2 for v, h in zip(cells[2], held, strict=True))
+        best[s] = np.where(np.min(cells[0], 0) >= PAIR_DOCS, change**2 / variance, 0).max(1, initial=0)
+    found = np.argsort(-best, kind="stable")
+    return found[best[found] >= PAIR_GAIN]
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fit on the documents of at most ``max_train`` labelled ids, picked evenly by a hash of the id."""
     ship_package(docs.sparkSession)
@@ -125,13 +157,34 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = [(F.col("c1"), F.col("c") * n1 / n), (F.col("c") - F.col("c1"), F.col("c") * (n - n1) / n), (n1 - F.col("c1"), (n - F.col("c")) * n1 / n), ((n - F.col("c")) - (n1 - F.col("c1")), (n - F.col("c")) * (n - n1) / n)]
     gain = sum((F.when(o > 0, 2 * o * F.ln(o / F.greatest(e, F.lit(1e-9)))).otherwise(0.0) for o, e in both), F.lit(0.0))
     odds = F.ln((F.col("c1") + 0.5) / (F.col("c") - F.col("c1") + 0.5) * ((n - n1 + 0.5) / (n1 + 0.5)))
-    chosen = counts.withColumn("gain", gain).filter((F.col("gain") >= MIN_GAIN) & (F.abs(odds) >= float(np.log(MIN_ODDS)))).orderBy(F.desc("gain"), "t").limit(MAX_TERMS)
-    terms = [r["t"] for r in chosen.select("t").collect()]
-    place[terms] = np.arange(len(terms))
+    counts = checkpointed(counts.withColumns({"gain": gain, "telling": (gain >= MIN_GAIN) & (F.abs(odds) >= float(np.log(MIN_ODDS)))}))
+    terms = [r["t"] for r in counts.filter("telling").orderBy(F.desc("gain"), "t").limit(MAX_TERMS).select("t").collect()]
+    apart = F.least(F.col("c"), n - F.col("c"))
+    often = [r["t"] for r in counts.filter(apart >= 2 * PAIR_DOCS).orderBy(F.desc(apart), "t").limit(PAIR_TERMS).select("t").collect()]
+    pool = list(dict.fromkeys([*terms, *often]))
+    place[pool] = np.arange(len(pool))
     got = taught.select("y", _term_column("text", place).alias("x")).toArrow()
-    x = got.column("x").to_pylist()
-    bias, w, v = fit_machine([np.asarray(r, np.int32) for r in x], got.column("y").to_numpy().astype(float), max(1, len(terms)))
-    return FactorizationMachine(bias, place, w, v)
+    x, y = got.column("x").combine_chunks(), got.column("y").to_numpy().astype(float)
+    of, cols = np.repeat(np.arange(len(y)), x.value_lengths().to_numpy()), x.flatten().to_numpy()
+    looked = np.unique(np.concatenate([np.arange(min(len(terms), PAIR_TERMS)), place[often]]).astype(np.int64))
+    at = np.full(len(pool) + 1, -1)
+    at[looked] = np.arange(len(looked))
+    seen = at[cols] >= 0
+    ends = np.cumsum(x.value_lengths().to_numpy())[:-1]
+
+    def fitted(inputs: list[int]) -> tuple[FactorizationMachine, list[np.ndarray]]:
+        at = np.full(len(pool) + 1, -1, np.int32)
+        at[inputs] = np.arange(len(inputs))
+        rows = [(r := at[part])[r >= 0] for part in np.split(cols, ends)]
+        of_input = np.full(BUCKETS, -1, np.int32)
+        of_input[[pool[k] for k in inputs]] = np.arange(len(inputs))
+        bias, w, v = fit_machine(rows, y, max(1, len(inputs)))
+        return FactorizationMachine(bias, of_input, w, v), rows
+
+    machine, rows = fitted([*range(len(terms))])
+    paired = looked[telling_pairs(of[seen], at[cols[seen]], y, np.array([machine.of_inputs(r) for r in rows]), len(looked))]
+    paired = paired[paired >= len(terms)][:MAX_PAIRED].tolist()
+    return fitted([*range(len(terms)), *paired])[0] if paired else machine
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:

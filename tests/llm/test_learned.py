@@ -110,6 +110,20 @@ def test_factors_learn_what_weights_cannot():
     assert np.mean((z > 0) == (y > 0)) > 0.99
 
 
+def test_toxic_by_combination_only(spark):
+    """Neither term goes with the label by itself; learned from texts, among others that say nothing."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1200):
+        a, b = (rng.random(2) < 0.5).astype(int).tolist()
+        words = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}u" for k in rng.choice(100, 25, replace=False)] + ["vexno"] * a + ["wibqe"] * b
+        rows.append((i, " ".join(rng.permutation(words)), int(a != b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.learn(df, df.filter("doc_id < 900"))
+    held_out = toxicity.score(df.filter("doc_id >= 900"), machine).collect()
+    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in held_out]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string")
     none = spark.createDataFrame([(1, None), (9, 1)], "doc_id long, toxic int")
