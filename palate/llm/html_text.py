@@ -12,6 +12,7 @@ length are read whole, in linear time; other columns stay as they are (one named
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,39 +49,45 @@ AWAY = re.compile(
     re.I,
 )
 HOME = re.compile(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?(?:main|article)\b|(?:class|id)\s*=\s*[\"']?[^\"'>]*\b(?:article-?body|entry-?content|post-?content|article-?content|story-?body)\b", re.I)
-NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'>]*+>))*+)(?:>|\Z))", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Thresholds of the first pass: characters of a short and of a long block, link and stop-word densities.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.12, 0.2
+#: Share of the page's text over which a container's name does not count, and stop-word density of a page under which no list fits.
+BULK, FITS = 0.75, 0.05
 
 _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
 
 
 class Block:
-    __slots__ = ("away", "heading", "home", "linked", "text")
+    """away: by its tags or hidden; named, around: the containers that by name hold no article, within the article and around it."""
 
-    def __init__(self, text: str, linked: int, away: bool, home: int, heading: bool):
-        self.text, self.linked, self.away, self.home, self.heading = text, linked, away, home, heading
+    __slots__ = ("around", "away", "heading", "home", "linked", "named", "text")
+
+    def __init__(self, text: str, linked: int, away: bool, named: tuple[int, ...], around: tuple[int, ...], home: int, heading: bool):
+        self.text, self.linked, self.away, self.named, self.around, self.home, self.heading = text, linked, away, named, around, home, heading
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, each with the characters of it that are links and the kind of container around it."""
     out: list[Block] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, int]] = []  # name, holds no article, number of the article around
-    linked = in_link = n_home = breaks = 0
-    away, home, heading = False, 0, False
+    # name, holds no article by its tags, containers that by name hold none within and around the article, number of the article around
+    open_tags: list[tuple[str, bool, tuple[int, ...], tuple[int, ...], int]] = []
+    linked = in_link = n_home = n_named = breaks = 0
+    outside = (False, (), (), 0)
+    (away, named, around, home), heading = outside, False
 
     def flush() -> None:
         nonlocal linked, breaks
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, linked, away, home, heading))
+                out.append(Block(text, linked, away, named, around, home, heading))
             parts.clear()
         linked = breaks = 0
 
@@ -119,7 +126,7 @@ def blocks(html: str) -> list[Block]:
             if any(t[0] == name for t in open_tags):
                 while open_tags.pop()[0] != name:
                     pass
-                away, home = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, 0)
+                away, named, around, home = open_tags[-1][1:] if open_tags else outside
             if name in HEADINGS:
                 heading = False
             continue
@@ -145,7 +152,7 @@ def blocks(html: str) -> list[Block]:
             breaks = 0
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == name:
                 open_tags.pop()
-                away, home = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, 0)
+                away, named, around, home = open_tags[-1][1:] if open_tags else outside
             heading = name in HEADINGS
         if name in VOID:
             continue
@@ -154,11 +161,14 @@ def blocks(html: str) -> list[Block]:
             if name in ("article", "main") or (attrs and HOME.search(attrs)):
                 if not home:
                     n_home += 1
-                    home = n_home
+                    home, named, around = n_home, (), named
             elif name == "header" and not home:
                 away = True
-            away = away or name in APART or bool(names and name not in ("body", "html", "main") and AWAY.search(names)) or bool(attrs and UNSEEN.search(attrs))
-            open_tags.append((name, away, home))
+            away = away or name in APART or bool(attrs and UNSEEN.search(attrs))
+            if names and name not in ("body", "html", "main") and AWAY.search(names):
+                n_named += 1
+                named = (*named, n_named)
+            open_tags.append((name, away, named, around, home))
     flush()
     return out
 
@@ -170,16 +180,45 @@ def _language(found: list[Block], declared: str) -> frozenset[str]:
     return max(_STOPS.values(), key=lambda stops: sum(w in stops for w in seen))
 
 
+def _apart(found: list[Block]) -> list[bool]:
+    """Whether each block is out by its containers. A name does not put out what is over ``BULK`` of the page's text, nor, if no other
+    article is left, an article inside."""
+    held: Counter[int] = Counter()
+    for b in found:
+        if not b.away:
+            for c in (*b.named, *b.around):
+                held[c] += len(b.text)
+    total = sum(len(b.text) for b in found if not b.away)
+    counts = {c for c, size in held.items() if size <= BULK * total}
+    named, around = [not counts.isdisjoint(b.named) for b in found], [not counts.isdisjoint(b.around) for b in found]
+    homes = any(b.home and not (b.away or x or y) for b, x, y in zip(found, named, around, strict=True))
+    return [b.away or x or (y and (homes or not b.home)) for b, x, y in zip(found, named, around, strict=True)]
+
+
 def labels(found: list[Block], declared: str = "") -> list[bool]:
-    """Whether each block belongs to the article."""
+    """Whether each block belongs to the article. If none seems to, names of containers count no more; then, neither does density."""
+    out = _labels(found, declared, _apart(found))
+    if not any(out):
+        away = [b.away for b in found]
+        out = _labels(found, declared, away)
+        if not any(out):
+            plain = [not x and b.linked <= LINKS * len(b.text) and bool(WORD.search(b.text)) for b, x in zip(found, away, strict=True)]
+            long = [x and len(b.text) >= SHORT for b, x in zip(found, plain, strict=True)]
+            out = long if any(long) else plain
+    return out
+
+
+def _labels(found: list[Block], declared: str, away: list[bool]) -> list[bool]:
     stops = _language(found, declared)
-    has_home = any(b.home and not b.away for b in found)
+    said = [w for b, x in zip(found, away, strict=True) if not x and b.linked <= LINKS * len(b.text) for w in WORD.findall(b.text.lower())]
+    fits = sum(w in stops for w in said) >= FITS * len(said)  # else the page is in no language that has a list
+    has_home = any(b.home and not x for b, x in zip(found, away, strict=True))
     first: list[str] = []
-    for b in found:
+    for b, apart in zip(found, away, strict=True):
         words = WORD.findall(b.text.lower())
-        density = sum(w in stops for w in words) / len(words) if words else 0.0
+        density = (sum(w in stops for w in words) / len(words) if fits else 1.0) if words else 0.0
         size, links = len(b.text), b.linked / len(b.text)
-        if b.away or (has_home and not b.home) or links > LINKS:
+        if apart or (has_home and not b.home) or links > LINKS:
             first.append(BAD)
         elif size < SHORT:
             first.append(BAD if links > 0 and not b.home else BRIEF)
@@ -196,7 +235,7 @@ def labels(found: list[Block], declared: str = "") -> list[bool]:
         for i in order:
             own = found[i].home
             into[i] = (last[own][0], abs(i - last[own][1])) if own in last else (BAD, n)
-            if first[i] in (GOOD, BAD) and not (own and found[i].away):
+            if first[i] in (GOOD, BAD) and not (own and away[i]):
                 last[own] = (first[i], i)
     # a container that by its tag holds the article vouches for its undecided blocks if nothing in it was decided
     settled = {b.home for b, x in zip(found, first, strict=True) if b.home and x == GOOD}

@@ -31,6 +31,25 @@ CASES = {
 }
 
 
+NAV = '<nav><a href="/a">Menu one</a></nav>'
+RUSSIAN = "Вчера вечером жители города собрались у реки посмотреть на лодки, которые пришли с моря, и старики рассказывали детям истории о былых временах. "
+SHORT_LINES = ["Whose woods these are I think I know", "His house is in the village though", "He will not see me stopping here"]
+WHOLE = {
+    "page named for its sidebar": (f'<div class="page no-sidebar">{NAV}<div><p>{PARA}</p><p>{PARA}</p></div></div>', "en", f"{PARA}\n\n{PARA}"),
+    "article in a named container": (f'<div class="container with sidebar">{NAV}<article><p>{PARA}</p><div class="ads">{PARA}</div></article></div><p>{PARA} {PARA} {PARA}</p>', "en", PARA),
+    "aria-label": (f'<article aria-label="How search works"><p>{PARA}</p></article>', "en", PARA),
+    "comments beside the article": (f'<article><p>{PARA}</p></article><section id="comments"><article><p>{PARA} {PARA}</p></article></section>', "en", PARA),
+    "no stop-word list": (f"{NAV}<div><p>{RUSSIAN * 2}</p><p>{RUSSIAN}</p></div>", "ru", f"{(RUSSIAN * 2).strip()}\n\n{RUSSIAN.strip()}"),
+    "short lines": (NAV + "".join(f"<p>{x}</p>" for x in SHORT_LINES), "en", "\n\n".join(SHORT_LINES)),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_article_is_lost_by_a_name_or_a_threshold(name):
+    body, lang, want = WHOLE[name]
+    assert html_text.main_text(page(body, lang)) == want
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_main_text(name):
     body, want = CASES[name]
