@@ -121,19 +121,23 @@ def telling_pairs(of: np.ndarray, cols: np.ndarray, y: np.ndarray, p: np.ndarray
     texts with both, one and none. of, cols: the document and the term of each entry, documents ascending; p: the model's scores."""
     n, residual = len(y), y - p
     spread = np.maximum(p * (1 - p), 0.02)
-    sums = [np.zeros((n_terms, n_terms), np.float32) for _ in range(3)]  # documents with both terms, their residuals, their variance
-    alone, total = [np.zeros(n_terms) for _ in range(3)], (float(n), residual.sum(), spread.sum())
-    for at in range(0, n, 2_048):
-        a, b = np.searchsorted(of, [at, at + 2_048])
-        x = np.zeros((min(2_048, n - at), n_terms), np.float32)
+    weights = np.stack([np.ones(n), residual, spread]).astype(np.float32)
+    bits, step = np.zeros((n, (n_terms + 7) // 8), np.uint8), 1_024  # packed, as the driver holds it
+    for at in range(0, n, step):
+        a, b = np.searchsorted(of, [at, at + step])
+        x = np.zeros((min(step, n - at), n_terms), np.uint8)
         x[of[a:b] - at, cols[a:b]] = 1
-        for k, w in enumerate((None, residual[at : at + 2_048], spread[at : at + 2_048])):
-            sums[k] += x.T @ (x if w is None else x * w[:, None].astype(np.float32))
-            alone[k] += x.sum(0) if w is None else x.T @ w
+        bits[at : at + step] = np.packbits(x, axis=1)
+    blocks = lambda: ((weights[:, at : at + step], np.unpackbits(bits[at : at + step], axis=1, count=n_terms).astype(np.float32)) for at in range(0, n, step))
+    alone, total = sum((w @ x for w, x in blocks()), np.zeros((3, n_terms))), weights.sum(1, dtype=float)
     best = np.zeros(n_terms)
     for at in range(0, n_terms, 128):
         s = slice(at, at + 128)
-        cells = [[m[s], one[s, None] - m[s], one[None] - m[s], whole - one[s, None] - one[None] + m[s]] for m, one, whole in zip(sums, alone, total, strict=True)]
+        sums = np.zeros((3, len(best[s]), n_terms), np.float32)  # documents with both terms, their residuals, their variance
+        for w, x in blocks():
+            for k in range(3):
+                sums[k] += (x[:, s] * w[k][:, None]).T @ x
+        cells = [[m, one[s, None] - m, one[None] - m, whole - one[s, None] - one[None] + m] for m, one, whole in zip(sums, alone.astype(np.float32), total.astype(np.float32), strict=True)]
         held = np.maximum(cells[0], 1)
         change = sum(sign * r / h for sign, r, h in zip((1, -1, -1, 1), cells[1], held, strict=True))
         variance = sum(np.maximum(v, 0.01) / h**2 for v, h in zip(cells[2], held, strict=True))
@@ -164,13 +168,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pool = list(dict.fromkeys([*terms, *often]))
     place[pool] = np.arange(len(pool))
     got = taught.select("y", _term_column("text", place).alias("x")).toArrow()
-    x, y = got.column("x").combine_chunks(), got.column("y").to_numpy().astype(float)
-    of, cols = np.repeat(np.arange(len(y)), x.value_lengths().to_numpy()), x.flatten().to_numpy()
+    x, y = got.column("x"), got.column("y").to_numpy().astype(float)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in x.chunks])
+    cols = np.concatenate([c.flatten().to_numpy().astype(np.int16) for c in x.chunks])  # the pool is smaller than that
+    del got, x
     looked = np.unique(np.concatenate([np.arange(min(len(terms), PAIR_TERMS)), place[often]]).astype(np.int64))
-    at = np.full(len(pool) + 1, -1)
-    at[looked] = np.arange(len(looked))
-    seen = at[cols] >= 0
-    ends = np.cumsum(x.value_lengths().to_numpy())[:-1]
+    ends = np.cumsum(sizes)[:-1]
 
     def fitted(inputs: list[int]) -> tuple[FactorizationMachine, list[np.ndarray]]:
         at = np.full(len(pool) + 1, -1, np.int32)
@@ -182,7 +185,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return FactorizationMachine(bias, of_input, w, v), rows
 
     machine, rows = fitted([*range(len(terms))])
-    paired = looked[telling_pairs(of[seen], at[cols[seen]], y, np.array([machine.of_inputs(r) for r in rows]), len(looked))]
+    scores = np.array([machine.of_inputs(r) for r in rows])
+    del rows
+    at = np.full(len(pool) + 1, -1, np.int16)
+    at[looked] = np.arange(len(looked))
+    seen = at[cols] >= 0
+    of = np.repeat(np.arange(len(y), dtype=np.int32), sizes)[seen]
+    paired = looked[telling_pairs(of, at[cols[seen]], y, scores, len(looked))]
     paired = paired[paired >= len(terms)][:MAX_PAIRED].tolist()
     return fitted([*range(len(terms)), *paired])[0] if paired else machine
 
