@@ -423,12 +423,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, APART, WIDE_APART, FEW = 12, 22, 208, 20
 
 
-def _bands() -> Column:
-    """The keys of 96 bands of 16 bits: the quarters of each word of ``wide``, then groups of four bits that lie a quarter of it apart."""
-    quarters = [F.shiftrightunsigned(F.col("wide")[k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)) for k in range(4 * WIDE)]
-    four = lambda q: F.shiftrightunsigned(F.col("wide")[q // 16], 4 * (q % 16)).bitwiseAND(F.lit(0xF))
-    spread = [sum((F.shiftleft(four(k + 4 * WIDE * i), 4 * i) for i in range(1, 4)), four(k)) for k in range(4 * WIDE)]
-    return F.array(*(F.lit(k << 32).bitwiseOR(bits) for k, bits in enumerate(quarters + spread)))
+def band_column(wide_col: str) -> Column:
+    """The keys of 96 bands of 16 bits: the quarters of each word, then groups of four bits that lie a quarter of the print apart."""
+
+    @F.arrow_udf("array<long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for wide in batches:
+            words = np.ascontiguousarray(wide.flatten().to_numpy()).reshape(-1, WIDE)
+            fours = np.stack([words.view(np.uint8) & 15, words.view(np.uint8) >> 4], 2).reshape(len(words), 4, 4 * WIDE).astype(np.int64)
+            keys = np.concatenate([words.view(np.uint16).astype(np.int64), (fours << np.arange(0, 16, 4)[:, None]).sum(1)], 1)
+            keys |= np.arange(8 * WIDE, dtype=np.int64) << 32
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 8 * WIDE, dtype=np.int32)), pa.array(keys.ravel()))
+
+    return of(F.col(wide_col))
 
 
 def _close(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -463,7 +470,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # equal contents have equal prints
     nodes = staged(prints.groupBy("content").agg(F.min("id").alias("node"), F.min("wide").alias("wide"), F.min("least").alias("least")))
     numbered = nodes.filter("node is not null")
-    keyed = numbered.select(F.col("wide")[0].alias("fp"), "node", F.explode(F.concat(_bands(), "least")).alias("key"))
+    keyed = numbered.select(F.col("wide")[0].alias("fp"), "node", F.explode(F.concat(band_column("wide"), "least")).alias("key"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     offered = _close(_met(keyed, _bucket_offers(APART), chunk), numbered)
     alike = _overlapping(offered.filter("a <> b"), texts, shingle, similarity)
