@@ -26,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import fresh, ship_package, slices
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and token pairs that a worker remembers before it starts afresh; memory only, results do not depend on them.
-PIECES, PAIRS, LONGEST_KEPT = 200_000, 500_000, 200
+#: Characters of pieces and number of token pairs that a task remembers before it starts afresh, and the longest piece remembered:
+#: some 60 MB in all. Memory only, results do not depend on them.
+PIECE_CHARS, PAIRS, LONGEST_KEPT = 600_000, 250_000, 200
 
 _NEVER = 1 << 60
 
@@ -43,19 +44,35 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _refuse_unknown(spec: dict) -> None:
+    """Settings of the file that would change ids and that are not built here are refused, not ignored."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError("a plain byte-level BPE model is needed")
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only the byte-level pre-tokenizer without normalizer and prefix space is known")
+    if any(t.get(flag) for t in spec.get("added_tokens") or [] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("added tokens may not be stripped, normalized or bound to whole words")
+
+
 class _Pieces(dict):
     """Piece -> its ids as int32 bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.chars = encode, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.chars = 0
 
     def __missing__(self, piece: str) -> bytes:
         out = self.encode(piece.encode()).tobytes()
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECES:
+            if self.chars >= PIECE_CHARS:
                 self.clear()
             self[piece] = out
+            self.chars += len(piece)
         return out
 
 
@@ -64,6 +81,7 @@ class BpeTokenizer:
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
+        _refuse_unknown(spec)
         model, alphabet = spec["model"], byte_alphabet()
         to_bytes = lambda token: bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         vocab: dict[str, int] = model["vocab"]
@@ -180,37 +198,59 @@ def _tokenizer(spec: str) -> BpeTokenizer:
     return _loaded[key]
 
 
-def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add the ids of each whole text. ``tokenizer_json``: the file's content, sent to the executors once (a vocabulary: a few MB)."""
+def _id_lists(tokenizer: BpeTokenizer, texts: pa.Array) -> pa.Array:
+    parts = [tokenizer.encode_bytes(t) if t else b"" for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
+
+
+def _decoded(tokenizer: BpeTokenizer, lists: pa.Array) -> pa.Array:
+    get, size = tokenizer.bytes_of.__getitem__, len(tokenizer.bytes_of)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+    if lists.flatten().null_count or len(flat) and (flat.min() < 0 or flat.max() >= size):
+        return pa.array([tokenizer.decode([i for i in x or [] if i is not None]) for x in lists.to_pylist()], pa.string())
+    return pa.array([b"".join(map(get, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in pairwise(ends.tolist())], pa.string())
+
+
+def _with(df: DataFrame, tokenizer_json: str, kind: str, work):
+    """An Arrow UDF of ``work(tokenizer, batch)``. The vocabulary travels once; what a task remembered is dropped at its end."""
     ship_package(df.sparkSession)
-    spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
+    spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: a few MB
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _tokenizer(spec.value)
-        for texts in batches:
-            parts = [tokenizer.encode_bytes(t) if t else b"" for t in texts.to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(parts), np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        try:
+            for batch in batches:
+                yield from work(tokenizer, batch)
+        finally:
+            tokenizer.pieces.clear()
+            tokenizer.pair_ok.clear()
+
+    return run
 
+
+def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Add the ids of each whole text. ``tokenizer_json``: the file's content."""
+    ids = _with(df, tokenizer_json, "array<int>", lambda tokenizer, texts: (_id_lists(tokenizer, part) for part in slices(texts)))
     return df.withColumn(ids_col, ids(F.col(text_col)))
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text that each id array stands for; bytes that are not UTF-8 become U+FFFD."""
-    ship_package(df.sparkSession)
-    spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
+    text = _with(df, tokenizer_json, "string", lambda tokenizer, lists: iter([_decoded(tokenizer, lists)]))
+    return df.withColumn(text_col, text(F.col(ids_col)))
 
-    @F.arrow_udf("string")
-    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = _tokenizer(spec.value)
-        get, size = tokenizer.bytes_of.__getitem__, len(tokenizer.bytes_of)
-        for lists in batches:
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            if lists.flatten().null_count or len(flat) and (flat.min() < 0 or flat.max() >= size):
-                yield pa.array([tokenizer.decode([i for i in x or [] if i is not None]) for x in lists.to_pylist()], pa.string())
-                continue
-            yield pa.array([b"".join(map(get, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in pairwise(ends.tolist())], pa.string())
 
-    return df.withColumn(text_col, text(F.col(ids_col)))
+def encode_and_decode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Add the ids of each whole text and what they decode to, in one pass of one worker."""
+
+    def both(tokenizer: BpeTokenizer, texts: pa.Array) -> Iterator[pa.Array]:
+        for part in slices(texts):
+            ids = _id_lists(tokenizer, part)
+            yield pa.StructArray.from_arrays([ids, _decoded(tokenizer, ids)], ["ids", "decoded"])
+
+    made, = fresh(df.columns, "made")
+    run = _with(df, tokenizer_json, "struct<ids:array<int>,decoded:string>", both)
+    kept = df.drop(ids_col, decoded_col) if text_col not in (ids_col, decoded_col) else df
+    return kept.withColumn(made, run(F.col(text_col))).withColumns({ids_col: F.col(f"{made}.ids"), decoded_col: F.col(f"{made}.decoded")}).drop(made)

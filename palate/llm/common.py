@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpointed, shared_folder, ship_package
+from ..sources.session import checkpointed, discard, shared_folder, ship_package, staged, staged_at
 
-__all__ = ["ascii_lower", "checkpointed", "read_table", "shared_folder", "ship_package", "staged", "whole_texts", "words"]
+__all__ = ["ascii_lower", "checkpointed", "discard", "fresh", "read_table", "shared_folder", "ship_package", "slices", "staged", "staged_at", "words"]
 
-#: Rows of an Arrow batch for queries over whole texts: their workers hold some MB of text at a time.
-TEXTS_A_BATCH = 512
+#: Bytes of text that a worker turns into Python strings at a time; one longer text is a slice by itself.
+SLICE_BYTES = 4 << 20
 
 #: The six ASCII white-space characters, as a class for Java and Python patterns and as a plain string.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,22 +24,35 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def whole_texts(spark: SparkSession) -> None:
-    """For the session: keep Arrow batches small, as rows are whole texts, and the package at hand on the executors."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_A_BATCH))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    whole_texts(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write the frame once as Parquet in the shared folder and read it back: columns stay prunable and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """An Arrow batch of texts cut by bytes: batches are cut by Spark (``spark.sql.execution.arrow.maxBytesPerBatch``), but Python
+    strings take several times their bytes."""
+    if not len(texts):
+        yield texts
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names for internal use that clash with none of those taken (which Spark compares without regard to case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

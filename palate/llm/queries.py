@@ -21,7 +21,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = vocabulary()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, spec), spec)
+    coded = bpe.encode_and_decode(docs, spec)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -104,6 +104,31 @@ def test_copies_that_only_the_master_joins(spark):
     assert sum(c == 1000 for c in got.values()) >= 0.97 * len(rows)
 
 
+def test_links_inside_a_template(spark):
+    """Texts of one template in pairs: 0.8 or more within a pair, 0.6 to 0.7 between them. No pair is lost, no two are joined."""
+    rng, rows = np.random.default_rng(8), []
+    template = [f"t{k}" for k in range(300)]
+    for i in range(600):
+        words = list(template)
+        for at in rng.choice(30, 8, replace=False) * 10:  # eight words of its own break forty of some 300 shingles
+            words[at + 5] = f"f{i}x{at}"
+        again = list(words)
+        again[int(rng.integers(0, 300))] = f"g{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(again))]
+    texts = dict(rows)
+    assert overlap(texts[0], texts[1]) >= 0.8 and max(overlap(texts[0], texts[k]) for k in range(2, 200)) < 0.8
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(600)) >= 0.99 * 600
+    assert len(set(got.values())) >= 590
+
+
+def test_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base, 0), (1, "another text altogether that has its own words", 0), (2, base + " end", 1), (None, base, 2), (3, "quite short", 3), (3, "quite short", 4), (None, "only without id", 5), (4, None, 6), (5, "", 7)]
+    got = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string, t1 int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, base), (1, rows[1][1]), (3, "quite short"), (0, "only without id"), (4, "")])
+
+
 def test_one_repeated_run_makes_no_copies(spark):
     rows = [(i, "0 " * 500 + " ".join(f"t{i}w{k}" for k in range(60))) for i in range(6)]
     rows += [(10, rows[0][1]), (11, "0 " * 300 + rows[0][1])]  # the same set of shingles
