@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palate.llm import bpe, line_dedup, mixing, simhash, toxicity
-from palate.llm.common import read_table, staged, whole_texts
+from palate.llm.common import discard, read_table, staged_at
 from palate.llm.queries import MIX_TARGETS, labelled_domains, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,29 +20,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine takes for toxic go; it learns from the labelled documents among these."""
-    whole_texts(spark)
     machine = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), machine, score_col="__toxic").filter(F.col("__toxic") < 0.5).drop("__toxic")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the smallest doc_id only; every document stays, if empty."""
-    whole_texts(spark)
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return cut.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id: five-word shingles that overlap by 0.8 or more."""
-    whole_texts(spark)
-    docs = docs.select(*COLUMNS)
-    copies = simhash.similar_documents(docs, shingle=5, similarity=0.8).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate group stays, that with the smallest doc_id: five-word shingles that overlap by 0.8 or more.
+
+    Rows are judged one by one: those that share a doc_id but not a group all stay, if first in theirs; of rows equal in doc_id and
+    text one stays; rows without a doc_id come after all others of their group."""
+    return simhash.drop_similar(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix wants them. The least rate is 1: none is lost, and the targets are neared by repetition within a fifth more tokens."""
-    whole_texts(spark)
     docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs, labelled_domains(spark, sf_dir, docs), MIX_TARGETS, floor=1.0, growth=1.2)
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("copy")).drop("copy")
@@ -50,9 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and a digest of what they decode to."""
-    whole_texts(spark)
     spec = vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), spec), spec)
+    coded = bpe.encode_and_decode(docs.select(*COLUMNS), spec)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -69,9 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages. What a stage has written is deleted once the next one is written; the last table read stays until the end."""
+    docs, path = read_table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, before = stage(spark, docs, sf_dir), path
         if k < len(STAGES) - 1:
-            docs = staged(docs)
+            docs, path = staged_at(docs)
+            if before is not None:
+                discard(before)
     return docs
