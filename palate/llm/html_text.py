@@ -1,12 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself from its stop-word density, its length
-and its link density; containers that by name hold no article (navigation, footers, forms, adverts, notices, comments, ...) decide
-their blocks outright. The second pass settles the blocks that were too short or too plain to tell: they take the label of their
-nearest decided neighbours, and headings that of the text they stand over.
-
-Odd cases: null, empty or text-free html gives the empty string; unclosed tags, quotes and comments end with the page; pages of any
-length are read whole, in linear time; other columns stay as they are (one named as the output is replaced).
+A page is cut into blocks at block-level tags. The first pass decides each block from its stop-word density, its length and its link
+density. What stands around a block shifts these thresholds: inside an article or main element they are low; containers that by tag
+or name hold no article (forms, asides, adverts, notices, comments, ...) raise them beyond what a block can reach, unless the
+container holds the bulk of the page; navigation and footers hold no article at all. The second pass settles the blocks that were too
+short or too plain to tell: they take the label of their nearest decided neighbours, and headings that of the text they stand over.
+
+Odd cases: null, empty or text-free html gives the empty string; unclosed tags, links, quotes and comments end with their block or
+with the page; pages of any length are read whole, in time linear in them; other columns stay as they are (one named as the output is
+replaced).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import ship_package, slices
 
 # Common function words of the languages that pages come in.
 STOP_WORDS = {
@@ -37,7 +39,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style noscript template textarea title svg math iframe object embed noframes xmp".split())
-APART = frozenset("nav footer aside form fieldset button select label option menu dialog canvas audio video head map".split())
+APART = frozenset("nav footer button select label option menu dialog canvas audio video head map".split())
+#: Elements that hold no article unless they hold the bulk of the page, like containers named so.
+ASIDE = frozenset("aside form fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class, id or role that mark a container as no part of the article.
@@ -50,46 +54,55 @@ AWAY = re.compile(
 )
 HOME = re.compile(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?(?:main|article)\b|(?:class|id)\s*=\s*[\"']?[^\"'>]*\b(?:article-?body|entry-?content|post-?content|article-?content|story-?body)\b", re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'>]*+>))*+)(?:>|\Z))", re.S)
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\u3002\uff01\uff1f\u061f\u0964\u2026:;,\u3001\u060c]")
 
 #: Thresholds of the first pass: characters of a short and of a long block, link and stop-word densities.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.12, 0.2
-#: Share of the page's text over which a container's name does not count, and stop-word density of a page under which no list fits.
-BULK, FITS = 0.75, 0.05
+#: Share of the page's text over which a container's name does not count, stop-word density of a page under which no list fits, and
+#: share of the text that could be an article under which an article element does not rule out what stands beside it.
+BULK, FITS, HOME_LEAST = 0.75, 0.05, 0.2
+#: Where no list fits: words from which a block is dense if it has marks of sentences, too.
+SENTENCE_WORDS = 8
 
 _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "brief"
 
 
 class Block:
-    """away: by its tags or hidden; named, around: the containers that by name hold no article, within the article and around it."""
+    """away: by its tags or hidden; named, around: the innermost container that by name holds no article, within the article and around
+    it (0: none); home: the article around."""
 
     __slots__ = ("around", "away", "heading", "home", "linked", "named", "text")
 
-    def __init__(self, text: str, linked: int, away: bool, named: tuple[int, ...], around: tuple[int, ...], home: int, heading: bool):
+    def __init__(self, text: str, linked: int, away: bool, named: int, around: int, home: int, heading: bool):
         self.text, self.linked, self.away, self.named, self.around, self.home, self.heading = text, linked, away, named, around, home, heading
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks in order, each with the characters of it that are links and the kind of container around it."""
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks in order, each with the characters of it that are links and the kind of container around it; and of each
+    container that by name holds no article (from 1) the next one around it, 0 if there is none."""
     out: list[Block] = []
     parts: list[str] = []
-    # name, holds no article by its tags, containers that by name hold none within and around the article, number of the article around
-    open_tags: list[tuple[str, bool, tuple[int, ...], tuple[int, ...], int]] = []
-    linked = in_link = n_home = n_named = breaks = 0
-    outside = (False, (), (), 0)
+    inside = [0]
+    # name, holds no article by its tags, container that by name holds none within and around the article, number of the article around
+    open_tags: list[tuple[str, bool, int, int, int]] = []
+    depth: Counter[str] = Counter()
+    linked = in_link = n_home = breaks = 0
+    outside = (False, 0, 0, 0)
     (away, named, around, home), heading = outside, False
 
     def flush() -> None:
-        nonlocal linked, breaks
+        nonlocal linked, breaks, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, linked, away, named, around, home, heading))
             parts.clear()
-        linked = breaks = 0
+        linked = breaks = in_link = 0
 
     def say(raw: str) -> None:
         nonlocal linked, breaks
@@ -101,6 +114,13 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 linked += len(" ".join(text.split()))
 
+    def close() -> str:
+        nonlocal away, named, around, home
+        name = open_tags.pop()[0]
+        depth[name] -= 1
+        away, named, around, home = open_tags[-1][1:] if open_tags else outside
+        return name
+
     pos, n = 0, len(html)
     while pos < n:
         lt = html.find("<", pos)
@@ -123,10 +143,9 @@ def blocks(html: str) -> list[Block]:
                 in_link = 0
             elif name in HEADINGS or name in BLOCK or name in APART:
                 flush()
-            if any(t[0] == name for t in open_tags):
-                while open_tags.pop()[0] != name:
+            if depth[name]:
+                while close() != name:
                     pass
-                away, named, around, home = open_tags[-1][1:] if open_tags else outside
             if name in HEADINGS:
                 heading = False
             continue
@@ -145,14 +164,12 @@ def blocks(html: str) -> list[Block]:
                 pos = end.end() if end else n
             continue
         if name == "a":
-            in_link = 1
+            in_link = int(bool(HREF.search(attrs)))
             continue
         if name in BLOCK or name in APART:
             flush()
-            breaks = 0
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == name:
-                open_tags.pop()
-                away, named, around, home = open_tags[-1][1:] if open_tags else outside
+                close()
             heading = name in HEADINGS
         if name in VOID:
             continue
@@ -161,16 +178,16 @@ def blocks(html: str) -> list[Block]:
             if name in ("article", "main") or (attrs and HOME.search(attrs)):
                 if not home:
                     n_home += 1
-                    home, named, around = n_home, (), named
-            elif name == "header" and not home:
-                away = True
+                    home, named, around = n_home, 0, named
+            apart = (name == "header" and not home) or name in ASIDE
             away = away or name in APART or bool(attrs and UNSEEN.search(attrs))
-            if names and name not in ("body", "html", "main") and AWAY.search(names):
-                n_named += 1
-                named = (*named, n_named)
+            if apart or (names and name not in ("body", "html", "main") and AWAY.search(names)):
+                inside.append(named)
+                named = len(inside) - 1
             open_tags.append((name, away, named, around, home))
+            depth[name] += 1
     flush()
-    return out
+    return out, inside
 
 
 def _language(found: list[Block], declared: str) -> frozenset[str]:
@@ -180,24 +197,29 @@ def _language(found: list[Block], declared: str) -> frozenset[str]:
     return max(_STOPS.values(), key=lambda stops: sum(w in stops for w in seen))
 
 
-def _apart(found: list[Block]) -> list[bool]:
+def _apart(found: list[Block], inside: list[int]) -> list[bool]:
     """Whether each block is out by its containers. A name does not put out what is over ``BULK`` of the page's text, nor, if no other
     article is left, an article inside."""
-    held: Counter[int] = Counter()
+    held, total = [0] * len(inside), 0
     for b in found:
         if not b.away:
-            for c in (*b.named, *b.around):
-                held[c] += len(b.text)
-    total = sum(len(b.text) for b in found if not b.away)
-    counts = {c for c, size in held.items() if size <= BULK * total}
-    named, around = [not counts.isdisjoint(b.named) for b in found], [not counts.isdisjoint(b.around) for b in found]
+            total += len(b.text)
+            held[b.named] += len(b.text)
+            if b.around != b.named:
+                held[b.around] += len(b.text)
+    counts = [False] * len(inside)
+    for c in range(len(inside) - 1, 0, -1):  # a container comes after the one around it
+        held[inside[c]] += held[c]
+    for c in range(1, len(inside)):
+        counts[c] = held[c] <= BULK * total or counts[inside[c]]
+    named, around = [counts[b.named] for b in found], [counts[b.around] for b in found]
     homes = any(b.home and not (b.away or x or y) for b, x, y in zip(found, named, around, strict=True))
     return [b.away or x or (y and (homes or not b.home)) for b, x, y in zip(found, named, around, strict=True)]
 
 
-def labels(found: list[Block], declared: str = "") -> list[bool]:
+def labels(found: list[Block], inside: list[int], declared: str = "") -> list[bool]:
     """Whether each block belongs to the article. If none seems to, names of containers count no more; then, neither does density."""
-    out = _labels(found, declared, _apart(found))
+    out = _labels(found, declared, _apart(found, inside))
     if not any(out):
         away = [b.away for b in found]
         out = _labels(found, declared, away)
@@ -208,23 +230,32 @@ def labels(found: list[Block], declared: str = "") -> list[bool]:
     return out
 
 
+def _densities(found: list[Block], stops: frozenset[str], away: list[bool]) -> list[float]:
+    """Stop words of all words of each block. On a page in a language without a list, blocks of sentences count as dense, others as thin."""
+    words = [WORD.findall(b.text.lower()) for b in found]
+    said = [w for b, x, ws in zip(found, away, words, strict=True) if not x and b.linked <= LINKS * len(b.text) for w in ws]
+    if sum(w in stops for w in said) >= FITS * len(said):
+        return [sum(w in stops for w in ws) / len(ws) if ws else 0.0 for ws in words]
+    sentences = [bool(ws) and bool(SENTENCE.search(b.text)) and (len(ws) >= SENTENCE_WORDS or len(b.text) > LONG) for b, ws in zip(found, words, strict=True)]
+    return [1.0 if x else 0.5 * STOPS_LOW if ws and not b.home else 1.0 * bool(ws) for b, ws, x in zip(found, words, sentences, strict=True)]
+
+
 def _labels(found: list[Block], declared: str, away: list[bool]) -> list[bool]:
-    stops = _language(found, declared)
-    said = [w for b, x in zip(found, away, strict=True) if not x and b.linked <= LINKS * len(b.text) for w in WORD.findall(b.text.lower())]
-    fits = sum(w in stops for w in said) >= FITS * len(said)  # else the page is in no language that has a list
-    has_home = any(b.home and not x for b, x in zip(found, away, strict=True))
+    density = _densities(found, _language(found, declared), away)
+    stands = [not x and b.linked <= LINKS * len(b.text) and d >= STOPS_LOW for b, x, d in zip(found, away, density, strict=True)]
+    beside = sum(len(b.text) for b, x in zip(found, stands, strict=True) if x and not b.home and len(b.text) >= SHORT)
+    own = sum(len(b.text) for b, x in zip(found, away, strict=True) if b.home and not x)
+    has_home = own > 0 and own >= HOME_LEAST * (own + beside)
     first: list[str] = []
-    for b, apart in zip(found, away, strict=True):
-        words = WORD.findall(b.text.lower())
-        density = (sum(w in stops for w in words) / len(words) if fits else 1.0) if words else 0.0
+    for b, apart, d in zip(found, away, density, strict=True):
         size, links = len(b.text), b.linked / len(b.text)
         if apart or (has_home and not b.home) or links > LINKS:
             first.append(BAD)
         elif size < SHORT:
             first.append(BAD if links > 0 and not b.home else BRIEF)
-        elif density >= STOPS_HIGH:
+        elif d >= STOPS_HIGH:
             first.append(GOOD if size > LONG or b.home else NEAR)
-        elif density >= STOPS_LOW:
+        elif d >= STOPS_LOW:
             first.append(NEAR)
         else:
             first.append(BRIEF if b.home else BAD)
@@ -233,7 +264,7 @@ def _labels(found: list[Block], declared: str, away: list[bool]) -> list[bool]:
     for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[int, tuple[str, int]] = {}  # by article; what is no part of an article by name is no neighbour in it
         for i in order:
-            own = found[i].home
+            own = found[i].home if has_home else 0
             into[i] = (last[own][0], abs(i - last[own][1])) if own in last else (BAD, n)
             if first[i] in (GOOD, BAD) and not (own and away[i]):
                 last[own] = (first[i], i)
@@ -265,9 +296,9 @@ def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by blank lines."""
     if not html:
         return ""
-    found = blocks(html)
+    found, inside = blocks(html)
     declared = _DECLARED.search(html)
-    keep = labels(found, declared[1].lower() if declared else "")
+    keep = labels(found, inside, declared[1].lower() if declared else "")
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -278,6 +309,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "main_text
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(h) for h in batch.to_pylist()], pa.string())
+            for part in slices(batch):
+                yield pa.array([main_text(h) for h in part.to_pylist()], pa.string())
 
     return pages.withColumn(text_col, text(F.col(html_col)))

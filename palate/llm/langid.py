@@ -1,6 +1,6 @@
 """Language by compression: the language whose text best helps zstandard to pack a document.
 
-For each language a raw-content dictionary is filled with a bounded sample of its labelled texts, without the lines that pack
+For each language, however many, a raw-content dictionary is filled with a bounded sample of its labelled texts, without the lines that pack
 better with another language (quotations, licences). A document, in lower case, is encoded once with each dictionary, in chunks, so
 that also a long text keeps asking the dictionary instead of its own beginning; savings in a chunk count up to a share of it, so
 that one passage copied from a dictionary does not decide. The language with the fewest bytes is chosen, and the choice is flagged
@@ -21,10 +21,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import fresh, ship_package, slices
 
-#: Bounds of what is learned: bytes of a dictionary, documents a language to fill it from, characters of these (longer ones come last), languages.
-DICT_BYTES, DOCS_PER_LANG, USUAL_CHARS, MAX_LANGS = 120_000, 120, 4_000, 200
+#: Bounds of what is learned: bytes of a dictionary and of all of them (many languages share these), documents a language to fill it
+#: from, and characters of these (longer ones come last).
+DICT_BYTES, ALL_BYTES, DOCS_PER_LANG, USUAL_CHARS = 120_000, 24_000_000, 120, 4_000
 LEVEL, CHUNK_BYTES, MOST_SAVED = 6, 1_024, 0.12
 #: A choice is rejected if the next language needs less than this share more bytes, or less than so many.
 NARROW_SHARE, NARROW_BYTES = 0.01, 3
@@ -33,35 +34,37 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content for each language. Only ids travel to choose the sample; the texts of the chosen rows are fetched."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    """Raw dictionary content for each language. Only ids travel to choose the sample; of the chosen rows no more bytes are fetched
+    than two dictionaries hold."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    each = min(DICT_BYTES, ALL_BYTES // max(1, rows.select("lang").distinct().count()))
     order = Window.partitionBy("lang").orderBy("long", "key", "id")
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), (F.char_length(text_col) > USUAL_CHARS).alias("long"), F.xxhash64(id_col).alias("key"))
-    picked = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS_PER_LANG).join(F.broadcast(langs), "lang", "left_semi").select("lang", "id", "rank")
-    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["id", "lang"])  # MAX_LANGS * DOCS_PER_LANG rows at most
-    texts = texts.select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, DICT_BYTES).alias("text"))
+    picked = rows.select("lang", "id", (F.char_length("text") > USUAL_CHARS).alias("long"), F.xxhash64("id").alias("key"))
+    picked = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS_PER_LANG).select("lang", "id", "rank")
+    texts = rows.join(picked, ["id", "lang"]).select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, each).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1))  # DOCS_PER_LANG rows a language
+    texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * each).select("lang", "rank", "text")
     found: dict[str, list[str]] = {}
-    for lang, _, text in sorted((r["lang"], r["rank"], bytes(r["text"])) for r in texts.collect()):  # bounded as said
+    for lang, _, text in sorted((r["lang"], r["rank"], bytes(r["text"])) for r in texts.collect()):  # three times ALL_BYTES at most
         found.setdefault(lang, []).append(text.decode("utf-8", "ignore").lower())
-    return _own_lines(found)
+    return _own_lines(found, each)
 
 
-def _filled(texts: list[str]) -> bytes:
-    return "\n".join(texts).encode()[:DICT_BYTES]
+def _filled(texts: list[str], size: int) -> bytes:
+    return "\n".join(texts).encode()[:size]
 
 
-def _own_lines(found: dict[str, list[str]]) -> dict[str, bytes]:
+def _own_lines(found: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries of the lines that no other language packs better; either half of the texts is held against the other half."""
     langs, kept = sorted(found), {lang: [] for lang in found}
     for half in (0, 1):
-        packers = _make({lang: _filled(found[lang][1 - half :: 2]) or b" " for lang in langs})
+        packers = _make({lang: _filled(found[lang][1 - half :: 2], size) or b" " for lang in langs})
         for k, lang in enumerate(langs):
             for text in found[lang][half::2]:
                 lines = [x for x in text.split("\n") if len(x) < 40 or (sizes := [len(p.compress(x.encode())) for p in packers])[k] <= min(sizes)]
                 if lines:
                     kept[lang].append("\n".join(lines))
-    return {lang: _filled(kept[lang] or found[lang]) for lang in langs}
+    return {lang: _filled(kept[lang] or found[lang], size) for lang in langs}
 
 
 def _make(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
@@ -95,12 +98,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
     """Add lang_pred, score and rejected."""
     ship_package(docs.sparkSession)
     langs = list(dictionaries)
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGS * DICT_BYTES at most
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # ALL_BYTES at most
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         packers = _compressors(sent.value)
-        for texts in batches:
+        for texts in (part for batch in batches for part in slices(batch)):
             names, scores, rejected = [], [], []
             for text in texts.to_pylist():
                 if not text or not packers or not _LETTER.search(text):
@@ -115,5 +118,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
     made: Column = judge(F.col(text_col))
-    kept = docs.drop("lang_pred", "score", "rejected")
-    return kept.withColumn("__made", made).select("*", "__made.*").drop("__made")
+    kept = docs.drop(*(c for c in ("lang_pred", "score", "rejected") if c != text_col))
+    name, = fresh(kept.columns, "made")
+    return kept.withColumn(name, made).select("*", f"{name}.*").drop(name)

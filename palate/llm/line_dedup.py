@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, staged
+from .common import SPACES, ascii_lower, fresh, staged
 
 #: Defaults of the contract: keys of at least ten code points, found in at least two documents.
 MIN_CHARS = 10
@@ -42,15 +42,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = shared.filter((F.col("owner") < F.col("last")) | ((F.col("nulls") > 0) & F.col("owner").isNotNull())).select("h1", "h2", "owner")
     shared = staged(shared)  # so that the join below has an exchange of its own on either side, which Spark splits where a line is hot
     lost = lines.join(shared, ["h1", "h2"]).filter(~F.col("d").eqNullSafe(F.col("owner"))).select("d", "th", "pos")
-    lost = lost.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("__lost"))
-    keyed = base.withColumns({"__d": F.coalesce(F.col(id_col), F.lit(-1)), "__null": F.col(id_col).isNull(), "__th": F.xxhash64(text)})
-    lost = lost.select(F.coalesce("d", F.lit(-1)).alias("__d"), F.col("d").isNull().alias("__null"), F.col("th").alias("__th"), "__lost")
-    joined = keyed.join(lost, ["__d", "__null", "__th"], "left")
+    lost = lost.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
+    d, null, th, cut = fresh([*base.columns, *out], "d", "null", "th", "cut")
+    keyed = base.withColumns({d: F.coalesce(F.col(id_col), F.lit(-1)), null: F.col(id_col).isNull(), th: F.xxhash64(text)})
+    lost = lost.select(F.coalesce("d", F.lit(-1)).alias(d), F.col("d").isNull().alias(null), F.col("th").alias(th), F.col("lost").alias(cut))
+    joined = keyed.join(lost, [d, null, th], "left")
     n = F.size(F.split(text, "\n"))
-    cuts = F.col("__lost")
+    cuts = F.col(cut)
     # the outer transform over one element binds the split text once, as a variable of the inner lambda
     between = lambda all_lines: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), cuts), F.concat(cuts, F.array(n)), lambda a, b: F.slice(all_lines, a + 2, b - a - 1)))
     kept = F.transform(F.array(F.split(text, "\n")), between)[0]
-    joined = joined.withColumns({"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size(cuts), F.lit(0)).cast("long"), "kept_text": F.when(cuts.isNull(), text).otherwise(F.array_join(kept, "\n"))})
-    joined = joined.withColumn("n_dropped", F.greatest(F.col("n_dropped"), F.lit(0)))
-    return joined.drop("__d", "__null", "__th", "__lost")
+    dropped = F.greatest(F.coalesce(F.size(cuts), F.lit(0)), F.lit(0)).cast("long")
+    joined = joined.withColumns({"n_lines": n.cast("long"), "n_dropped": dropped, "kept_text": F.when(cuts.isNull(), text).otherwise(F.array_join(kept, "\n"))})
+    return joined.drop(d, null, th, cut)

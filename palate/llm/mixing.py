@@ -2,20 +2,22 @@
 
 A multinomial classifier, trained on a labelled table, gives each document a posterior over domains. Document rates r >= floor are
 then fitted so that the expected tokens of each domain, sum of r * tokens * posterior, match the targets: projected-gradient least
-squares, each step one aggregation of a number a domain over a table of (tokens, posterior). Gradients are taken per token, so that
-documents of equal posterior get equal rates whatever their length. Rates turn into whole copies: the integer part for all, one
-more for the fraction of documents that a hash of the id picks.
+squares, each step one aggregation of sums a domain over a table of (tokens, posterior). Gradients are taken per token, so that
+documents of equal posterior get equal rates whatever their length, and scaled by the tokens that each domain has in documents whose
+rate is free to move, so that a rare domain is settled as fast as a common one; a step that does not come nearer is halved. Rates
+turn into whole copies: the integer part for all, one more for the fraction of documents that a hash of the id picks.
 
 Everything is DataFrame, SQL or MLlib. Only sums a domain reach the driver.
 
 Odd cases: null and empty texts have no tokens, pull no total and keep the rate that their posterior gives; with one domain (or
 none) in the labelled table all rates are 1; targets of unknown domains are refused; equal rows get equal rates; extra columns are
 kept (posterior, rate, n_words are replaced). Targets that the floor or the posteriors put out of reach are met as nearly as least
-squares can.
+squares can; ``fit_rates`` gives the totals reached, and ``mix`` warns where they miss.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -25,36 +27,42 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words
+from .common import fresh, staged, words
 
-#: Labelled rows that train at most, buckets of hashed words, steps of the descent, relative distance at which it stops.
-MAX_TRAIN, BUCKETS, STEPS, CLOSE = 4_000, 256, 40, 1e-3
+#: Labelled rows that train at most, buckets of hashed words, steps of the descent, and the distance at which it stops: of all tokens, and
+#: of each domain's own target.
+MAX_TRAIN, BUCKETS, STEPS, CLOSE, CLOSE_EACH = 4_000, 256, 30, 1e-3, 5e-3
+#: Multiples of the least growth that are tried where the growth is left open.
+GROW = (1.0, 1.15, 1.35, 1.6, 2.0)
 
 
-def _features(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add features: hashed words and the shares of capitals, digits and symbols; n_words: the words of the text."""
+def _features(docs: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: hashed words and the shares of capitals, digits and symbols; n_words: the words of the text."""
+    w, tf, unit, m0, m1, m2 = fresh([*docs.columns, out], "w", "tf", "unit", "m0", "m1", "m2")
     text = F.coalesce(F.col(text_col), F.lit(""))
     share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), F.char_length(text)), F.lit(0.0))
-    rows = docs.withColumn("__w", words(F.lower(text))).withColumns({"n_words": F.size("__w").cast("long"), "__marks": F.array(share("[#*$%&|<>!]"), share("[A-Z]"), share("[0-9]"))})
-    rows = Normalizer(inputCol="__tf", outputCol="__unit", p=2.0).transform(HashingTF(inputCol="__w", outputCol="__tf", numFeatures=BUCKETS).transform(rows))
-    rows = rows.withColumns({f"__m{k}": F.col("__marks")[k] for k in range(3)})
-    return VectorAssembler(inputCols=["__unit", "__m0", "__m1", "__m2"], outputCol="__x").transform(rows).drop("__w", "__tf", "__unit", "__marks", "__m0", "__m1", "__m2")
-
-
-def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Add n_words and posterior (an array in the order of ``domains``). labelled: (text, domain), of which a bounded part trains."""
-    rows = labelled.filter(F.col("domain").isin(domains)).select(F.col(text_col).alias("text"), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double").alias("k"))
-    train = _features(rows.orderBy(F.xxhash64("text", "k")).limit(max_train), "text").select("__x", (F.col("k") - 1).alias("label"))
-    train = staged(train)
+    rows = docs.withColumn(w, words(F.lower(text))).withColumns({"n_words": F.size(w).cast("long"), m0: share("[#*$%&|<>!]"), m1: share("[A-Z]"), m2: share("[0-9]")})
+    rows = Normalizer(inputCol=tf, outputCol=unit, p=2.0).transform(HashingTF(inputCol=w, outputCol=tf, numFeatures=BUCKETS).transform(rows))
+    return VectorAssembler(inputCols=[unit, m0, m1, m2], outputCol=out).transform(rows).drop(w, tf, unit, m0, m1, m2)
+
+
+def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+    """Add n_words and posterior (an array in the order of ``domains``). labelled: (id, domain), of which ``max_train`` ids at most
+    train, picked evenly by a hash; only ids travel to be picked."""
+    known = labelled.filter(F.col("domain").isin(domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("domain").alias("domain"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(max_train).select("id", (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("double").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # max_train rows of two numbers
+    train = staged(_features(texts, "text", "x").select("x", "label"))
     if train.select("label").distinct().count() < 2:
         seen = train.select("label").first()
         flat = [1.0 if seen and k == int(seen[0]) else 0.0 for k in range(len(domains))]
         return docs.withColumns({"n_words": F.size(words(F.col(text_col))).cast("long"), "posterior": F.array(*map(F.lit, flat))})
-    model = LogisticRegression(featuresCol="__x", labelCol="label", family="multinomial", maxIter=60, regParam=1e-4, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred").fit(train)
-    found = vector_to_array("__p")
-    n = model.numClasses
+    x, p, raw, pred = fresh([*docs.columns, "n_words", "posterior"], "x", "p", "raw", "pred")
+    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", maxIter=60, regParam=1e-4, probabilityCol=p, rawPredictionCol=raw, predictionCol=pred).fit(train)
+    found, n = vector_to_array(p), model.numClasses
     posterior = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda k: F.when(k < n, found[k]).otherwise(F.lit(0.0)))
-    return model.transform(_features(docs, text_col)).withColumn("posterior", posterior).drop("__x", "__p", "__raw", "__pred")
+    rows = model.setFeaturesCol(x).transform(_features(docs, text_col, x))
+    return rows.withColumn("posterior", posterior).drop(x, p, raw, pred)
 
 
 def _rate(steps: list[list[float]], floor: float, posterior: str = "posterior") -> Column:
@@ -65,41 +73,76 @@ def _rate(steps: list[list[float]], floor: float, posterior: str = "posterior")
     return F.aggregate(F.array(*(F.array(*map(F.lit, s)) for s in steps)), F.lit(1.0), lambda r, s: F.greatest(F.lit(floor), r + move(s)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, growth: float = 1.0, steps: int = STEPS) -> tuple[list[list[float]], list[float]]:
-    """Steps of projected gradient for ``_rate`` and the domain totals they reach. rows: (n_words, posterior); targets sum to 1.
+def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, growth: float | None = 1.0, steps: int = STEPS, most_growth: float = 2.0) -> tuple[list[list[float]], list[float], list[float]]:
+    """Steps of projected gradient for ``_rate``, the domain totals they reach, and those wanted. rows: (n_words, posterior); targets sum to 1.
 
-    ``growth``: tokens wanted overall, as a multiple of those there are.
+    ``growth``: tokens wanted overall, as a multiple of those there are; None: the least multiple at which no domain has more than is
+    wanted of it, up to ``most_growth``.
     """
     k = len(targets)
     table = staged(rows.select(F.col("n_words").cast("double").alias("n_words"), "posterior"))
     cell = lambda i: F.col("posterior")[i]
-    start = table.agg(*(F.sum(F.col("n_words") * cell(i)) for i in range(k)), *(F.sum(F.col("n_words") * cell(i) * cell(j)) for i in range(k) for j in range(k))).first()
-    have = np.array([x or 0.0 for x in start[:k]])
-    if have.sum() <= 0:
-        return [], have.tolist()
-    want = np.array(targets) / sum(targets) * growth * have.sum()
-    top = np.linalg.eigvalsh(np.array([x or 0.0 for x in start[k:]]).reshape(k, k))[-1]
+
+    def totals(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """What each domain gets, and the tokens of each two domains in documents whose rate may still fall or is above the floor."""
+        at = table.withColumn("r", _rate(taken, floor))
+        free = F.when(F.col("r") > floor, F.col("n_words")).otherwise(0.0) if taken else F.col("n_words")
+        got = at.agg(*(F.sum(F.col("r") * F.col("n_words") * cell(i)) for i in range(k)), *(F.sum(free * cell(i) * cell(j)) for i in range(k) for j in range(k))).first()
+        numbers = np.array([x or 0.0 for x in got])
+        return numbers[:k], numbers[k:].reshape(k, k)
+
+    now, shared = totals([])
+    if now.sum() <= 0:
+        return [], now.tolist(), now.tolist()
+    aim, there = np.array(targets) / sum(targets), now.sum()
+    least = float(min(most_growth, max(1.0, np.max(now[aim > 0] / (aim[aim > 0] * there), initial=1.0)))) if growth is None else growth
     taken: list[list[float]] = []
-    now = have
-    for _ in range(steps):
-        if np.abs(now - want).sum() <= CLOSE * want.sum():
+    for more in GROW if growth is None else (1.0,):  # with mixed posteriors, wanting less of none may take more of all
+        want = aim * min(most_growth if growth is None else least, least * more) * there
+        taken, got = _descend(totals, now, shared, want, steps)
+        if _met(got, want):
             break
-        taken.append(((want - now) / top).tolist())
-        r = _rate(taken, floor)
-        now = np.array(table.select("*", r.alias("r")).agg(*(F.sum(F.col("r") * F.col("n_words") * cell(i)) for i in range(k))).first(), float)
-    return taken, now.tolist()
+    return taken, got.tolist(), want.tolist()
+
 
+def _met(got: np.ndarray, want: np.ndarray) -> bool:
+    return bool(np.abs(want - got).sum() <= CLOSE * want.sum() and (np.abs(want - got) <= CLOSE_EACH * np.maximum(want, CLOSE * want.sum())).all())
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, growth: float = 1.0) -> DataFrame:
+
+def _descend(totals, now: np.ndarray, shared: np.ndarray, want: np.ndarray, steps: int) -> tuple[list[list[float]], np.ndarray]:
+    """Steps towards the wanted totals; ``totals`` gives what steps reach and the scale of the next one."""
+    taken: list[list[float]] = []
+    size = 1.0
+    for _ in range(steps):
+        if _met(now, want):
+            break
+        scale = shared + 1e-9 * np.trace(shared) * np.eye(len(want))
+        step = (size * np.linalg.solve(scale, want - now)).tolist()
+        then, after = totals([*taken, step])
+        if np.abs(want - then).sum() < np.abs(want - now).sum():
+            taken.append(step)
+            now, shared, size = then, after, min(1.0, 2 * size)
+        else:
+            size /= 2
+            if size < 1e-2:
+                break
+    return taken, now
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, growth: float | None = 1.0, most_growth: float = 2.0) -> DataFrame:
     """Add n_words, posterior, rate and copies (how often the document goes into the mix).
 
-    labelled: (text, domain). floor: the least rate; 1.0 keeps every document at least once and nears the targets by repetition, up to ``growth`` times the tokens.
+    labelled: (id, domain). floor: the least rate; 1.0 keeps every document at least once and reaches the targets by repetition, with
+    ``growth`` times the tokens (None: as many as that takes, ``most_growth`` at most). Totals that miss their targets are warned of.
     """
     domains = sorted(targets)
     if not domains or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets: a nonnegative weight a domain, not all zero")
-    rows = staged(with_posteriors(docs.drop("n_words", "posterior", "rate", "copies"), labelled, domains, text_col))
-    taken, _ = fit_rates(rows, [targets[d] for d in domains], floor, growth)
+    rows = staged(with_posteriors(docs.drop("n_words", "posterior", "rate", "copies"), labelled, domains, id_col, text_col))
+    taken, got, want = fit_rates(rows, [targets[d] for d in domains], floor, growth, most_growth=most_growth)
+    missed = {d: (round(g), round(w)) for d, g, w in zip(domains, got, want, strict=True) if abs(g - w) > 0.02 * max(w, 1.0)}
+    if missed:
+        warnings.warn(f"tokens reached and wanted: {missed}", stacklevel=2)
     rate = rows.withColumn("rate", _rate(taken, floor))
     luck = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rate.withColumn("copies", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))

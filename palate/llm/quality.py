@@ -130,7 +130,7 @@ def _gain(now: tuple[int, int], then: tuple[int, int]) -> float:
     return now[0] * (math.log2(now[0] / sum(now)) - math.log2(then[0] / sum(then))) if now[0] >= LEAST else 0.0
 
 
-def learn(stats: DataFrame, features: Sequence[str] = FEATURES) -> list[Rule]:
+def learn(stats: DataFrame, features: Sequence[str] = FEATURES, rules: int = RULES, conditions: int = CONDITIONS) -> list[Rule]:
     """A decision list of rules for bad rows from (features, bad int, grown boolean); the rows that are not grown prune."""
     stats = checkpointed(stats.select("bad", "grown", *features))
     if 0 in _bad_good(stats.filter("grown")):
@@ -140,11 +140,11 @@ def learn(stats: DataFrame, features: Sequence[str] = FEATURES) -> list[Rule]:
     cuts = {f: sorted({float(x) for r in spread for x in r[f]}) for f in features}
     stats = checkpointed(stats.withColumn("bins", F.array(*(_bin(F.col(f).cast("double"), c) for f, c in cuts.items()))))
     grow, prune = stats.filter("grown"), stats.filter("not grown")
-    rules: list[Rule] = []
-    while len(rules) < RULES:
+    found: list[Rule] = []
+    while len(found) < rules:
         rule: list[Condition] = []
         then = _bad_good(grow)
-        while len(rule) < CONDITIONS and then[0] >= LEAST and then[1]:
+        while len(rule) < conditions and then[0] >= LEAST and then[1]:
             counts = _counts(grow.filter(_fits(rule)), cuts)
             best = max(counts, key=lambda c: (_gain(counts[c], then), -sum(counts[c])))
             if _gain(counts[best], then) <= 1e-9:
@@ -159,9 +159,9 @@ def learn(stats: DataFrame, features: Sequence[str] = FEATURES) -> list[Rule]:
         kept, (b, g) = tuple(rule[: k + 1]), held[k]
         if not b or b / (b + g) < PRECISION:
             break
-        rules.append(kept)
+        found.append(kept)
         grow, prune = grow.filter(~_fits(kept)), prune.filter(~_fits(kept))
-    return rules
+    return found
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
@@ -172,12 +172,11 @@ def verdict(rules: Sequence[Rule]) -> Column:
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, rules: int = RULES, conditions: int = CONDITIONS) -> DataFrame:
     """(id, statistics, base_failed, kept) of each row; labels: 1 good, 0 bad."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 0).cast("int").alias("bad")).filter("id is not null and bad is not null")
     known = known.groupBy("id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     taught = statistics(docs.join(F.broadcast(known.select(F.col("id").alias(id_col))), id_col, "left_semi"), id_col, text_col).join(F.broadcast(known), "id")  # max_train rows of two numbers
     taught = checkpointed(taught).filter("not base_failed").withColumn("grown", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) > 0)
-    rules = learn(taught)
-    out = statistics(docs, id_col, text_col).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
+    out = statistics(docs, id_col, text_col).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(learn(taught, rules=rules, conditions=conditions))))
     return out.withColumnRenamed("id", id_col)

@@ -63,11 +63,9 @@ MIX_TARGETS = {"de": 0.16, "en": 0.54, "es": 0.12, "fr": 0.15, "low": 0.03}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """(text, domain) of labelled documents; the labels that may be used are bounded, so they can be broadcast."""
+    """(doc_id, domain) of labelled documents."""
     labels = read_table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.MAX_TRAIN)
-    rows = docs.join(F.broadcast(labels), "doc_id")  # MAX_TRAIN rows of two numbers
-    return rows.select("text", F.when(F.col("q") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+    return docs.select("doc_id", "lang").join(labels, "doc_id").select("doc_id", F.when(F.col("q") == 0, "low").otherwise(F.col("lang")).alias("domain"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +107,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+#: Floors are computed in double, as Spark does; DuckDB keeps the products exact in 128 bits.
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html_text, op4_url_filter, op5_language, op6_mixing, op7_toxicity, op8_line_dedup, op9_quality, op10_topk)}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_topk": OP10_SQL}

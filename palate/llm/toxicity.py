@@ -162,24 +162,24 @@ def telling_pairs(of: np.ndarray, cols: np.ndarray, y: np.ndarray, p: np.ndarray
     """The terms, best first, that together with another term say what the model has missed: the contrast of the mean residuals of the
     texts with both, one and none. of, cols: the document and the term of each entry, documents ascending; p: the model's scores."""
     n, residual = len(y), (y - p).astype(np.float32)
-    variance = max(float((residual**2).mean()), 0.005)
+    spread = np.maximum(p * (1 - p), 0.02).astype(np.float32)
     x = np.zeros((n, n_terms), np.uint8)
     x[of, cols] = 1
-    alone, missed = x.sum(0, dtype=np.int64).astype(np.float32), residual @ x
+    weights = np.stack([np.ones(n, np.float32), residual, spread])  # documents, their residuals, their variance
+    alone, total = weights @ x, weights.sum(1)
     best, step = np.zeros(n_terms), 1_024
     for at in range(0, n_terms, 256):
         s = slice(at, at + 256)
-        both, said = np.zeros((2, len(best[s]), n_terms), np.float32)  # documents with both terms, and their residuals
+        sums = np.zeros((3, len(best[s]), n_terms), np.float32)  # of documents with both terms
         for k in range(0, n, step):
             part = x[k : k + step].astype(np.float32)
-            both += part[:, s].T @ part
-            said += (part[:, s] * residual[k : k + step, None]).T @ part
-        cells = [both, alone[s, None] - both, alone[None] - both, n - alone[s, None] - alone[None] + both]
-        sums = [said, missed[s, None] - said, missed[None] - said, residual.sum() - missed[s, None] - missed[None] + said]
-        held = [np.maximum(c, 1) for c in cells]
-        change = sum(sign * r / h for sign, r, h in zip((1, -1, -1, 1), sums, held, strict=True))
-        spread = variance * sum(1 / h for h in held)
-        best[s] = np.where(np.min(cells, 0) >= PAIR_DOCS, change**2 / spread, 0).max(1, initial=0)
+            for w, into in zip(weights, sums, strict=True):
+                into += (part[:, s] * w[k : k + step, None]).T @ part
+        cells = [[m, one[s, None] - m, one[None] - m, whole - one[s, None] - one[None] + m] for m, one, whole in zip(sums, alone, total, strict=True)]
+        held = [np.maximum(c, 1) for c in cells[0]]
+        change = sum(sign * r / h for sign, r, h in zip((1, -1, -1, 1), cells[1], held, strict=True))
+        variance = sum(np.maximum(v, 0.01) / h**2 for v, h in zip(cells[2], held, strict=True))
+        best[s] = np.where(np.min(cells[0], 0) >= PAIR_DOCS, change**2 / variance, 0).max(1, initial=0)
     found = np.argsort(-best, kind="stable")
     return found[best[found] >= PAIR_GAIN]
 

@@ -2,6 +2,7 @@
 
 The trees learn from the URLs that the rules decide (or from any labelled column). Everything is DataFrame or SQL: the features are
 built-in expressions, suffix statistics are a small aggregate joined back by key, and the trees are MLlib's, which run in the JVM.
+A labelled url's own host does not count in the statistics that it is taught with, so that these do not give its label away.
 
 Odd cases: null urls and urls without ``://`` have empty host and path and take the model's verdict over their lexical features
 (length zero); without any labelled url, or with one kind only, the model answers with the one kind there is (allow, if none);
@@ -22,8 +23,11 @@ from .common import LOWER, UPPER, staged
 
 #: The contract's rules: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: About so many labelled urls at most train the trees, picked evenly by a hash of the url.
+#: So many labelled urls at most train the trees, half of either kind, picked evenly by a hash; weights give back the true shares.
 MAX_TRAIN = 20_000
+#: Parts that hosts are dealt into: the statistics of a taught url come from the other parts. Buckets that suffixes are hashed into, so
+#: that their tables are bounded, and labelled urls that the overall share counts as in each.
+PARTS, SUFFIXES, PRIOR = 4, 1_024, 10.0
 TREES, DEPTH = 20, 4
 FEATURES = ("url_len", "host_len", "path_len", "depth", "host_labels", "digits", "hyphens", "params", "fragment", "entropy", "secure", "tld_rate", "ending_rate", "section_rate")
 
@@ -70,25 +74,37 @@ def lexical_features(df: DataFrame, url: str = "url", host: str = "host", path:
     )
 
 
+def _with_rates(rows: DataFrame, prior: float) -> DataFrame:
+    """Add the smoothed shares of blocked urls of each suffix; for ruled urls, among hosts of the other parts."""
+    for kind in ("tld", "ending", "section"):
+        suffix = F.pmod(F.xxhash64(kind), F.lit(SUFFIXES)).alias("suffix")
+        seen = rows.filter("ruled is not null").groupBy(suffix).agg(*(F.count_if((F.col("part") == k) & (F.col("ruled") == "block")).alias(f"b{k}") for k in range(PARTS)), *(F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(PARTS)))
+        blocked, total = (sum((F.col(f"{x}{k}") for k in range(1, PARTS)), F.col(f"{x}0")) for x in "bn")
+        rate = lambda b, n: (b + PRIOR * prior) / (n + PRIOR)
+        each = F.array(*(rate(blocked - F.col(f"b{k}"), total - F.col(f"n{k}")) for k in range(PARTS)), rate(blocked, total))
+        found = seen.select("suffix", each.alias("rates"))
+        place = F.when(F.col("ruled").isNotNull(), F.col("part")).otherwise(F.lit(PARTS))
+        rows = rows.withColumn("suffix", F.pmod(F.xxhash64(kind), F.lit(SUFFIXES))).join(F.broadcast(found), "suffix", "left")  # SUFFIXES rows at most
+        rows = rows.withColumn(f"{kind}_rate", F.coalesce(F.get("rates", place), F.lit(prior))).drop("suffix", "rates")
+    return rows
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_train: int = MAX_TRAIN) -> DataFrame:
     """(id, host, path, rule, verdict, block_score) for each row."""
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = staged(lexical_features(with_rule(base, rules)))
+    rows = staged(lexical_features(with_rule(base, rules)).withColumn("part", F.pmod(F.xxhash64("host"), F.lit(PARTS)).cast("int")))
     n, blocked = rows.agg(F.count("ruled"), F.count_if(F.col("ruled") == "block")).first()
     if not blocked or blocked == n:
         known = F.lit("block" if blocked else "allow")
         return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", known).alias("verdict"), F.lit(1.0 if blocked else 0.0).alias("block_score"))
-    prior = blocked / n
-    for kind in ("tld", "ending", "section"):  # smoothed share of blocked urls: one row a distinct suffix, joined by key
-        stats = rows.filter("ruled is not null").groupBy(kind).agg(((F.count_if(F.col("ruled") == "block") + 10 * prior) / (F.count("*") + 10)).alias(f"{kind}_rate"))
-        rows = rows.join(stats, kind, "left").fillna({f"{kind}_rate": prior})
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    share = min(1.0, max_train / n)
-    train = rows.filter("ruled is not null").filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows.filter("ruled is not null")
-    train = train.select("features", (F.col("ruled") == "block").cast("double").alias("label"))
-    if train.select(F.count_distinct("label")).first()[0] < 2:
-        train = rows.filter("ruled is not null").select("features", (F.col("ruled") == "block").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5).fit(train)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_rates(rows, blocked / n))
+    half = max(1, max_train // 2)
+    picked = None
+    for kind, size in (("block", blocked), ("allow", n - blocked)):
+        some = rows.filter(F.col("ruled") == kind).select("features", F.lit(float(kind == "block")).alias("label"), F.xxhash64("url", "id").alias("key"), F.lit(size / min(size, half)).alias("weight"))
+        some = some.orderBy("key").limit(half)  # some fifteen numbers a row
+        picked = some if picked is None else picked.unionByName(some)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, weightCol="weight").fit(staged(picked.select("features", "label", "weight")))
     scored = model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")

@@ -46,6 +46,7 @@ def test_encode_and_decode_frames(spark, library):
     spec = Path(PATH).read_text()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, ids string")
     got = bpe.decode(bpe.encode(df, spec), spec).orderBy("doc_id").collect()
+    assert bpe.encode_and_decode(df.withColumn("made", F.lit(1)), spec).drop("made").orderBy("doc_id").collect() == got
     for t, r in zip(ODD, got, strict=True):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
@@ -75,6 +76,19 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("n", [100, 40_000_000, 4_000_000_000])
+def test_blocks_grow_with_the_table(spark, n):
+    """More blocks, as for larger tables, find the same links."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    prints = np.unique(np.array([int(b) ^ sum(1 << int(x) for x in rng.choice(64, k % 6, replace=False)) for k in range(12) for b in base], np.uint64))
+    ids = list(range(len(prints)))
+    at = {int(p): i for i, p in zip(ids, prints.view(np.int64), strict=True)}
+    links = simhash.near_edges(spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long"), 4, n=n).collect()
+    got = dict.fromkeys(ids) | dict(simhash.components(spark.createDataFrame([(at[r.a], at[r.b]) for r in links], "a long, b long")).collect())
+    assert {i: (got[i] if got[i] is not None else i) for i in ids} == plain_components(prints, ids, 4)
+
+
 def plain_components(prints, ids, radius):
     parent = dict(zip(ids, ids, strict=True))
 
@@ -149,6 +163,15 @@ def test_lines(spark):
     assert sorted((r.doc_id, r.n_dropped) for r in twice.collect()) == [(1, 0), (1, 0), (2, 1)]
 
 
+def test_lines_of_long_and_clashing_rows(spark):
+    line = "a line that both of them hold"
+    rows = [(1, "own " * 400_000 + "\n" + line, "a"), (2, line + "\nx" * 200_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string").withColumns({"null": F.lit(1), "th": F.lit(2), "cut": F.lit(3)})
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1].kept_text == rows[0][1] and got[2].kept_text == "x\n" * 199_999 + "x" and got[2].n_dropped == 1
+    assert (got[2].d, got[2]["null"], got[2].th, got[2].cut) == ("b", 1, 2, 3)
+
+
 def plain_top(vectors, k):
     out = set()
     for q, v in vectors:
@@ -178,16 +201,34 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 20).count() == 0
 
 
+def test_top_k_of_blocks_repeats_and_empty_vectors(spark, monkeypatch):
+    """Many small blocks; repeated rows rank as the rows they are; the empty vector scores 0; scores beyond 62 bits are refused."""
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-90, 90, 6).tolist()) for i in range(200)] + [(7, [3] * 6), (7, [3] * 6), (300, []), (301, [50])]
+    df = spark.createDataFrame(rows, "id long, vector array<long>")
+    width = lambda v: np.array([*v, *[0] * (6 - len(v))])
+    want = set()
+    for q, v in [r for r in rows if r[0] % 20 == 0]:
+        ranked = sorted((-int(width(v) @ width(w)), i) for i, w in rows if i != q)[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)}
+    assert {tuple(r) for r in topk.top_k(df, df.filter("id % 20 = 0"), 20).collect()} == want
+    huge = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40])], "id long, vector array<long>")
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(huge, huge, 1).collect()
+
+
 def test_op10_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     vectors = [(r.vec_id, np.floor(64 * np.array(r.embedding, float)).astype(int)) for r in rows]
     assert {tuple(r) for r in queries.op10_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect()} == plain_top(vectors, 20)
 
 
-def test_op8_equals_duckdb(spark, sf):
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_equals_duckdb(spark, sf, name):
     from oracle_check import connect, same_rows
 
-    same_rows(queries.op8_line_dedup(spark, sf), connect(sf), queries.OP8_SQL)
+    same_rows(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE_SQL[name])
 
 
 def test_op2_query(spark, sf):
