@@ -39,10 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix wants them. The least rate is 1: none is lost, and the targets are neared by repetition within a fifth more tokens."""
+    """Documents as often as the mix wants them. The least rate is 1: none is lost, and the targets are reached by repetition, with as
+    many more tokens as that takes, twice as many at most."""
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(docs, labelled_domains(spark, sf_dir, docs), MIX_TARGETS, floor=1.0, growth=1.2)
-    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("copy")).drop("copy")
+    mixed = mixing.mix(docs, labelled_domains(spark, sf_dir, docs), MIX_TARGETS, floor=1.0, growth=None)
+    copies = F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))
+    return mixed.select(*COLUMNS, F.explode(copies).alias("copy")).drop("copy")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
