@@ -166,12 +166,52 @@ def error_kind(message: Column | str) -> Column:
     return F.when(m.rlike("timeout|timed out|connection|unreachable|50[0-9]"), "source unavailable").when(m.rlike("429|rate"), "source busy").when(m.rlike("40[134]|private|forbidden|not found"), "list not readable").otherwise("internal error")
 
 
+def length_class(episodes: Column | str) -> Column:
+    """How long a title is, by its episodes; an unknown count is short."""
+    e = F.coalesce(col(episodes), F.lit(0))
+    return F.when(e <= 13, "1-13").when(e <= 26, "14-26").when(e <= 60, "27-60").otherwise("60+")
+
+
+# Roles whose people become tokens.
+STAFF_TOKENS = {"Director": "dir", "Series Composition": "wri", "Script": "wri", "Original Creator": "orig", "Music": "mus"}
+
+
 def tokens_of(row: DataFrame) -> Column:
-    """Category tokens of an item row: genres, studio, format, length."""
-    return F.concat(
-        F.transform(F.coalesce(row["genres"], F.array().cast("array<string>")), lambda g: F.concat(F.lit("g:"), g)),
-        F.array(F.concat(F.lit("st:"), F.coalesce(row["studio"], F.lit(""))), F.concat(F.lit("mt:"), F.coalesce(row["media_type"], F.lit(""))), F.concat(F.lit("dec:"), (F.floor(row["season_year"] / 10) * 10).cast("string"))),
-    )
+    """Category tokens of an item row: genres, studio, format and five-year span; source, rating, length and staff where the row has them
+    (staff: array of (role, name))."""
+    one = lambda prefix, c, default="": F.array(F.concat(F.lit(prefix), F.coalesce(c, F.lit(default))))
+    parts = [F.transform(F.coalesce(row["genres"], F.array().cast("array<string>")), lambda g: F.concat(F.lit("g:"), g)), one("st:", row["studio"]), one("mt:", row["media_type"])]
+    parts.append(F.when(row["season_year"].isNotNull(), one("dec:", (F.floor(row["season_year"] / 5) * 5).cast("string"))).otherwise(F.array().cast("array<string>")))
+    if "num_episodes" in row.columns:
+        parts.append(one("len:", length_class(row["num_episodes"])))
+    for prefix, c in (("src:", "source"), ("rt:", "rating")):
+        if c in row.columns:
+            parts.append(one(prefix, row[c], "None"))
+    if "staff" in row.columns:
+        known = F.create_map(*(F.lit(x) for pair in STAFF_TOKENS.items() for x in pair))
+        named = F.filter(F.coalesce(row["staff"], F.array().cast(row.schema["staff"].dataType)), lambda x: F.array_contains(F.map_keys(known), x["role"]) & x["name"].isNotNull())
+        parts.append(F.transform(named, lambda x: F.concat(F.element_at(known, x["role"]), F.lit(":"), x["name"])))
+    return F.concat(*parts)
+
+
+def feature_label(feature: Column | str) -> Column:
+    """A feature in words, for explanations: what kind of thing it is and which."""
+    f = col(feature)
+    kinds = F.create_map(*(F.lit(x) for pair in (("g", "genre"), ("st", "studio"), ("mt", "format"), ("dec", "years"), ("len", "length"), ("src", "source"), ("rt", "rating"), ("dir", "director"), ("wri", "writer"), ("orig", "creator"), ("mus", "music"), ("t", "tag"), ("n", "everyone")) for x in pair))
+    return F.concat(F.coalesce(F.try_element_at(kinds, F.split(f, ":")[0]), F.lit("other")), F.lit(" "), F.regexp_replace(f, "^[^:]*:", ""))
+
+
+def theme_category(category: Column | str, prefixes: Sequence[str] = ("Theme", "Cast", "Setting")) -> Column:
+    """Whether a tag's category is one of themes, casts and settings."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | F.coalesce(col(category).startswith(p), F.lit(False))
+    return found
+
+
+def in_range(value: Column | str, low: int, high: int) -> Column:
+    """A saved number if it lies in its range, else nothing."""
+    return F.when(col(value).between(low, high), col(value))
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.session import checkpointed
 from . import graph
 from .graph import satisfied
+from .ranks import global_rank, kth_largest
 
 SUPPRESSING = ("not_interested", "hidden", "seen_it")
 
@@ -30,30 +32,107 @@ def offered_items(items: DataFrame, as_of: datetime, min_scorers: int = 2000, al
     return out if allow_nsfw else out.filter(F.col("nsfw").isNull() | (F.col("nsfw") == "white"))
 
 
-def eligible(users: DataFrame, offered: DataFrame, entries: DataFrame, feedback: DataFrame, franchise: DataFrame | None = None, closure: DataFrame | None = None, catalogue: DataFrame | None = None) -> DataFrame:
-    """(user_id, item_id, franchise_id, known_franchise, format_class) for every user and item that nothing speaks against.
+#: Titles that may be offered, up to which their facts and ids are broadcast (some 20 MB); larger catalogues are dealt out in blocks.
+POOL_BROADCAST, POOL_BLOCK = 200_000, 50_000
+#: Pairs of a user and a title that one task makes.
+PAIRS_A_TASK = 4_000_000
 
-    The result is near users x offered, so that product is made once, where the users already lie: what a user listed or dismissed
-    rides along as arrays no longer than the list, and no pair is shuffled. Titles with prequels come in from what users completed.
-    """
+
+def candidate_pool(offered: DataFrame, franchise: DataFrame | None = None, facts: Sequence[str] = ()) -> DataFrame:
+    """(item_id, franchise_id, format_class, facts): offered titles with what is to be known of them, joined before any user comes in."""
     f = franchise.select("item_id", "franchise_id") if franchise is not None else offered.select("item_id", F.col("item_id").alias("franchise_id"))
-    pool = offered.join(f, "item_id", "left").select("item_id", F.coalesce("franchise_id", "item_id").alias("franchise_id"), "format_class")
-    met = entries.select("user_id", "item_id").join(f, "item_id", "left").select("user_id", "item_id", "franchise_id").unionByName(suppressed(feedback).withColumn("franchise_id", F.lit(None).cast("long")))
-    own = met.groupBy("user_id").agg(F.collect_set("item_id").alias("__out"), F.collect_set("franchise_id").alias("__known"))
+    return checkpointed(offered.join(f, "item_id", "left").select("item_id", F.coalesce("franchise_id", "item_id").alias("franchise_id"), "format_class", *facts))
+
+
+def user_reach(users: DataFrame, entries: DataFrame, feedback: DataFrame, franchise: DataFrame, closure: DataFrame | None = None, catalogue: DataFrame | None = None) -> DataFrame:
+    """(user_id, out, known, opened): what a user listed or dismissed, the franchises of the list, and the titles with prequels whose
+    prequels are all completed, as arrays no longer than the list."""
+    met = entries.select("user_id", "item_id").join(franchise.select("item_id", "franchise_id"), "item_id", "left").select("user_id", "item_id", "franchise_id").unionByName(suppressed(feedback).withColumn("franchise_id", F.lit(None).cast("long")))
+    own = met.groupBy("user_id").agg(F.collect_set("item_id").alias("out"), F.collect_set("franchise_id").alias("known"))
     if closure is not None:
-        items = catalogue if catalogue is not None else offered
-        free = pool.join(graph.requirements(closure, items), "item_id", "left_anti")
-        extra = graph.opened(closure, items, entries).groupBy("user_id").agg(F.collect_set("item_id").alias("__open"))
-        own = own.join(extra, "user_id", "left")
+        own = own.join(graph.opened(closure, catalogue, entries).groupBy("user_id").agg(F.collect_set("item_id").alias("opened")), "user_id", "left")
     else:
-        free = pool
-        own = own.withColumn("__open", F.lit(None).cast("array<long>"))
-    rows = users.select("user_id").distinct().join(own, "user_id", "left")
-    known = F.coalesce(F.array_contains("__known", F.col("franchise_id")), F.lit(False)).alias("known_franchise")
-    open_ = rows.filter(F.size("__open") > 0).select("user_id", "__out", "__known", F.explode("__open").alias("item_id")).join(pool, "item_id") if closure is not None else None
-    pairs = rows.drop("__open").crossJoin(free)
-    pairs = pairs if open_ is None else pairs.unionByName(open_)
-    return pairs.filter(~F.coalesce(F.array_contains("__out", F.col("item_id")), F.lit(False))).select("user_id", "item_id", "franchise_id", known, "format_class")
+        own = own.withColumn("opened", F.lit(None).cast("array<long>"))
+    none = F.array().cast("array<long>")
+    return checkpointed(users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", *(F.coalesce(c, none).alias(c) for c in ("out", "known", "opened"))))
+
+
+def _offers(reach: DataFrame, pool: DataFrame, free: DataFrame) -> DataFrame:
+    """The pool's rows that each user may be offered: of the titles that are free for all and those opened for the user, the ones not out.
+
+    Users are dealt once, by user_id, and stay where they lie: a pool of a checked size comes to them as one row of ids and as facts by
+    broadcast, so windows on the user need no exchange. A larger pool is met block by block.
+    """
+    n, users = pool.count(), reach.count()
+    parts = max(reach.sparkSession.sparkContext.defaultParallelism, -(-n * users // PAIRS_A_TASK))
+    own = F.array_except(F.concat("free", "opened"), "out")
+    if n <= POOL_BROADCAST:
+        one = free.agg(F.collect_list("item_id").alias("free"))
+        open_ = reach.repartition(parts, "user_id").crossJoin(F.broadcast(one)).select("user_id", "known", F.explode(own).alias("item_id"))  # one row
+        pairs = open_.join(F.broadcast(pool), "item_id")
+    else:
+        blocks = -(-n // POOL_BLOCK)
+        lists = free.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("item_id").alias("free"))  # POOL_BLOCK ids or so
+        each = reach.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        each = each.withColumn("opened", F.filter("opened", lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)) == F.col("block")))
+        open_ = each.join(lists, "block", "left").withColumn("free", F.coalesce("free", F.array().cast("array<long>"))).select("user_id", "known", F.explode(own).alias("item_id"))
+        pairs = open_.join(pool, "item_id")
+    return pairs.withColumn("known_franchise", F.array_contains("known", F.col("franchise_id"))).drop("known")
+
+
+def eligible(users: DataFrame, offered: DataFrame, entries: DataFrame, feedback: DataFrame, franchise: DataFrame | None = None, closure: DataFrame | None = None, catalogue: DataFrame | None = None, facts: Sequence[str] = ()) -> DataFrame:
+    """(user_id, item_id, franchise_id, known_franchise, format_class, facts) for every user and item that nothing speaks against.
+
+    facts: columns of ``offered`` that come along. Titles with prequels come in from what users completed.
+    """
+    pool = candidate_pool(offered, franchise, facts)
+    items = catalogue if catalogue is not None else offered
+    f = franchise if franchise is not None else pool
+    free = pool.join(graph.requirements(closure, items), "item_id", "left_anti") if closure is not None else pool
+    reach = user_reach(users, entries, feedback, f, closure, items)
+    return _offers(reach, pool, free).select("user_id", "item_id", "franchise_id", "known_franchise", "format_class", *facts)
+
+
+def top_lists(users: DataFrame, offered: DataFrame, entries: DataFrame, feedback: DataFrame, franchise: DataFrame, closure: DataFrame, catalogue: DataFrame, top: int, weight: float, ref_sd: float, ahead: int = 40) -> DataFrame:
+    """(user_id, item_id, rank, value): each user's ``top`` titles, one a franchise, by prediction + weight * scale * novelty, where scale
+    is the spread of the user's predictions over ``ref_sd``, in 0..1. offered: item_id, format_class, prediction, novelty (0 or more).
+
+    No value is above prediction + weight * novelty, so only the first ``ahead * top`` titles in that order are met by every user. What
+    a user's list can still lack lies under the next title's bound; users whose last pick is not above it are worked out over the whole
+    pool. The spread needs no pairs: sums over the pool, less what is out, plus what is opened.
+    """
+    pool = candidate_pool(offered, franchise, ("prediction", "novelty"))
+    free = checkpointed(pool.join(graph.requirements(closure, catalogue), "item_id", "left_anti").withColumn("bound", F.col("prediction") + weight * F.col("novelty")))
+    reach = user_reach(users, entries, feedback, franchise, closure, catalogue)
+    sums = lambda v: [F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")]
+    value = F.col("prediction")
+    facts = lambda rows, titles: rows.join(titles.select("item_id", "prediction"), "item_id").groupBy("user_id").agg(*sums(value))
+    gone = facts(reach.select("user_id", F.explode("out").alias("item_id")), free)
+    more = facts(reach.select("user_id", F.explode(F.array_except("opened", "out")).alias("item_id")), pool)
+    signed = gone.select("user_id", *((-F.col(c)).alias(c) for c in "nsq")).unionByName(more).groupBy("user_id").agg(*(F.sum(c).alias(c) for c in "nsq"))
+    whole = free.agg(*sums(value))
+    each = reach.join(signed, "user_id", "left").crossJoin(F.broadcast(whole.select(*(F.col(c).alias(f"all_{c}") for c in "nsq"))))  # one row
+    n, total, squares = (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"all_{c}"), F.lit(0)) for c in "nsq")
+    mean = F.try_divide(total, n)
+    spread = F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))
+    scale = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(spread, F.lit(0.0)) / ref_sd))
+    scaled = checkpointed(each.select("user_id", "out", "known", "opened", scale.alias("scale")))
+
+    def picked(some: DataFrame, titles: DataFrame) -> DataFrame:
+        rows = _offers(some, pool, titles).join(some.select("user_id", "scale"), "user_id").withColumn("value", F.col("prediction") + weight * F.col("scale") * F.col("novelty"))
+        first = F.row_number().over(Window.partitionBy("user_id", "franchise_id").orderBy(F.desc("value"), "item_id"))
+        rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "item_id"))
+        return rows.withColumn("k", first).filter("k = 1").withColumn("rank", rank).filter(F.col("rank") <= top).select("user_id", "item_id", "rank", "value")
+
+    head = free.orderBy(F.desc("bound"), "item_id").limit(ahead * top)
+    left = free.join(head.select("item_id"), "item_id", "left_anti").agg(F.max("bound")).first()[0]
+    found = checkpointed(picked(scaled, checkpointed(head)))
+    if left is None:
+        return found
+    sure = found.filter((F.col("rank") == top) & (F.col("value") > left + 1e-9)).select("user_id")
+    rest = checkpointed(scaled.join(sure, "user_id", "left_anti"))
+    found = found.join(sure, "user_id", "left_semi")
+    return found if rest.isEmpty() else found.unionByName(picked(rest, free))
 
 
 def dismissed_franchises(feedback: DataFrame, entries: DataFrame, franchise: DataFrame) -> DataFrame:
@@ -108,26 +187,25 @@ def coming_soon(entries: DataFrame, items: DataFrame, feedback: DataFrame, franc
     return out.join(suppressed(feedback), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "title", "start_date", "franchise_id", "after_title", "after_score")
 
 
-def gem_bars(stats: DataFrame, old_rank: int = 1200, young_rank: int = 2000) -> DataFrame:
-    """One row (old, young): the audiences at two ranks; 0 where the catalogue is smaller."""
-    ranked = stats.withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.coalesce("members", F.lit(0))), "item_id")))
-    at = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.coalesce("members", F.lit(0)).cast("double"))), F.lit(0.0))
-    return ranked.filter(F.col("k").isin(old_rank, young_rank)).agg(at(old_rank).alias("old"), at(young_rank).alias("young"))
+def gem_bars(stats: DataFrame, old_rank: int = 1200, young_rank: int = 2000) -> tuple[float, float]:
+    """The audiences at two ranks, for old and for young titles; 0 where the catalogue is smaller."""
+    members = F.coalesce("members", F.lit(0))
+    return kth_largest(stats, members, old_rank, "item_id"), kth_largest(stats, members, young_rank, "item_id")
 
 
 def hidden_gems(items: DataFrame, as_of: datetime, old_rank: int = 1200, young_rank: int = 2000, young_months: int = 12) -> DataFrame:
     """Titles whose audience, at the size that their age puts it on course for, stays under the bar. items carries members and start_date."""
     today = F.lit(as_of).cast("date")
-    bars = gem_bars(items, old_rank, young_rank)
+    old, young = gem_bars(items, old_rank, young_rank)
     months = F.greatest(F.datediff(today, "start_date") / F.lit(S.DAYS_A_MONTH), F.lit(0.0))
-    grown = items.withColumn("grown", S.grown_members("members", "start_date", today)).crossJoin(F.broadcast(bars))  # one row
-    return grown.filter(F.col("grown") < F.when(months < young_months, F.col("young")).otherwise(F.col("old"))).drop("old", "young")
+    grown = items.withColumn("grown", S.grown_members("members", "start_date", today))
+    return grown.filter(F.col("grown") < F.when(months < young_months, F.lit(young)).otherwise(F.lit(old)))
 
 
 def grown_ranks(items: DataFrame, as_of: datetime) -> DataFrame:
     """(item_id, grown, rank): ranks by age-fair audience; equal ones by the higher id."""
     out = items.select("item_id", S.grown_members("members", "start_date", F.lit(as_of).cast("date")).alias("grown"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("grown"), F.desc("item_id"))))
+    return global_rank(out, F.desc("grown"), F.desc("item_id"))
 
 
 def keep_filter(formats: Sequence[str] = (), episodes: tuple[int | None, int | None] = (None, None), years: tuple[int | None, int | None] = (None, None), without: Sequence[str] = ()) -> Column:
@@ -159,8 +237,41 @@ def shared_list(predictions: DataFrame, means: DataFrame, a: int, b: int, slack:
     return both.filter("ok and a is not null and b is not null").select("item_id", "a", "b", ((F.col("a") + F.col("b")) / 2).alias("mean"))
 
 
-def quiz_cards(entries: DataFrame, feedback: DataFrame, opinions: DataFrame, users: DataFrame, n: int = 15) -> DataFrame:
-    """(user_id, item_id, rank): the most listed titles that a user has not met, to be rated."""
+def quiz_cards(entries: DataFrame, feedback: DataFrame, opinions: DataFrame, users: DataFrame, n: int = 15, relevance: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, rank): titles that a user has not met, to be rated: the most listed ones or, with ``relevance`` (user_id,
+    item_id, rel), those of the highest chance to be known, e^z of the relevance among the user's cards, times how opinions differ."""
     seen = entries.select("user_id", "item_id").unionByName(feedback.select("user_id", "item_id")).distinct()
-    open_cards = users.select("user_id").distinct().crossJoin(F.broadcast(opinions.select("item_id", "listed"))).join(seen, ["user_id", "item_id"], "left_anti")  # opinions are a top list of bounded length
-    return open_cards.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("listed"), "item_id"))).filter(F.col("rank") <= n).select("user_id", "item_id", "rank")
+    cards = opinions.select("item_id", "listed", F.coalesce("spread", F.lit(0.0)).alias("spread"))
+    open_cards = users.select("user_id").distinct().crossJoin(F.broadcast(cards)).join(seen, ["user_id", "item_id"], "left_anti")  # opinions are a top list of bounded length
+    worth = F.col("listed").cast("double")
+    if relevance is not None:
+        open_cards = open_cards.join(relevance.select("user_id", "item_id", "rel"), ["user_id", "item_id"], "left").fillna({"rel": 0.0})
+        sd, mean = (f("rel").over(Window.partitionBy("user_id")) for f in (F.stddev_pop, F.avg))
+        worth = worth * F.exp(F.when(sd > 1e-9, (F.col("rel") - mean) / sd).otherwise(0.0)) * F.col("spread")
+    ranked = open_cards.withColumn("worth", worth)
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("worth"), "item_id"))).filter(F.col("rank") <= n).select("user_id", "item_id", "rank")
+
+
+def derived_titles(relation: DataFrame) -> DataFrame:
+    """(item_id): side stories and recaps, that is titles with a parent story or a fuller one."""
+    return relation.filter(F.col("relation_type").isin("parent_story", "full_story")).select(F.col("src").alias("item_id")).distinct()
+
+
+def surface_pool(offered: DataFrame, derived: DataFrame, gems: DataFrame | None = None) -> DataFrame:
+    """The main titles that a discovery list draws on: none derived from another; for hidden gems, only gems."""
+    out = offered.filter("format_class = 'main'").join(derived, "item_id", "left_anti")
+    return out if gems is None else out.join(gems.select("item_id"), "item_id", "left_semi")
+
+
+def item_detail(items: DataFrame, franchise: DataFrame, tags: DataFrame, least_rank: int = 50) -> DataFrame:
+    """A title's facts with its franchise and its tags, strongest first. tags: (item_id, tag, rank)."""
+    strong = tags.filter(F.col("rank") >= least_rank).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("k"), "tag"))), lambda x: x["tag"]).alias("tags"))  # one title's tags
+    out = items.join(franchise.select("item_id", "franchise_id"), "item_id", "left").join(strong, "item_id", "left")
+    return out.withColumn("franchise_id", F.coalesce("franchise_id", "item_id"))
+
+
+def airing_now(entries: DataFrame, items: DataFrame, as_of: datetime) -> DataFrame:
+    """(user_id, item_id, title, start_date): titles of the running season that a user has not listed, for ``build``."""
+    season = this_season(items, as_of).select("item_id", "title", "start_date")
+    users = entries.select("user_id").distinct()
+    return users.crossJoin(F.broadcast(season)).join(entries.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")  # one season's titles

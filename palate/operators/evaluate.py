@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,32 +102,39 @@ def residual_quantiles(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.transform(q, lambda x: F.round(x, 3)).alias("q"))
 
 
-def _run(prediction: float, q: np.ndarray, mass: float) -> tuple[int, int, float]:
-    below = np.interp(np.arange(1, 10) + 0.5 - prediction, q, QUANTILES, left=0.0, right=1.0)
-    p = np.diff(np.concatenate([[0.0], below, [1.0]]))  # chances of the ratings 1 to 10
-    first = last = int(p.argmax())
-    held = p[first]
-    while held < mass and (first > 0 or last < 9):
-        up, down = (p[last + 1] if last < 9 else -1.0), (p[first - 1] if first > 0 else -1.0)
-        if up >= down:
-            last += 1
-            held += up
-        else:
-            first -= 1
-            held += down
-    return first + 1, last + 1, float(p[8:].sum())
+def rating_chances(prediction: Column | str, q: Column | str) -> Column:
+    """The chances of the ratings 1 to 10: the residual distribution, known at 21 quantiles and linear between them, cut at the halves."""
+    p, q = S.col(prediction), S.col(q)
 
+    def below(rating: float) -> Column:
+        x = F.lit(rating + 0.5) - p
+        at = F.size(F.filter(q, lambda v: v <= x))
+        low, high = F.get(q, at - 1), F.get(q, at)
+        return F.when(at == 0, 0.0).when(at == len(QUANTILES), 1.0).otherwise((at - 1 + (x - low) / (high - low)) / (len(QUANTILES) - 1))
+
+    edges = F.array(F.lit(0.0), *(below(k) for k in range(1, 10)), F.lit(1.0))
+    return F.transform(F.array(edges), lambda e: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.get(e, k + 1) - F.get(e, k)))[0]
 
-def likely_ratings(rows: DataFrame, mass: float = 0.5) -> DataFrame:
-    """Add low, high and p_high: the shortest run of ratings around the likeliest that holds ``mass``, and the chance of 9 or more. rows: prediction, q."""
 
-    @F.arrow_udf("struct<low:int,high:int,p_high:double>")
-    def run(prediction: pa.Array, q: pa.Array) -> pa.Array:
-        got = [_run(p, np.array(x), mass) if p is not None and x is not None else (None, None, None) for p, x in zip(prediction.to_pylist(), q.to_pylist(), strict=True)]
-        low, high, top = zip(*got, strict=True) if got else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(top, pa.float64())], ["low", "high", "p_high"])
+#: All runs of neighbouring ratings, as places from 0.
+RUNS = tuple((a, b) for a in range(10) for b in range(a, 10))
 
-    return rows.withColumn("__r", run("prediction", "q")).select("*", "__r.*").drop("__r")
+
+def likely_ratings(rows: DataFrame, mass: float = 0.5) -> DataFrame:
+    """Add low, high and p_high: the shortest run of ratings with the likeliest one in it that holds ``mass``, and the chance of 9 or more.
+
+    Of the runs of equal length the one that holds most, then the higher one. All 55 runs are looked at. rows: prediction, q.
+    """
+    p = F.col("__p")
+    mode = F.array_position(p, F.array_max(p)) - 1
+    upto = [F.lit(0.0)]
+    for k in range(10):
+        upto.append(upto[-1] + F.get(p, F.lit(k)))
+    held = lambda a, b: F.round(upto[b + 1] - upto[a], 9)
+    runs = F.array(*(F.when((held(a, b) >= mass) & mode.between(a, b), F.struct(F.lit(b - a).alias("n"), (-held(a, b)).alias("m"), F.lit(-a).alias("a"))) for a, b in RUNS))
+    best = rows.withColumn("__p", rating_chances("prediction", "q")).withColumn("__r", F.array_min(F.filter(runs, lambda x: x.isNotNull())))
+    out = best.withColumns({"low": (1 - F.col("__r.a")).cast("int"), "high": (1 - F.col("__r.a") + F.col("__r.n")).cast("int"), "p_high": F.get(p, F.lit(8)) + F.get(p, F.lit(9))})
+    return out.drop("__p", "__r")
 
 
 def range_coverage(rows: DataFrame, *keys: str) -> DataFrame:
@@ -179,21 +185,20 @@ def period_change(rows: DataFrame, metric: str = "positive") -> DataFrame:
 
 
 def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Upper tail of Student's t by the incomplete beta function (continued fraction)."""
-    out = np.empty(len(t))
-    for i, (x, n) in enumerate(zip(t, df, strict=True)):
-        a, b, z = n / 2, 0.5, n / (n + x * x)
-        flip = z > (a + 1) / (a + b + 2)
-        p, r, y = (b, a, 1 - z) if flip else (a, b, z)
-        front = math.exp(math.lgamma(p + r) - math.lgamma(p) - math.lgamma(r) + p * math.log(max(y, 1e-300)) + r * math.log(max(1 - y, 1e-300))) / p
-        f = 1.0
-        for k in range(120, 0, -1):  # the continued fraction, from its far end
-            m = k // 2
-            step = m * (r - m) * y / ((p + 2 * m - 1) * (p + 2 * m)) if k % 2 == 0 else -(p + m) * (p + r + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-            f = 1 + step / f
-        beta = front / f
-        out[i] = 0.5 * (1 - beta if flip else beta)
-    return out
+    """Upper tail of Student's t by the incomplete beta function (a continued fraction, for all values at once)."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    a, b, z = df / 2, np.full(len(df), 0.5), df / (df + t * t)
+    flip = z > (a + 1) / (a + b + 2)
+    p, r, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - z, z)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    log_front = gamma(p + r) - gamma(p) - gamma(r) + p * np.log(np.maximum(y, 1e-300)) + r * np.log(np.maximum(1 - y, 1e-300)) if len(t) else np.zeros(0)
+    f = np.ones(len(t))
+    for k in range(120, 0, -1):  # the continued fraction, from its far end
+        m = k // 2
+        step = m * (r - m) * y / ((p + 2 * m - 1) * (p + 2 * m)) if k % 2 == 0 else -(p + m) * (p + r + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        f = 1 + step / f
+    beta = np.exp(log_front) / p / f
+    return 0.5 * np.where(flip, 1 - beta, beta)
 
 
 def group_evidence(values: DataFrame, mu: DataFrame, least: int = 4, z_least: float = 2.0, floor: float = 0.5, fdr: float = 0.1) -> DataFrame:
@@ -220,3 +225,33 @@ def taste_groups(rated: DataFrame, items: DataFrame, series: DataFrame) -> DataF
     length = F.when(F.col("num_episodes") >= 50, "long").when(F.col("num_episodes") >= 14, "medium").otherwise("short")
     kinds = F.concat(F.transform("genres", lambda g: F.struct(F.lit("genre").alias("kind"), g.alias("name"))), F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("studio", F.col("studio")), ("format", F.col("media_type")), ("era", era), ("length", length)))))
     return at.select("user_id", "series_id", F.explode(F.array_distinct(kinds)).alias("g"), "score").select("user_id", "series_id", "g.kind", "g.name", "score")
+
+
+def user_quantiles(sizes: DataFrame, own: DataFrame, everyone: DataFrame, least: int = 40) -> DataFrame:
+    """(user_id, source, q): which error quantiles a user's ranges rest on: the own ones from ``least`` held-out ratings, else everyone's."""
+    at = sizes.select("user_id", "n").join(own.select("user_id", F.col("q").alias("own")), "user_id", "left").crossJoin(F.broadcast(everyone.select(F.col("q").alias("all"))))  # one row
+    mine = (F.col("n") >= least) & F.col("own").isNotNull()
+    return at.select("user_id", F.when(mine, "own").otherwise("size").alias("source"), F.when(mine, F.col("own")).otherwise(F.col("all")).alias("q"))
+
+
+def compared_orders(rows: DataFrame, names: tuple[str, ...], truth: str = "truth") -> DataFrame:
+    """(user_id, name, rho): how well each of several predictions (columns) orders a user's ratings."""
+    each = rows.select("user_id", F.col(truth).alias("truth"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("prediction")) for n in names))).alias("p"))
+    each = each.select(F.struct("user_id", "p.name").alias("key"), "truth", "p.prediction")
+    return spearman(each, key="key").select("key.user_id", "key.name", "rho", "n")
+
+
+def age_shares(lists: DataFrame, items: DataFrame, franchise: DataFrame, year: int) -> DataFrame:
+    """(user_id, fresh, old, repeats): shares of titles under two and from ten years of age, and titles beyond the first of a franchise."""
+    at = lists.join(items.select("item_id", (F.lit(year) - F.col("season_year")).alias("age")), "item_id").join(franchise.select("item_id", "franchise_id"), "item_id")
+    share = lambda c: F.avg(c.cast("double"))
+    return at.groupBy("user_id").agg(share(F.col("age") < 2).alias("fresh"), share(F.col("age") >= 10).alias("old"), (F.count("*") - F.count_distinct("franchise_id")).alias("repeats"))
+
+
+def grid_errors(tried: dict[float, DataFrame]) -> DataFrame:
+    """(setting, rmse, bias, n) of each setting's pairs (user_id, prediction, truth), in one job."""
+    every = None
+    for setting, pairs in tried.items():
+        rows = pairs.select(F.lit(setting).alias("setting"), "prediction", "truth")
+        every = rows if every is None else every.unionByName(rows)
+    return error(every, "setting")

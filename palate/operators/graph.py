@@ -5,8 +5,6 @@ Loops exchange small edge tables, each cut with checkpoint() in the shared folde
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +70,16 @@ def opened(closure: DataFrame, items: DataFrame, entries: DataFrame) -> DataFram
 
 
 def pool_exclusions(entries: DataFrame, prequel: DataFrame, closure: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, item_id): titles with unmet prequels, and direct sequels of completed titles that the user liked."""
-    users = entries.select("user_id").distinct()
-    waiting = closure.select("item_id").distinct()
-    unmet = unmet_prequels(users.crossJoin(F.broadcast(waiting)), closure, items, entries).select("user_id", "item_id").distinct()  # waiting: a part of the catalogue
+    """(user_id, item_id): titles with unmet prequels, and direct sequels of completed titles that the user liked.
+
+    Unmet are all titles with requirements but those that are opened for the user. Their ids come to each user as one array, so no pair
+    is tried; the result itself is nearly users x such titles.
+    """
+    opened_ = opened(closure, items, entries).groupBy("user_id").agg(F.collect_set("item_id").alias("opened"))
+    needy = requirements(closure, items).agg(F.collect_list("item_id").alias("needy"))
+    users = entries.select("user_id").distinct().join(opened_, "user_id", "left")
+    closed = F.array_except("needy", F.coalesce("opened", F.array().cast("array<long>")))
+    unmet = users.crossJoin(F.broadcast(needy)).select("user_id", F.explode(closed).alias("item_id"))  # one row
     bar = entries.filter("score > 0").groupBy("user_id").agg(F.greatest(F.bround(F.avg("score")) - 1, F.lit(6)).alias("bar"))
     liked = entries.filter("status = 'completed'").join(bar, "user_id").filter(F.col("score") >= F.col("bar")).select("user_id", F.col("item_id").alias("prequel_id"))
     return unmet.unionByName(liked.join(prequel, "prequel_id").select("user_id", "item_id")).distinct()
@@ -105,69 +109,37 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-class Forest:
-    """Groups of one connected component while links are settled: the largest group, then the lowest id, ranks highest."""
-
-    def __init__(self, nodes: list[int]):
-        self.of = {n: n for n in nodes}
-        self.members = {n: {n} for n in nodes}
-
-    def merge(self, a: int, b: int) -> None:
-        a, b = self.of[a], self.of[b]
-        if a == b:
-            return
-        low, high = min(a, b), max(a, b)
-        for n in self.members[high]:
-            self.of[n] = low
-        self.members[low] |= self.members.pop(high)
-
-    def rank(self, g: int) -> tuple[int, int]:
-        return len(self.members[g]), -g
-
-
-def settle_links(nodes: list[int], merges: list[tuple[int, int]], links: list[tuple[int, int]]) -> dict[int, int]:
-    """Group ids. Merges join outright. A link only ever joins a group to a larger one it hangs off: to the single one there is, or,
-    for a lone title, to the largest of several; other groups hanging off several stay alone, and their links are given up."""
-    forest = Forest(nodes)
-    for a, b in merges:
-        forest.merge(a, b)
-    open_links = {(a, b) for a, b in links}
-    moving = True
-    while moving and open_links:
-        moving = False
-        open_links = {(a, b) for a, b in open_links if forest.of[a] != forest.of[b]}
-        for start in sorted({forest.of[x] for pair in open_links for x in pair}, key=forest.rank):
-            g = forest.of[start]
-            above: dict[int, set[tuple[int, int]]] = {}
-            for a, b in open_links:
-                ga, gb = forest.of[a], forest.of[b]
-                other = gb if ga == g else ga if gb == g else g
-                if other != g and forest.rank(other) > forest.rank(g):
-                    above.setdefault(other, set()).add((a, b))
-            if not above:
-                continue
-            open_links -= set().union(*above.values())
-            if len(above) == 1 or len(forest.members[g]) == 1:
-                forest.merge(g, max(above, key=forest.rank))
-                moving = True
-    return forest.of
-
-
-def story_groups(nodes: DataFrame, relation: DataFrame, hanging: tuple[str, ...]) -> DataFrame:
-    """(item_id, group_id). The order-dependent part runs per connected component, which is a franchise's size."""
+def story_groups(nodes: DataFrame, relation: DataFrame, hanging: tuple[str, ...], max_rounds: int = 100) -> DataFrame:
+    """(item_id, group_id): what chains and retellings join, and what hangs off it; group_id is the smallest member.
+
+    A hanging link only ever joins a group to a larger one (by members, then the smaller id). Rounds over a table of neighbouring
+    groups: those that are smaller than all their neighbours act at once, and since no two of them are neighbours, none waits for
+    another. A group with one neighbour, or a single title, joins its largest neighbour; another one with several stays alone. Either
+    way its other links are given up, so the table shrinks until it is empty.
+    """
     kinds = pair_kinds(relation)
-    used = kinds.filter(F.col("kind").isin("chain", "retold", *hanging))
-    parts = connected_components(nodes.select(F.col("item_id").alias("node")), used.select("a", "b"))
-    label = used.join(parts.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b", "kind")
-    alone = parts.select("component", F.col("node").alias("a"), F.col("node").alias("b"), F.lit("self").alias("kind"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(group["a"], group["b"], group["kind"], strict=True))
-        ids = sorted(int(a) for a, _, k in rows if k == "self")
-        of = settle_links(ids, [(a, b) for a, b, k in rows if k in ("chain", "retold")], [(a, b) for a, b, k in rows if k in hanging])
-        return pd.DataFrame({"item_id": list(of), "group_id": list(of.values())})
-
-    return label.unionByName(alone).groupBy("component").applyInPandas(settle, "item_id long, group_id long")
+    joined = connected_components(nodes.select(F.col("item_id").alias("node")), kinds.filter(F.col("kind").isin("chain", "retold")).select("a", "b"))
+    of = checkpointed(joined.select(F.col("node").alias("item_id"), F.col("component").alias("group_id")))
+    links = kinds.filter(F.col("kind").isin(*hanging)).select("a", "b")
+    at = of.select(F.col("item_id").alias("a"), F.col("group_id").alias("ga")), of.select(F.col("item_id").alias("b"), F.col("group_id").alias("gb"))
+    links = checkpointed(links.join(at[0], "a").join(at[1], "b").filter("ga <> gb").select("ga", "gb").distinct())
+    for _ in range(max_rounds):
+        if links.isEmpty():
+            return of
+        size = of.groupBy("group_id").agg(F.count("*").alias("n"))
+        both = links.unionByName(links.select(F.col("gb").alias("ga"), F.col("ga").alias("gb"))).distinct()
+        near = both.join(size.select(F.col("group_id").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("group_id").alias("gb"), F.col("n").alias("nb")), "gb")
+        mine, theirs = F.struct("na", (-F.col("ga")).alias("id")), F.struct(F.col("nb").alias("na"), (-F.col("gb")).alias("id"))
+        acting = near.groupBy("ga").agg(F.max(mine).alias("mine"), F.min(theirs).alias("least"), F.max(theirs).alias("most"), F.count("*").alias("near")).filter(F.col("mine") < F.col("least"))
+        acting = checkpointed(acting.select("ga", F.when((F.col("near") == 1) | (F.col("mine.na") == 1), -F.col("most.id")).alias("into")))
+        moved = acting.filter("into is not null")
+        name = moved.groupBy("into").agg(F.min("ga").alias("least")).select("into", F.least("into", "least").alias("now"))
+        renamed = moved.join(name, "into").select("ga", "now").unionByName(name.select(F.col("into").alias("ga"), "now"))
+        of = checkpointed(of.join(renamed.withColumnRenamed("ga", "group_id"), "group_id", "left").select("item_id", F.coalesce("now", "group_id").alias("group_id")))
+        kept = links.join(acting.select("ga"), "ga", "left_anti").join(acting.select(F.col("ga").alias("gb")), "gb", "left_anti")
+        kept = kept.join(renamed.select("ga", F.col("now").alias("na")), "ga", "left").join(renamed.select(F.col("ga").alias("gb"), F.col("now").alias("nb")), "gb", "left")
+        links = checkpointed(kept.select(F.coalesce("na", "ga").alias("ga"), F.coalesce("nb", "gb").alias("gb")).filter("ga <> gb").distinct())
+    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
 
 
 def series_and_franchise(nodes: DataFrame, relation: DataFrame) -> DataFrame:

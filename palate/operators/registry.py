@@ -117,3 +117,20 @@ def job_state(lines: DataFrame, max_hours: float, as_of: Column) -> DataFrame:
     since = lines.crossJoin(F.broadcast(start)).filter(F.col("at") >= F.col("started_at"))  # one row
     late = (F.unix_timestamp(as_of) - F.unix_timestamp("started_at")) / 3600 > max_hours
     return since.groupBy("started_at").agg(F.bool_or(F.col("line").rlike("(?i)error|failed|traceback")).alias("failed")).withColumn("late", late)
+
+
+def list_version(entries: DataFrame) -> DataFrame:
+    """(user_id, entries, newest): what tells whether a cached model is of the list as it is now."""
+    return entries.groupBy("user_id").agg(F.count("*").alias("entries"), F.max("rated_at").alias("newest"))
+
+
+def newest_run(runs: DataFrame) -> DataFrame:
+    """The last run of each user (user_id, id, made_at, ...)."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("made_at"), F.desc("id")))
+    return runs.withColumn("__k", place).filter("__k = 1").drop("__k")
+
+
+def partners(pairs: DataFrame) -> DataFrame:
+    """(user_id, other_id, state): each pair (inviter, invitee, status) as either side sees it: partner, outgoing or incoming."""
+    side = lambda me, other, waiting: pairs.select(F.col(me).alias("user_id"), F.col(other).alias("other_id"), F.when(F.col("status") == "accepted", "partner").otherwise(waiting).alias("state"))
+    return side("inviter", "invitee", "outgoing").unionByName(side("invitee", "inviter", "incoming"))

@@ -13,6 +13,115 @@ from ..settings import Settings
 ALPHAS = (10.0, 30.0, 100.0, 300.0, 1000.0)
 
 
+#: Numeric columns of a title's features that stand for what everyone thinks of it.
+CONSENSUS = ("n:mean", "n:audience", "n:scorers")
+
+
+def catalogue_features(items: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """(item_id, feature, value) of every title: one-hot tokens, tags by rank / 100, and the consensus numbers, centred.
+
+    items: item_id, genres, studio, media_type, season_year, num_episodes, mean, popularity, scorers; tags: (item_id, tag, rank).
+    """
+    log = lambda c, default, least: F.log10(F.greatest(F.coalesce(F.nullif(c, F.lit(0)), F.lit(default)), F.lit(1)).cast("double")) - least
+    numbers = {"n:mean": F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(7.5)) - 7.5, "n:audience": log("popularity", 5000, 3), "n:scorers": log("scorers", 1000, 4)}
+    pairs = F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in numbers.items()))
+    out = feature_values(items).unionByName(items.select("item_id", F.explode(pairs).alias("p")).select("item_id", "p.feature", "p.value"))
+    return out if tags is None else out.unionByName(tags.groupBy("item_id", F.concat(F.lit("t:"), F.col("tag")).alias("feature")).agg((F.max("rank") / 100).alias("value")))
+
+
+def user_features(pairs: DataFrame, affinity: DataFrame, franchise: DataFrame, cosine: DataFrame) -> DataFrame:
+    """(user_id, item_id, aff, franchise_best, franchise_known, tag_cosine): what a title says to a user, 0 or false where nothing is known."""
+    keys = ["user_id", "item_id"]
+    out = pairs.select(*keys).join(affinity.select(*keys, F.col("affinity").alias("aff")), keys, "left")
+    out = out.join(franchise.select(*keys, F.col("best_delta").alias("franchise_best"), F.col("has_history").alias("franchise_known")), keys, "left")
+    out = out.join(cosine.select(*keys, F.col("cosine").alias("tag_cosine")), keys, "left")
+    return out.fillna({"aff": 0.0, "franchise_best": 0.0, "tag_cosine": 0.0, "franchise_known": False})
+
+
+def acclaim_lift(pairs: DataFrame, models: DataFrame, features: DataFrame, rated: DataFrame) -> DataFrame:
+    """(user_id, item_id, acclaim): the part of a personal prediction above the user's average rated title that comes from consensus."""
+    said = models.filter(F.col("feature").isin(*CONSENSUS))
+    part = lambda rows: rows.select("user_id", "item_id").join(features, "item_id").join(said, ["user_id", "feature"]).groupBy("user_id", "item_id").agg(F.sum(F.col("value") * F.col("coef")).alias("x"))
+    usual = part(rated).groupBy("user_id").agg(F.avg("x").alias("usual"))
+    return part(pairs).join(usual, "user_id").select("user_id", "item_id", (F.col("x") - F.col("usual")).alias("acclaim"))
+
+
+def disagreement(rows: DataFrame, reference: DataFrame, scale: str = "z") -> DataFrame:
+    """Add gap: how much more the population expects than the personal model, in the population's points.
+
+    ``raw``: the difference; ``z``: of standard scores over reference titles (user_id, stack, personal); ``resid``: against what the
+    personal model says on average at that score. Users with fewer than 20 reference titles, or without spread, have no gap.
+    """
+    if scale == "raw":
+        return rows.withColumn("gap", F.col("stack") - F.col("personal"))
+    both = reference.filter("stack is not null and personal is not null").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.avg("stack").alias("ms"), F.stddev_pop("stack").alias("ss"), F.avg("personal").alias("mp"), F.stddev_pop("personal").alias("sp"), F.corr("stack", "personal").alias("rho")
+    ).filter("n >= 20 and ss > 1e-6 and sp > 1e-6")
+    zs, zp = (F.col("stack") - F.col("ms")) / F.col("ss"), (F.col("personal") - F.col("mp")) / F.col("sp")
+    gap = ((F.col("rho") * zs if scale == "resid" else zs) - zp) * F.col("ss")
+    return rows.join(both, "user_id", "left").withColumn("gap", F.coalesce(gap, F.lit(0.0))).drop("n", "ms", "ss", "mp", "sp", "rho")
+
+
+def blend_search(rows: DataFrame, least: int = 20, steps: int = 10) -> DataFrame:
+    """(user_id, share): of 0, 0.1, ..., 1 the personal share with the least squared error on held-out ratings; ties to the smaller one.
+
+    rows: (user_id, stack, personal, truth), held out of both fits. A user's error is a parabola in the share, so five sums tell all.
+    """
+    d, e = F.col("personal") - F.col("stack"), F.col("truth") - F.col("stack")
+    sums = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(d * d).alias("dd"), F.sum(d * e).alias("de")).filter(F.col("n") >= least)
+    loss = lambda k: k * k * F.col("dd") - 2 * k * F.col("de")
+    best = F.array_min(F.array(*(F.struct(F.round(loss(k / steps), 9).alias("loss"), F.lit(k / steps).alias("share")) for k in range(steps + 1))))
+    return sums.select("user_id", best["share"].alias("share"))
+
+
+def choose_setting(scores: DataFrame, default: float, margin: float = 0.002, least: int = 100) -> DataFrame:
+    """(user_id, value): of several settings (user_id, value, rho, n) the one that orders a user's held-out ratings best, if it beats the
+    default by more than ``margin`` and the user has ``least`` ratings; else the default."""
+    at = scores.groupBy("user_id").agg(F.max(F.when(F.col("value") == default, F.col("rho"))).alias("base"), F.max(F.struct("rho", (-F.col("value")).alias("v"))).alias("best"), F.max("n").alias("n"))
+    better = (F.col("n") >= least) & (F.coalesce(F.col("best.rho") > F.coalesce("base", F.lit(-1.0)) + margin, F.lit(False)))
+    return at.select("user_id", F.when(better, -F.col("best.v")).otherwise(F.lit(default)).alias("value"))
+
+
+def level_trend(examples: DataFrame, kind: str = "lin3") -> DataFrame:
+    """Add age_y, how long before a user's newest rating each one was given: years up to 3 (``lin3``) or log of one more (``log``)."""
+    newest = F.max("rated_at").over(Window.partitionBy("user_id"))
+    years = (F.unix_micros(newest.cast("timestamp")) - F.unix_micros(F.col("rated_at").cast("timestamp"))) / F.lit(1e6 * S.YEAR_SECONDS)
+    return examples.withColumn("age_y", F.coalesce(F.least(years, F.lit(3.0)) if kind == "lin3" else F.log1p(F.greatest(years, F.lit(0.0))), F.lit(0.0)))
+
+
+def serving_mode(n: Column | str, blend_from: int = 300) -> Column:
+    """Long histories are blended by their own measure, others by the size of the list."""
+    return F.when(S.col(n) >= blend_from, "blend").otherwise("sized")
+
+
+def ranking_rows(terms: DataFrame, facts: DataFrame, taste: DataFrame, profile: DataFrame, this_year: int) -> DataFrame:
+    """(user_id, item_id, and the inputs of a learned order): the key's terms, both predictions, facts of the title and the user's taste.
+
+    terms: of ``order_key``; facts: item_id, mean, scorers, popularity, season_year, num_episodes, genres; taste: user_id, long_share,
+    long_lift, long_drop; profile: (user_id, genre, share).
+    """
+    fit = terms.select("user_id", "item_id").join(facts.select("item_id", "genres", F.explode("genres").alias("genre")), "item_id").join(profile, ["user_id", "genre"])
+    fit = fit.groupBy("user_id", "item_id").agg((F.sum("share") / F.greatest(F.size(F.first("genres")), F.lit(1))).alias("genre_fit"))
+    own = ("shown", "z", "prior", "risk_long", "risk_disagree", "risk_unfamiliar", "risk_acclaim", "share")
+    out = terms.select("user_id", "item_id", *own, F.col("stack").alias("pred_pop"), F.coalesce("personal", "stack").alias("pred_personal"), (F.coalesce("personal", "stack") - F.col("stack")).alias("pred_gap"), F.log1p("n").alias("log_n"))
+    out = out.join(facts.select("item_id", F.coalesce("mean", F.lit(7.0)).alias("mean"), F.log1p(F.coalesce("scorers", F.lit(0))).alias("log_scorers"), F.log10(F.greatest(F.coalesce("popularity", F.lit(99999)), F.lit(1)).cast("double")).alias("log_rank"), (this_year - F.col("season_year")).cast("double").alias("age"), F.coalesce("num_episodes", F.lit(0)).cast("double").alias("episodes"), S.novelty("popularity").alias("novelty")), "item_id")
+    return out.join(fit, ["user_id", "item_id"], "left").join(taste, "user_id", "left").fillna(0.0)
+
+
+RANKING_INPUTS = ("shown", "z", "prior", "risk_long", "risk_disagree", "risk_unfamiliar", "risk_acclaim", "share", "pred_pop", "pred_personal", "pred_gap", "log_n", "mean", "log_scorers", "log_rank", "age", "episodes", "novelty", "genre_fit", "long_share", "long_lift", "long_drop")
+
+
+def fit_boosted(rows: DataFrame, inputs: tuple[str, ...] = RANKING_INPUTS, label: str = "gain", trees: int = 30, depth: int = 4):
+    """Boosted trees on the gains, in the JVM. MLlib has no ranking loss, so the order is learned from the gains themselves; the numbers
+    are not comparable with those of a ranker trained on pairs or lists."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    steps = [VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=3, predictionCol="learned")]
+    return Pipeline(stages=steps).fit(rows.select(*inputs, F.col(label).cast("double").alias(label)))
+
+
 def feature_values(items: DataFrame, numeric: tuple[str, ...] = ()) -> DataFrame:
     """(item_id, feature, value): one-hot tokens of each title, and numeric columns as they are."""
     tokens = items.select("item_id", F.explode(S.tokens_of(items)).alias("feature")).distinct().withColumn("value", F.lit(1.0))
@@ -139,7 +248,8 @@ def order_key(rows: DataFrame, this_year: int, s: Settings | None = None, popula
     """Add the terms of a tab's order and their sum, key.
 
     rows: user_id, item_id, prediction, personal, stack, share, z, popularity, num_episodes, status, season_year, unfamiliar (boolean),
-    acclaim (points of the personal prediction that come from consensus columns), evidence.
+    acclaim (points of the personal prediction that come from consensus columns), evidence; gap (of ``disagreement``), if another
+    measure than the plain difference is wanted.
     """
     s = s or Settings()
     shown = F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.col("prediction")))
@@ -150,7 +260,7 @@ def order_key(rows: DataFrame, this_year: int, s: Settings | None = None, popula
     out = out.withColumns(
         {
             "risk_long": s.long_series_penalty * long_running("num_episodes", "status", "season_year", this_year).cast("double"),
-            "risk_disagree": trust * s.disagreement_penalty * F.greatest(F.coalesce(F.col("stack") - F.col("personal"), F.lit(0.0)), F.lit(0.0)),
+            "risk_disagree": trust * s.disagreement_penalty * F.greatest(F.coalesce(F.col("gap") if "gap" in rows.columns else F.col("stack") - F.col("personal"), F.lit(0.0)), F.lit(0.0)),
             "risk_unfamiliar": trust * s.unfamiliar_genre_penalty * F.coalesce("unfamiliar", F.lit(False)).cast("double"),
             "risk_acclaim": trust * s.acclaim_penalty * F.greatest(F.coalesce("acclaim", F.lit(0.0)), F.lit(0.0)) * s.acclaim_evidence / (s.acclaim_evidence + F.coalesce("evidence", F.lit(0.0))),
         }
@@ -194,3 +304,10 @@ def fit_pairwise(rows: DataFrame, inputs: list[str], per_query: int = 50, reg: f
     diffs = pairs.select(*((sign * (F.col(f"a_{c}") - F.col(f"b_{c}"))).alias(c) for c in inputs), (sign > 0).cast("double").alias("label"))
     model = LogisticRegression(fitIntercept=False, regParam=reg, standardization=True).fit(VectorAssembler(inputCols=inputs, outputCol="features").transform(diffs))
     return rows.sparkSession.createDataFrame([*zip(inputs, map(float, model.coefficients), strict=True)], "feature string, coef double")
+
+
+def explain_terms(keyed: DataFrame) -> DataFrame:
+    """(user_id, item_id, term, points): every term of the order key as a row; risks count against a title."""
+    terms = {"shown": F.col("shown"), "relevance": F.col("relevance"), "prior": F.col("prior")} | {r: -F.col(f"risk_{r}") for r in ("long", "disagree", "unfamiliar", "acclaim")}
+    rows = F.array(*(F.struct(F.lit(k).alias("term"), v.cast("double").alias("points")) for k, v in terms.items()))
+    return keyed.select("user_id", "item_id", F.explode(rows).alias("r")).select("user_id", "item_id", "r.term", "r.points")

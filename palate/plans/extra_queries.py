@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import affinity, evaluate, logs, registry
+from ..operators import affinity, evaluate, logs, registry, rerank
 from ..sources import merge
 from ..sources.projection import AS_OF, Tables
 from .more_queries import _TOP, _items, _toplist
@@ -66,9 +66,9 @@ def fit_gate(t: Tables) -> DataFrame:
 
 
 @query("sta7_user_neighbours", oracle("""SELECT user_id, other_id, round(sim, 6) AS sim, co FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, other_id) AS k FROM (SELECT a.user_id AS user_id, b.user_id AS other_id, sum(a.c * b.c) / (any_value(a.norm) * any_value(b.norm)) * count(*) / (count(*) + 10.0) AS sim, count(*) AS co
-    FROM c a JOIN c b ON a.item_id = b.item_id AND a.user_id <> b.user_id AND a.norm > 0 AND b.norm > 0 WHERE a.user_id <= 20 GROUP BY 1, 2) WHERE sim > 0) WHERE k <= 10""", "rated", c="SELECT *, sqrt(sum(c * c) OVER (PARTITION BY user_id)) AS norm FROM (SELECT user_id, item_id, score - avg(score) OVER (PARTITION BY user_id) AS c FROM rated)"))
+    FROM c a JOIN c b ON a.item_id = b.item_id AND a.user_id <> b.user_id AND a.norm > 0 AND b.norm > 0 WHERE a.user_id % 50 = 0 GROUP BY 1, 2) WHERE sim > 0) WHERE k <= 10""", "rated", c="SELECT *, sqrt(sum(c * c) OVER (PARTITION BY user_id)) AS norm FROM (SELECT user_id, item_id, score - avg(score) OVER (PARTITION BY user_id) AS c FROM rated)"))
 def user_neighbours(t: Tables) -> DataFrame:
-    asked = t.rated.filter("user_id <= 20").select("user_id").distinct()  # the users that are asked for
+    asked = t.rated.filter("user_id % 50 = 0").select("user_id").distinct()
     return registry.user_neighbours(t.rated, asked, 10).select("user_id", "other_id", *r6("sim"), "co")
 
 
@@ -77,10 +77,11 @@ def quality_words(t: Tables) -> DataFrame:
     return t.rated.groupBy("user_id").agg((F.avg("score") / 10).alias("m")).select("user_id", registry.quality_words("m").alias("words"))
 
 
-@query("key2_memory_bonus")
+@query("key2_memory_bonus", oracle("""SELECT user_id, item_id, round(greatest(-0.15, least(0.15, 0.5 * (CASE WHEN stddev_pop(mean) OVER p > 1e-9 THEN (mean - avg(mean) OVER p) / stddev_pop(mean) OVER p ELSE 0 END - CASE WHEN stddev_pop(score) OVER p > 1e-9 THEN (score - avg(score) OVER p) / stddev_pop(score) OVER p ELSE 0 END)
+    * stddev_pop(score) OVER p)), 6) AS bonus FROM rated JOIN item_stats USING (item_id) WINDOW p AS (PARTITION BY user_id)""", "rated", "item_stats"))
 def memory_bonus(t: Tables) -> DataFrame:
     rows = t.rated.select("user_id", "item_id", F.col("score").cast("double").alias("key")).join(t.item_stats.select("item_id", F.col("mean").alias("long_key")), "item_id")
-    return registry.memory_bonus(rows).select("user_id", "item_id", "bonus")
+    return registry.memory_bonus(rows).select("user_id", "item_id", *r6("bonus"))
 
 
 @query("top6_undated_last", oracle("SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(CASE WHEN item_id % 5 <> 0 THEN start_date END, DATE '9999-01-01'), score DESC, item_id) AS rank FROM rated JOIN item USING (item_id)", "rated", "item"))
@@ -94,16 +95,17 @@ def page(t: Tables) -> DataFrame:
     return _items(t).orderBy(F.desc_nulls_last("mean"), "item_id").offset(40).limit(20).select("item_id", "title")
 
 
-@query("win14_block_order", oracle(f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY (position - 1) // 5, score, item_id) AS place FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS position FROM rated)", "rated"))
+@query("win14_block_order", oracle("SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY (position - 1) // 5, score, item_id) AS place FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS position FROM rated)", "rated"))
 def block_order(t: Tables) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy(F.floor((F.col("position") - 1) / 5), "score", "item_id")
-    return _toplist(t).select("user_id", "item_id", F.row_number().over(order).alias("place"))
+    return rerank.block_sorted(_toplist(t), 5, F.col("score")).select("user_id", "item_id", "place")
 
 
-@query("cnd11_stored_list", oracle(f"SELECT user_id, item_id, position FROM ({_TOP}) WHERE position <= 10", "rated"))
+@query("cnd11_stored_list", oracle(f"SELECT user_id, surface, item_id, position FROM (SELECT user_id, 'safe_bets' AS surface, item_id, position FROM ({_TOP}) WHERE position <= 10 AND user_id % 2 = 1) UNION ALL SELECT user_id, 'safe_bets', item_id, position + 100 FROM ({_TOP}) WHERE position BETWEEN 5 AND 12 AND user_id % 2 = 0 UNION ALL SELECT user_id, 'discover', item_id, position FROM ({_TOP}) WHERE position <= 3", "rated"))
 def stored_list(t: Tables) -> DataFrame:
+    """Lists of odd users are built anew: what was stored of them goes, other users' and other surfaces' lists stay."""
     lists = _toplist(t).select("user_id", F.lit("safe_bets").alias("surface"), "item_id", "position")
-    return merge.saved_surface(lists.limit(0), lists.filter("position <= 10")).select("user_id", "item_id", "position")
+    stored = lists.filter("position between 5 and 12").withColumn("position", F.col("position") + 100).unionByName(lists.filter("position <= 3").withColumn("surface", F.lit("discover")))
+    return merge.saved_surface(stored, lists.filter("position <= 10 and user_id % 2 = 1"))
 
 
 @query("snk20_accounts", "SELECT o_custkey AS stable_id, o_orderkey AS account_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")

@@ -9,21 +9,25 @@ from ..functions import scalars as S
 from ..operators import affinity, candidates, evaluate, graph, logs, population, rerank, text, usermodel
 from ..settings import Settings, deployed
 from ..sources import merge, payloads
+from ..sources.session import checkpointed
 from ..sources.projection import AS_OF, LOGS_AS_OF, Tables
 from ..streaming import drain
 from ..streaming import logs as stream_logs
 from .build import Inputs, build, fit_population
 from .oracle import oracle
-from .queries import _EVAL, _FRANCHISE, _franchise, _pairs, eligible_pairs, query, r6
+from .queries import _CLOSURE, _EVAL, _FRANCHISE, _HASH, _MAIN, _NEEDED, FLAGSHIP, LIKELY, _franchise, _pairs, eligible_pairs, query, r6
 
 
 def _items(t: Tables) -> DataFrame:
     return t.item.join(t.item_stats, "item_id", "left")
 
 
+_TOP = "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS position FROM rated"
+
+
 # ---- user models ----
 @query("usr2_vocabulary", oracle("SELECT user_id, feature FROM rated JOIN features USING (item_id) GROUP BY 1, 2 HAVING count(*) >= 3", "rated", "item",
-    features="SELECT DISTINCT item_id, f AS feature FROM (SELECT item_id, unnest(list_concat(list_transform(genres, lambda g: 'g:' || g), ['st:' || studio, 'mt:' || media_type, 'dec:' || CAST(season_year // 10 * 10 AS VARCHAR)])) AS f FROM item)"))
+    features="SELECT DISTINCT item_id, f AS feature FROM (SELECT item_id, unnest(list_concat(list_transform(genres, lambda g: 'g:' || g), ['st:' || studio, 'mt:' || media_type, 'dec:' || CAST(season_year // 5 * 5 AS VARCHAR), 'len:' || CASE WHEN num_episodes <= 13 THEN '1-13' WHEN num_episodes <= 26 THEN '14-26' WHEN num_episodes <= 60 THEN '27-60' ELSE '60+' END])) AS f FROM item)"))
 def vocabulary(t: Tables) -> DataFrame:
     return usermodel.vocabulary(t.rated, usermodel.feature_values(t.item))
 
@@ -45,26 +49,39 @@ def blend(t: Tables) -> DataFrame:
     return usermodel.blend(rows).select("user_id", "item_id", *r6("prediction"))
 
 
-_KEYED = """SELECT user_id, item_id, round(greatest(1, least(10, mean)) - 0.3 * CAST(num_episodes >= 50 AS INTEGER), 6) AS key FROM rated JOIN item USING (item_id) JOIN item_stats USING (item_id)"""
+#: Every term: predictions of both sides, relevance, prior and the four risks, in the service's weights.
+_KEYED = """SELECT user_id, item_id, round(base + prior - risk, 6) AS key FROM (SELECT *, 0.5 * (1 - share) * CASE WHEN n > 0 THEN coalesce(stddev_pop(base) OVER p, 0) END * CASE WHEN stddev_pop(known) OVER p > 1e-9 THEN (known - avg(known) OVER p) / stddev_pop(known) OVER p ELSE 0 END AS prior
+    FROM (SELECT *, greatest(1, least(10, prediction)) + 0.5 * (1 - share) * z + 0.5 * share * greatest(-2, least(2, z)) AS base, -log10(popularity) AS known,
+        0.3 * CAST(num_episodes >= 50 AS INTEGER) + share / 0.5 * (0.5 * greatest(stack - personal, 0) + 0.3 * CAST(unfamiliar AS INTEGER) + 0.6 * greatest(acclaim, 0) * 0.1 / (0.1 + evidence)) AS risk FROM terms) WINDOW p AS (PARTITION BY user_id))"""
+_TERMS = """SELECT *, share * personal + (1 - share) * stack AS prediction FROM (SELECT user_id, item_id, num_episodes, popularity, n, 0.5 / (1 + exp(-(n - 150) / 50.0)) AS share, mean AS stack, CAST(score AS DOUBLE) AS personal, CASE WHEN stddev_pop(members) OVER p > 1e-9 THEN (members - avg(members) OVER p) / stddev_pop(members) OVER p ELSE 0 END AS z,
+    item_id % 3 = 0 AS unfamiliar, mean - 7.0 AS acclaim, members / 50.0 AS evidence FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM rated) JOIN item USING (item_id) JOIN item_stats USING (item_id) WINDOW p AS (PARTITION BY user_id))"""
+
+
+def _terms(t: Tables) -> DataFrame:
+    """Rows with every input of the order key, all of them at work: predictions, relevance from audiences, unfamiliar genres, acclaim."""
+    rows = t.rated.withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).select("user_id", "item_id", "n", F.col("score").cast("double").alias("personal")).join(_items(t), "item_id")
+    rows = usermodel.blend(rows.withColumn("stack", F.col("mean")))
+    return rows.withColumns({"z": usermodel.z_in("members"), "unfamiliar": F.col("item_id") % 3 == 0, "acclaim": F.col("mean") - 7.0, "evidence": F.col("members") / 50.0})
 
 
-@query("key7_order_key", oracle(_KEYED, "rated", "item", "item_stats"))
+@query("key7_order_key", oracle(_KEYED, "rated", "item", "item_stats", terms=_TERMS))
 def order_key(t: Tables) -> DataFrame:
-    rows = t.rated.select("user_id", "item_id").join(_items(t), "item_id").withColumns({"prediction": F.col("mean"), "personal": F.col("mean"), "stack": F.col("mean"), "share": F.lit(0.0), "z": F.lit(0.0), "unfamiliar": F.lit(False), "acclaim": F.lit(0.0), "evidence": F.lit(0.0)})
-    return usermodel.order_key(rows, 2002).select("user_id", "item_id", *r6("key"))
+    return usermodel.order_key(_terms(t), 2002, deployed(), 0.5).select("user_id", "item_id", *r6("key"))
 
 
 @query("usr11_relevance")
 def relevance(t: Tables) -> DataFrame:
     pairs, occ = t.rec_log.select("user_id", "item_id").distinct(), population.list_cooccurrence(t.list_entry)
-    rows = population.occurrence_signal(pairs, t.list_entry, occ).join(population.autoencoder_score(pairs, t.list_entry, population.item_item_model(t.list_entry, 40.0, 15, 4_000, 50)), ["user_id", "item_id"])
+    rows = population.occurrence_signal(pairs, t.list_entry, occ).join(population.autoencoder_score(pairs, t.list_entry, population.item_item_model(t.list_entry, 40.0, 15)), ["user_id", "item_id"])
     return usermodel.relevance(rows).select("user_id", "item_id", "z")
 
 
-@query("ltr4_learned_shift")
+@query("ltr4_learned_shift", oracle("""SELECT user_id, item_id, round(CASE WHEN inside THEN mixed ELSE key + least(0, low - high - 1e-6) END, 6) AS mixed FROM (SELECT *, min(mixed) FILTER (WHERE inside) OVER (PARTITION BY user_id) AS low, max(key) FILTER (WHERE NOT inside) OVER (PARTITION BY user_id) AS high FROM (
+    SELECT *, avg(key) OVER p + stddev_pop(key) OVER p * (0.5 * CASE WHEN stddev_pop(key) OVER p > 1e-9 THEN (key - avg(key) OVER p) / stddev_pop(key) OVER p ELSE 0 END + 0.5 * CASE WHEN stddev_pop(learned) OVER p > 1e-9 THEN (learned - avg(learned) OVER p) / stddev_pop(learned) OVER p ELSE 0 END) AS mixed
+    FROM (SELECT user_id, item_id, CAST(score AS DOUBLE) AS key, mean AS learned, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) <= 20 AS inside FROM rated JOIN item_stats USING (item_id)) WINDOW p AS (PARTITION BY user_id, inside)))""", "rated", "item_stats"))
 def learned_shift(t: Tables) -> DataFrame:
     rows = t.rated.select("user_id", "item_id", F.col("score").cast("double").alias("key")).join(t.item_stats.select("item_id", F.col("mean").alias("learned")), "item_id")
-    return usermodel.learned_shift(rows, 0.5, 20).select("user_id", "item_id", "mixed")
+    return usermodel.learned_shift(rows, 0.5, 20).select("user_id", "item_id", *r6("mixed"))
 
 
 @query("ltr6_pairwise_ranker")
@@ -78,22 +95,31 @@ def pairwise_ranker(t: Tables) -> DataFrame:
 @query("rrk2_calibrated_lists")
 def calibrated_lists(t: Tables) -> DataFrame:
     s = deployed()
-    rows = eligible_pairs(t).filter("format_class = 'main'").join(_items(t).select("item_id", F.col("mean").alias("key"), F.col("mean").alias("prediction"), "popularity", "genres", S.age_bucket(F.lit(2002) - F.col("season_year")).alias("age_bucket")), "item_id")
+    facts = {"key": F.col("mean"), "prediction": F.col("mean"), "age_bucket": S.age_bucket(F.lit(2002) - F.col("season_year"))}
+    rows = eligible_pairs(t, ("popularity", "genres"), facts).filter("format_class = 'main'")
     scored = affinity.scored_entries(t.rated, AS_OF)
     return rerank.rerank(rows, s, 20, affinity.genre_profile(scored, t.item), affinity.age_mix(scored, t.item, 2002))
 
 
-@query("rrk1_overlap_lists")
+#: The eligible main titles, one a franchise, the first sixty of each user, and those less what genres the titles above them share.
+_OVERLAP = """SELECT user_id, item_id, CAST(position AS INTEGER) AS position, round(final, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) AS position FROM (
+    SELECT user_id, item_id, value - 0.07 * coalesce(avg(above), 0) AS final FROM (SELECT user_id, item_id, value, CASE WHEN genre IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY user_id, genre ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS above
+        FROM (SELECT user_id, item_id, value, k, unnest(list_distinct(genres)) AS genre FROM near JOIN item USING (item_id))) GROUP BY user_id, item_id, value)) WHERE position <= 20"""
+_NEAR = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, item_id) AS k FROM (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY user_id, franchise_id ORDER BY value DESC, item_id) = 1)) WHERE k <= 60"""
+_AT, _END = FLAGSHIP.index("WITH RECURSIVE"), FLAGSHIP.rindex("\nSELECT user_id, item_id, rank")
+
+
+@query("rrk1_overlap_lists", f"{FLAGSHIP[_AT:_END]},\nnear AS ({_NEAR})\n{_OVERLAP}")
 def overlap_lists(t: Tables) -> DataFrame:
-    rows = eligible_pairs(t).filter("format_class = 'main'").join(_items(t).select("item_id", F.col("mean").alias("key"), F.col("mean").alias("prediction"), "popularity", "genres"), "item_id")
-    return rerank.rerank(rows, Settings(), 20)
+    rows = eligible_pairs(t, ("popularity", "genres"), {"key": F.col("mean"), "prediction": F.col("mean")}).filter("format_class = 'main'")
+    return rerank.rerank(rows, Settings(), 20).select("user_id", "item_id", "position", *r6("value"))
 
 
 @query("cnd10_build_all")
 def build_all(t: Tables) -> DataFrame:
-    items = _items(t)
-    i = Inputs(t.list_entry, items, t.relation, t.feedback, _franchise(t), AS_OF)
-    return build(i, fit_population(t.list_entry, items), deployed(), 15, 20)
+    entries, items = checkpointed(t.list_entry), checkpointed(_items(t))
+    i = Inputs(entries, items, t.relation, t.feedback, _franchise(t), AS_OF)
+    return build(i, fit_population(entries, items, rank=16, iterations=3), deployed(), 15, 20)
 
 
 def _toplist(t: Tables) -> DataFrame:
@@ -101,7 +127,6 @@ def _toplist(t: Tables) -> DataFrame:
     return t.rated.select("user_id", "item_id", rank.alias("position"), "score")
 
 
-_TOP = "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS position FROM rated"
 
 
 @query("evl11_list_overlap", oracle("SELECT x.user_id AS a, y.user_id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM heads x JOIN heads y ON x.item_id = y.item_id AND x.user_id < y.user_id GROUP BY 1, 2", "rated", heads=f"SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_TOP}) WHERE position <= 5"))
@@ -114,7 +139,9 @@ def weekly_digest(t: Tables) -> DataFrame:
     return logs.weekly_digest(_toplist(t).filter("position <= 10"), t.item).select("user_id", "n", F.array_join("titles", " / ").alias("titles"))
 
 
-@query("win15_interleaved")
+@query("win15_interleaved", oracle(f"""SELECT user_id, item_id, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot, item_id) AS position FROM (
+    SELECT user_id, item_id, (position - 1) // 4 * 5 + (position - 1) % 4 AS slot FROM ({_TOP}) UNION ALL SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY popularity, item_id) * 5 - 1 AS slot
+    FROM (SELECT DISTINCT user_id FROM rated) CROSS JOIN (SELECT item_id, popularity FROM item_stats WHERE popularity <= 20) x WHERE NOT EXISTS (SELECT 1 FROM rated r WHERE r.user_id = rated.user_id AND r.item_id = x.item_id))) WHERE position <= 25""".replace("FROM (SELECT DISTINCT user_id FROM rated) CROSS JOIN", "FROM (SELECT DISTINCT user_id FROM rated) rated CROSS JOIN"), "rated", "item_stats"))
 def interleaved(t: Tables) -> DataFrame:
     popular = t.rated.select("user_id").distinct().crossJoin(F.broadcast(t.item_stats.filter("popularity <= 20").select("item_id", F.col("popularity").alias("position"))))  # twenty rows
     return rerank.interleaved(_toplist(t).drop("score"), popular, 5, 25)
@@ -132,11 +159,14 @@ def shared_list(t: Tables) -> DataFrame:
     return candidates.shared_list(predictions, means, 1, 2).select("item_id", *r6("a", "b"))
 
 
-@query("cnd13_tag_titles", oracle("SELECT user_id, true AS listed, item_id, CAST(score AS DOUBLE) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM list_entry SEMI JOIN (SELECT item_id FROM item WHERE list_contains(genres, 'red')) USING (item_id)) WHERE rank <= 10", "list_entry", "item"))
+@query("cnd13_tag_titles", oracle("""SELECT user_id, listed, item_id, round(value, 6) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, listed ORDER BY value DESC, item_id) AS rank FROM (
+    SELECT user_id, true AS listed, item_id, CAST(score AS DOUBLE) AS value FROM list_entry SEMI JOIN red USING (item_id)
+    UNION ALL SELECT user_id, false, item_id, mean FROM (SELECT DISTINCT user_id, item_id FROM rec_log) l SEMI JOIN red USING (item_id) JOIN item_stats USING (item_id) WHERE mean IS NOT NULL AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = l.user_id AND e.item_id = l.item_id))) WHERE rank <= 10""",
+    "list_entry", "item", "rec_log", "item_stats", red="SELECT item_id FROM item WHERE list_contains(genres, 'red')"))
 def tag_titles(t: Tables) -> DataFrame:
     tags = t.item.select("item_id", F.explode("genres").alias("tag"))
-    none = t.rated.select("user_id", "item_id", F.col("score").alias("prediction")).limit(0)
-    return text.tag_titles(none, t.list_entry, tags, "red")
+    predicted = t.rec_log.select("user_id", "item_id").distinct().join(t.item_stats.select("item_id", F.col("mean").alias("prediction")), "item_id").filter("prediction is not null")
+    return text.tag_titles(predicted, t.list_entry, tags, "red").withColumn("value", F.round("value", 6))
 
 
 @query("cnd21_dismissal_entries", oracle("SELECT b.user_id, b.item_id, round(greatest(any_value(m.mean) - 1.0, 1.0), 6) AS score FROM feedback b JOIN (SELECT user_id, avg(score) AS mean FROM rated GROUP BY 1) m USING (user_id) WHERE b.action = 'not_interested' AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = b.user_id AND e.item_id = b.item_id) GROUP BY 1, 2", "rated", "feedback"))
@@ -144,7 +174,9 @@ def dismissal_entries(t: Tables) -> DataFrame:
     return affinity.dismissal_entries(t.feedback, t.list_entry).select("user_id", "item_id", *r6("score"))
 
 
-@query("grf5_pool_exclusions")
+@query("grf5_pool_exclusions", oracle("""SELECT DISTINCT u.user_id, c.item_id FROM (SELECT DISTINCT user_id FROM list_entry) u CROSS JOIN needed c WHERE NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = u.user_id AND e.item_id = c.prequel_id AND e.status = 'completed')
+    UNION SELECT e.user_id, p.item_id FROM list_entry e JOIN prequel p ON p.prequel_id = e.item_id JOIN bar b ON b.user_id = e.user_id AND e.score >= b.bar WHERE e.status = 'completed'""", "list_entry", "item", "prequel", closure=_CLOSURE, needed=_NEEDED,
+    bar="SELECT user_id, greatest(round_even(avg(score), 0) - 1, 6) AS bar FROM list_entry WHERE score > 0 GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1))
 def pool_exclusions(t: Tables) -> DataFrame:
     return graph.pool_exclusions(t.list_entry, t.prequel, graph.prequel_closure(t.prequel), t.item)
 
@@ -154,9 +186,15 @@ def shared_series(t: Tables) -> DataFrame:
     return graph.shared_series(_franchise(t).withColumnRenamed("franchise_id", "series_id"))
 
 
-@query("prj11_first_miss", oracle("SELECT item_id, CASE WHEN media_type IN ('music','cm','pv') THEN 'format' WHEN coalesce(scorers, 0) < 15 THEN 'too few scores' WHEN start_date > DATE '2002-01-01' THEN 'not aired' END AS miss FROM item LEFT JOIN item_stats USING (item_id)", "item", "item_stats"))
+@query("prj11_first_miss", oracle(f"""SELECT user_id, item_id, CASE WHEN EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = p.user_id AND e.item_id = p.item_id) THEN 'listed' WHEN media_type IN ('music','cm','pv') THEN 'format' WHEN coalesce(scorers, 0) < 15 THEN 'too few scores' WHEN start_date > DATE '2002-01-01' THEN 'not aired'
+    WHEN EXISTS (SELECT 1 FROM needed c WHERE c.item_id = p.item_id AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = p.user_id AND e.item_id = c.prequel_id AND e.status = 'completed')) THEN 'prequels' END AS miss
+    FROM (SELECT user_id, item_id FROM rec_log UNION SELECT user_id, item_id FROM list_entry WHERE item_id % 5 = 0) p JOIN item USING (item_id) LEFT JOIN item_stats USING (item_id)""", "list_entry", "item", "item_stats", "rec_log", "prequel", closure=_CLOSURE, needed=_NEEDED).replace("WITH ", "WITH RECURSIVE ", 1))
 def first_miss(t: Tables) -> DataFrame:
-    return _items(t).select("item_id", candidates.first_miss(F.col("scorers"), S.format_class("media_type"), F.col("start_date") <= F.lit(AS_OF).cast("date"), F.lit(False), F.lit(True), 15).alias("miss"))
+    """Why titles that a user was shown, and some that are listed, are in no pool: all five rules at work."""
+    pairs = t.rec_log.select("user_id", "item_id").union(t.list_entry.filter("item_id % 5 = 0").select("user_id", "item_id")).distinct()
+    unmet = graph.unmet_prequels(pairs, graph.prequel_closure(t.prequel), t.item, t.list_entry).select("user_id", "item_id").distinct().withColumn("unmet", F.lit(True))
+    rows = pairs.join(t.list_entry.select("user_id", "item_id", F.lit(True).alias("listed")), ["user_id", "item_id"], "left").join(unmet, ["user_id", "item_id"], "left").fillna({"listed": False, "unmet": False}).join(_items(t), "item_id")
+    return rows.select("user_id", "item_id", candidates.first_miss(F.col("scorers"), S.format_class("media_type"), F.col("start_date") <= F.lit(AS_OF).cast("date"), F.col("listed"), ~F.col("unmet"), 15).alias("miss"))
 
 
 @query("prj16_familiar_genres", oracle("SELECT DISTINCT user_id, unnest(genres) AS genre FROM list_entry JOIN item USING (item_id)", "list_entry", "item"))
@@ -184,18 +222,23 @@ def period_change(t: Tables) -> DataFrame:
     return evaluate.period_change(rows).select(*r6("change", "se"), "users")
 
 
-@query("evl10_mix_gap")
+_BUCKET2 = "CASE WHEN 2002 - season_year < 2 THEN 0 WHEN 2002 - season_year < 5 THEN 1 WHEN 2002 - season_year < 10 THEN 2 WHEN 2002 - season_year < 20 THEN 3 ELSE 4 END"
+
+
+@query("evl10_mix_gap", oracle("SELECT user_id, round(sum(abs(coalesce(own, 0) - coalesce(mix, 0))) / 2, 6) AS gap FROM (SELECT user_id, b, n / sum(n) OVER (PARTITION BY user_id) AS own FROM heads) FULL JOIN (SELECT user_id, b, w / sum(w) OVER (PARTITION BY user_id) AS mix FROM mixes) USING (user_id, b) WHERE user_id IN (SELECT user_id FROM enough) GROUP BY 1", "weighted", "item",
+    heads=f"SELECT user_id, {_BUCKET2} AS b, count(*) AS n FROM ({_TOP}) JOIN item USING (item_id) WHERE position <= 20 GROUP BY 1, 2", mixes=f"SELECT user_id, {_BUCKET2} AS b, sum(w) AS w FROM weighted JOIN item USING (item_id) GROUP BY 1, 2", enough="SELECT user_id FROM weighted JOIN item USING (item_id) GROUP BY 1 HAVING count(*) >= 10"))
 def mix_gap(t: Tables) -> DataFrame:
-    return evaluate.mix_gap(_toplist(t).filter("position <= 20"), t.item, affinity.age_mix(affinity.scored_entries(t.rated, AS_OF), t.item, 2002), 2002)
+    return evaluate.mix_gap(_toplist(t).filter("position <= 20"), t.item, affinity.age_mix(affinity.scored_entries(t.rated, AS_OF), t.item, 2002), 2002).select("user_id", *r6("gap"))
 
 
-@query("sta3_range_coverage")
+@query("sta3_range_coverage", oracle("SELECT item_id % 2 AS fold, round(avg(CAST(truth BETWEEN low AND high AS INTEGER)), 6) AS coverage, count(*) AS n FROM likely GROUP BY 1", "rated", "item_stats", pairs=_EVAL, **LIKELY))
 def range_coverage(t: Tables) -> DataFrame:
     pairs = _pairs(t)
-    return evaluate.range_coverage(evaluate.likely_ratings(pairs.crossJoin(F.broadcast(evaluate.residual_quantiles(pairs)))).withColumn("fold", F.col("item_id") % 2), "fold")  # one row
+    likely = evaluate.likely_ratings(pairs.crossJoin(F.broadcast(evaluate.residual_quantiles(pairs))))  # one row
+    return evaluate.range_coverage(likely.withColumn("fold", F.col("item_id") % 2), "fold").select("fold", *r6("coverage"), "n")
 
 
-@query("evl2_folds")
+@query("evl2_folds", oracle(f"""SELECT user_id, item_id, CAST(floor({_HASH.format("'fold|' || user_id || '|' || item_id")} * 5) AS INTEGER) AS fold FROM rated""", "rated"))
 def folds(t: Tables) -> DataFrame:
     return evaluate.folds(t.rated).select("user_id", "item_id", "fold")
 
@@ -228,10 +271,10 @@ def change_stream(t: Tables) -> DataFrame:
     return drain.drained(stream_logs.list_changes(updates)).select("user_id", "item_id", "status", "score")
 
 
-@query("str4_rate_limit_stream")
+@query("str4_rate_limit_stream", oracle("SELECT user_id, start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS start FROM ev CROSS JOIN range(4) r(k)) GROUP BY 1, 2 HAVING count(*) > 3", "ev"))
 def rate_limit_stream(t: Tables) -> DataFrame:
     out = drain.drained(stream_logs.over_limit(drain.file_stream(t.spark, t.sf_dir, "events"), 3, "1 day", "6 hours", "1 hour"), "update")
-    return drain.newest_update(out, "user_id", "start")
+    return drain.newest_update(out, "user_id", "start").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 # ---- merges ----
@@ -251,8 +294,10 @@ def replace_set(t: Tables) -> DataFrame:
 
 @query("snk5_relation_upsert", oracle("SELECT DISTINCT src, dst, relation_type FROM relation", "relation"))
 def relation_upsert(t: Tables) -> DataFrame:
+    """Half of the links are stored with their inverses; what arrives holds some of these again and the other half, one way only."""
     links = t.relation.withColumn("provider", F.lit("first"))
-    return merge.upsert_relations(links.limit(0), links.filter("src < dst")).select("src", "dst", "relation_type")
+    stored = links.filter("(src + dst) % 2 = 0")
+    return merge.upsert_relations(stored, links.filter("src < dst and ((src + dst) % 2 = 1 or src % 3 = 0)")).select("src", "dst", "relation_type")
 
 
 @query("snk9_left_sample", "SELECT o_custkey AS user_id, count(*) AS n FROM orders WHERE o_custkey % 10 <> 3 GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import affinity, candidates, evaluate, graph, logs, population, rerank, text
+from ..operators.ranks import global_rank
 from ..settings import Settings
 from ..sources import merge
 from ..sources.projection import AS_OF, LOGS_AS_OF, Tables
@@ -104,9 +105,18 @@ def unit_hash(t: Tables) -> DataFrame:
     return t.item.select("item_id", F.round(S.unit_hash(F.lit("role"), "item_id"), 9).alias("u"))
 
 
-@query("grw1_grown_ranks")
+_GROWN = dict(
+    aged="SELECT item_id, CAST(members AS DOUBLE) AS members, greatest((DATE '2002-01-01' - start_date) / 30.44, 0) AS months FROM item JOIN item_stats USING (item_id)",
+    knots=f"SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {c}, {d})' for (a, b), (c, d) in zip(S.GROWTH, S.GROWTH[1:], strict=False))}) k(x0, y0, x1, y1)",
+    grown="""SELECT item_id, members / greatest(0.2, least(1.0, coalesce((SELECT max(y0 + (least(months, x1) - x0) * ((y1 - y0) / (x1 - x0)))
+        FROM knots WHERE months > x0), 0))) AS grown FROM aged""",
+)
+
+
+@query("grw1_grown_ranks", oracle("SELECT item_id, round(grown, 6) AS grown, row_number() OVER (ORDER BY round(grown, 6) DESC, item_id DESC) AS rank FROM grown", "item", "item_stats", **_GROWN))
 def grown_ranks(t: Tables) -> DataFrame:
-    return candidates.grown_ranks(t.item.join(t.item_stats, "item_id"), AS_OF)
+    rows = t.item.join(t.item_stats, "item_id").withColumn("grown", F.round(S.grown_members("members", "start_date", F.lit(AS_OF).cast("date")), 6))
+    return global_rank(rows.select("item_id", "grown"), F.desc("grown"), F.desc("item_id"))
 
 
 # ---- aggregates ----
@@ -146,9 +156,9 @@ def taste_vector(t: Tables) -> DataFrame:
     return affinity.taste_vector(_dev(t), t.tag_vector).select("user_id", F.posexplode("taste").alias("pos", "x")).select("user_id", F.col("pos").cast("long").alias("pos"), *r6("x"))
 
 
-@query("agg6_profile_counts", oracle("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE score > 0) AS rated, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'dropped') AS dropped, count(*) FILTER (WHERE status = 'plan_to_watch') AS planned FROM list_entry GROUP BY 1", "list_entry"))
+@query("agg6_profile_counts", oracle("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE score > 0) AS rated, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'dropped') AS dropped, count(*) FILTER (WHERE status = 'plan_to_watch') AS planned, CAST(round(CAST(avg(score) FILTER (WHERE score > 0) AS DECIMAL(20,10)), 2) AS DOUBLE) AS mean FROM list_entry GROUP BY 1", "list_entry"))
 def profile_counts(t: Tables) -> DataFrame:
-    return logs.profile_counts(t.list_entry).drop("mean")
+    return logs.profile_counts(t.list_entry)
 
 
 _PAIRS = "SELECT l.src AS prequel_id, l.dst AS sequel_id, b.score - a.score AS d FROM relation l JOIN rated a ON a.item_id = l.src JOIN rated b ON b.item_id = l.dst AND b.user_id = a.user_id WHERE l.relation_type = 'sequel'"
@@ -183,21 +193,25 @@ def genre_lifts(t: Tables) -> DataFrame:
 _BUCKET = "CASE WHEN 2002 - season_year < 2 THEN 0 WHEN 2002 - season_year < 5 THEN 1 WHEN 2002 - season_year < 10 THEN 2 WHEN 2002 - season_year < 20 THEN 3 ELSE 4 END"
 
 
-@query("agg13_age_mix", oracle(f"SELECT user_id, round(sum(w) FILTER (WHERE {_BUCKET} = 2) / sum(w), 6) AS middle, round(coalesce(sum(w) FILTER (WHERE {_BUCKET} = 4), 0) / sum(w), 6) AS old FROM weighted JOIN item USING (item_id) GROUP BY 1 HAVING count(*) >= 10".replace("round(sum(w) FILTER", "round(coalesce(sum(w) FILTER", 1).replace(" = 2) / sum(w)", " = 2), 0) / sum(w)", 1), "weighted", "item"))
+_MIX = ", ".join(f"round(coalesce(sum(w) FILTER (WHERE {_BUCKET} = {k}), 0) / sum(w), 6) AS b{k}" for k in range(5))
+
+
+@query("agg13_age_mix", oracle(f"SELECT user_id, {_MIX} FROM weighted JOIN item USING (item_id) GROUP BY 1 HAVING count(*) >= 10", "weighted", "item"))
 def age_mix(t: Tables) -> DataFrame:
     mix = affinity.age_mix(affinity.scored_entries(t.rated, AS_OF), t.item, 2002).filter("mix is not null")
-    return mix.select("user_id", F.round(F.col("mix")[2], 6).alias("middle"), F.round(F.col("mix")[4], 6).alias("old"))
+    return mix.select("user_id", *(F.round(F.col("mix")[k], 6).alias(f"b{k}") for k in range(5)))
 
 
 @query("agg15_staff_signal", oracle("""SELECT w.user_id, p.a AS item_id, round(sum((w.score - m.mu) * w.w) / (sum(w.w) + 2.0), 6) AS signal, count(*) AS n FROM weighted w JOIN user_mean m USING (user_id)
-    JOIN (SELECT DISTINCT x.item_id AS a, y.item_id AS b FROM item_staff x JOIN item_staff y USING (staff_id) WHERE x.item_id <> y.item_id AND x.item_id % 10 = 0) p ON p.b = w.item_id GROUP BY 1, 2""", "user_mean", "item_staff"))
+    JOIN (SELECT DISTINCT x.item_id AS a, y.item_id AS b FROM item_staff x JOIN item_staff y USING (staff_id) WHERE x.item_id <> y.item_id) p ON p.b = w.item_id GROUP BY 1, 2""", "user_mean", "item_staff"))
 def staff_signal(t: Tables) -> DataFrame:
-    return affinity.staff_signal(_dev(t), t.item_staff, t.item.filter("item_id % 10 = 0")).select("user_id", "item_id", *r6("signal"), "n")
+    return affinity.staff_signal(_dev(t), t.item_staff).select("user_id", "item_id", *r6("signal"), "n")
 
 
-@query("agg16_long_series_taste", oracle("""SELECT user_id, round(avg(CAST(num_episodes >= 30 AS INTEGER)), 6) AS share, round(coalesce(avg(score) FILTER (WHERE num_episodes >= 30 AND score > 0) - avg(score) FILTER (WHERE score > 0), 0), 6) AS lift FROM list_entry JOIN item USING (item_id) GROUP BY 1""", "list_entry", "item"))
+@query("agg16_long_series_taste", oracle("""SELECT user_id, round(avg(CAST(num_episodes >= 30 AS INTEGER)), 6) AS share, round(coalesce(avg(score) FILTER (WHERE num_episodes >= 30 AND score > 0) - avg(score) FILTER (WHERE score > 0), 0), 6) AS lift,
+    round(coalesce(avg(CAST(list_entry.status = 'dropped' AS INTEGER)) FILTER (WHERE num_episodes >= 30) - avg(CAST(list_entry.status = 'dropped' AS INTEGER)) FILTER (WHERE num_episodes < 30), 0), 6) AS drop FROM list_entry JOIN item USING (item_id) GROUP BY 1""", "list_entry", "item"))
 def long_series_taste(t: Tables) -> DataFrame:
-    return affinity.long_series_taste(t.list_entry, t.item, 30).select("user_id", *r6("share", "lift"))
+    return affinity.long_series_taste(t.list_entry, t.item, 30).select("user_id", *r6("share", "lift", "drop"))
 
 
 @query("agg17_age_taste", oracle(f"SELECT user_id, CAST({_BUCKET} AS INTEGER) AS bucket, round(count(*) / any_value(total), 6) AS share, round(avg(score) - any_value(mu), 6) AS lift FROM (SELECT *, avg(score) OVER (PARTITION BY user_id) AS mu, count(*) OVER (PARTITION BY user_id) AS total FROM rated JOIN item USING (item_id)) GROUP BY 1, 2", "rated", "item"))
@@ -217,9 +231,10 @@ def funnel(t: Tables) -> DataFrame:
     return logs.funnel(t.events)
 
 
-@query("agg26_audience_growth")
+@query("agg26_audience_growth", oracle("""SELECT month, round(median(share), 6) AS share, count(*) AS titles FROM (SELECT month, sum(n) OVER (PARTITION BY item_id ORDER BY month) / sum(n) OVER (PARTITION BY item_id) AS share FROM cells) GROUP BY 1""", "list_entry", "item",
+    cells="SELECT item_id, month, count(*) AS n FROM (SELECT item_id, CAST(greatest(date_diff('month', start_date, CAST(rated_at AS DATE)), 0) AS INTEGER) AS month FROM list_entry JOIN item USING (item_id)) WHERE month <= 121 GROUP BY 1, 2"))
 def audience_growth(t: Tables) -> DataFrame:
-    return affinity.audience_growth(t.list_entry, t.item)
+    return affinity.audience_growth(t.list_entry, t.item).select("month", *r6("share"), "titles")
 
 
 @query("agg27_propensity", oracle("SELECT item_id, round((count(*) + 1) / ((SELECT count(DISTINCT user_id) FROM list_entry) + 2), 9) AS propensity FROM list_entry GROUP BY 1", "list_entry"))
@@ -290,12 +305,15 @@ def prequel_closure(t: Tables) -> DataFrame:
 _MAIN = "media_type NOT IN ('ova','special','tv_special','music','cm','pv')"
 
 
-@query("grf3_unmet_prequels", oracle(f"""SELECT u.user_id, c.item_id, c.prequel_id FROM (SELECT DISTINCT user_id FROM list_entry WHERE user_id % 20 = 1) u CROSS JOIN closed c JOIN item i ON i.item_id = c.prequel_id AND {_MAIN}
-    WHERE NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = u.user_id AND e.item_id = c.prequel_id AND e.status = 'completed')""", "list_entry", "item", "prequel", closure=_CLOSURE, closed="SELECT DISTINCT item_id, prequel_id FROM closure WHERE item_id <> prequel_id").replace("WITH ", "WITH RECURSIVE ", 1).replace(" WHERE user_id % 20 = 1", "").replace("CROSS JOIN closed c", "CROSS JOIN (SELECT * FROM closed WHERE item_id < 100) c"))
+_NEEDED = f"SELECT DISTINCT c.item_id, c.prequel_id FROM closure c JOIN item i ON i.item_id = c.prequel_id AND {_MAIN} WHERE c.item_id <> c.prequel_id"
+
+
+@query("grf3_unmet_prequels", oracle("""SELECT p.user_id, c.item_id, c.prequel_id FROM (SELECT DISTINCT user_id, item_id FROM rec_log UNION SELECT user_id, item_id FROM list_entry WHERE status = 'plan_to_watch') p JOIN needed c USING (item_id)
+    WHERE NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = p.user_id AND e.item_id = c.prequel_id AND e.status = 'completed')""", "list_entry", "item", "prequel", "rec_log", closure=_CLOSURE, needed=_NEEDED).replace("WITH ", "WITH RECURSIVE ", 1))
 def unmet_prequels(t: Tables) -> DataFrame:
-    closure = graph.prequel_closure(t.prequel)
-    pairs = t.list_entry.select("user_id").distinct().crossJoin(F.broadcast(t.item.filter("item_id < 100").select("item_id")))  # a hundred titles to be asked about
-    return graph.unmet_prequels(pairs, closure, t.item, t.list_entry)
+    """What stands before every title that a user was shown or plans to watch."""
+    pairs = t.rec_log.select("user_id", "item_id").union(t.list_entry.filter("status = 'plan_to_watch'").select("user_id", "item_id")).distinct()
+    return graph.unmet_prequels(pairs, graph.prequel_closure(t.prequel), t.item, t.list_entry)
 
 
 @query("grf6_pair_kinds", oracle("SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE min(CASE WHEN relation_type IN ('sequel','prequel') THEN 0 WHEN relation_type IN ('spin_off','alternative_setting') THEN 1 WHEN relation_type = 'alternative_version' THEN 2 ELSE 3 END) WHEN 0 THEN 'chain' WHEN 1 THEN 'world' WHEN 2 THEN 'retold' ELSE 'attach' END AS kind FROM relation WHERE relation_type <> 'other' GROUP BY 1, 2", "relation"))
@@ -323,9 +341,11 @@ def edge_reasons(t: Tables) -> DataFrame:
 _OFFERED = f"SELECT item_id, media_type FROM item JOIN item_stats USING (item_id) WHERE media_type NOT IN ('music','cm','pv') AND scorers >= {MIN_SCORERS} AND (status <> 'not_yet_aired' OR start_date <= DATE '2002-01-01') AND nsfw = 'white'"
 
 
-def eligible_pairs(t: Tables) -> DataFrame:
+def eligible_pairs(t: Tables, facts: tuple[str, ...] = (), extra: dict | None = None) -> DataFrame:
+    """Eligible pairs; ``facts`` and ``extra`` (name -> column) of the titles are joined before any user comes in."""
     stats = t.item.join(t.item_stats, "item_id")
-    return candidates.eligible(t.list_entry.select("user_id"), candidates.offered_items(stats, AS_OF, MIN_SCORERS), t.list_entry, t.feedback, _franchise(t), graph.prequel_closure(t.prequel), t.item)
+    offered = candidates.offered_items(stats, AS_OF, MIN_SCORERS).withColumns(extra or {})
+    return candidates.eligible(t.list_entry.select("user_id"), offered, t.list_entry, t.feedback, _franchise(t), graph.prequel_closure(t.prequel), t.item, (*facts, *(extra or {})))
 
 
 @query("cnd1_eligible", oracle(f"""SELECT u.user_id, o.item_id, f.franchise_id, EXISTS (SELECT 1 FROM known k WHERE k.user_id = u.user_id AND k.franchise_id = f.franchise_id) AS known_franchise,
@@ -393,9 +413,9 @@ def full_text(t: Tables) -> DataFrame:
     return text.full_text(t.read("documents").select("doc_id", "text"), ["the", "and", "that"]).select("doc_id")
 
 
-@query("sca3_similar_items", oracle("SELECT item_id, other_id, round(similarity, 5) AS similarity FROM (SELECT a.item_id, b.item_id AS other_id, list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(a.vec AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))) AS similarity FROM tag_vector a JOIN tag_vector b ON a.item_id <> b.item_id WHERE a.item_id < 20) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other_id) <= 10", "tag_vector"))
+@query("sca3_similar_items", oracle("SELECT item_id, other_id, round(similarity, 5) AS similarity FROM (SELECT a.item_id, b.item_id AS other_id, list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(a.vec AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))) AS similarity FROM tag_vector a JOIN tag_vector b ON a.item_id <> b.item_id WHERE a.item_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other_id) <= 10", "tag_vector"))
 def similar_items(t: Tables) -> DataFrame:
-    asked = t.tag_vector.filter("item_id < 20").select("item_id")  # the pages that are asked for
+    asked = t.tag_vector.filter("item_id % 50 = 0").select("item_id")
     return text.similar(asked, t.tag_vector).select("item_id", "other_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -443,28 +463,33 @@ def neighbour_signal(t: Tables) -> DataFrame:
     return population.neighbour_signal(pairs, position, sims).select("user_id", "item_id", *r6("knn", "evidence"), "known")
 
 
-@query("pop10_contributors")
+@query("pop10_contributors", oracle("""SELECT user_id, item_id, rank, because_id, round(part, 6) AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(part, 9) DESC, because_id) AS rank FROM (
+    SELECT p.user_id, p.item_id, s.other_id AS because_id, s.sim * q.d AS part FROM (SELECT DISTINCT user_id, item_id FROM rec_log) p JOIN topk s ON s.item_id = p.item_id JOIN pos q ON q.user_id = p.user_id AND q.item_id = s.other_id) WHERE part > 0) WHERE rank <= 3""", "rated", "rec_log", **_RES, norms=_NORM, sims=_SIM,
+    topk="SELECT item_id, other_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other_id) AS k FROM sims WHERE sim > 0) WHERE k <= 60", pos="SELECT user_id, item_id, score - mu - bias AS d FROM (SELECT *, avg(score) OVER (PARTITION BY user_id) AS mu FROM rated) JOIN bias USING (item_id)"))
 def contributors(t: Tables) -> DataFrame:
     pairs, position, sims, _ = _signals(t)
-    return population.contributors(pairs, position, sims)
+    return population.contributors(pairs, position, sims).select("user_id", "item_id", "rank", "because_id", *r6("part"))
 
 
 @query("pop4_factors")
 def factors(t: Tables) -> DataFrame:
-    return population.factors(population.residuals(t.rated, MIN_RATERS)[1], 8, 4.0, 3).select("item_id", F.posexplode("v").alias("pos", "x"))
+    """At the service's rank and rounds."""
+    return population.factors(population.residuals(t.rated, MIN_RATERS)[1], 32, 8.0, 12).select("item_id", F.posexplode("v").alias("pos", "x"))
 
 
 @query("pop5_item_item_model")
 def item_item_model(t: Tables) -> DataFrame:
-    return population.item_item_model(t.list_entry, 40.0, 15, 4_000, 50)
+    """All titles on enough lists, with the service's hundred weights each."""
+    return population.item_item_model(t.list_entry, 40.0, 15, None, 100)
 
 
-@query("pop14_size_lines", oracle("SELECT n, round(regr_slope(truth, prediction), 6) AS slope, round(regr_intercept(truth, prediction), 6) AS intercept FROM pairs GROUP BY 1 HAVING count(*) >= 20 AND regr_slope(truth, prediction) > 0", "rated", "item_stats",
-    pairs="SELECT CASE WHEN c <= 25 THEN 25 ELSE 60 END AS n, mean AS prediction, score AS truth FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS c FROM rated) JOIN item_stats USING (item_id)"))
+@query("pop14_size_lines", oracle("""SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, CAST(round(CAST(quantile_cont(truth - greatest(1, least(10, slope * prediction + intercept)), 0.05) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS q05, CAST(round(CAST(quantile_cont(truth - greatest(1, least(10, slope * prediction + intercept)), 0.95) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS q95 FROM pairs JOIN lines USING (n) GROUP BY n, slope, intercept""", "rated", "item_stats",
+    pairs="SELECT CASE WHEN c <= 5 THEN 10 WHEN c <= 25 THEN 25 ELSE 60 END AS n, mean AS prediction, score AS truth FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS c FROM rated) JOIN item_stats USING (item_id)",
+    lines="SELECT n, CASE WHEN ok THEN b ELSE 1 END AS slope, CASE WHEN ok THEN a ELSE 0 END AS intercept FROM (SELECT n, regr_slope(truth, prediction) AS b, regr_intercept(truth, prediction) AS a, count(*) >= 20 AND coalesce(regr_slope(truth, prediction) > 0, false) AS ok FROM pairs GROUP BY 1)"))
 def size_lines(t: Tables) -> DataFrame:
-    n = F.when(F.count("*").over(Window.partitionBy("user_id")) <= 25, 25).otherwise(60)
-    pairs = t.rated.withColumn("n", n).join(t.item_stats.select("item_id", F.col("mean").alias("prediction")), "item_id").select("n", "prediction", F.col("score").alias("truth"))
-    return population.size_lines(pairs).select("n", *r6("slope", "intercept"))
+    c = F.count("*").over(Window.partitionBy("user_id"))
+    pairs = t.rated.withColumn("n", F.when(c <= 5, 10).when(c <= 25, 25).otherwise(60)).join(t.item_stats.select("item_id", F.col("mean").alias("prediction")), "item_id").select("n", "prediction", F.col("score").alias("truth"))
+    return population.size_lines(pairs).select("n", *r6("slope", "intercept"), F.round(F.col("q")[1], 3).alias("q05"), F.round(F.col("q")[19], 3).alias("q95"))
 
 
 # ---- evaluation and statistics ----
@@ -480,7 +505,11 @@ def newest_holdout(t: Tables) -> DataFrame:
     return evaluate.newest_holdout(t.rated).select("user_id", "item_id", "held")
 
 
-@query("evl1_temporal_split")
+_HASH = "CAST(('0x' || substr(sha256({0}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@query("evl1_temporal_split", oracle(f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN bulk THEN {_HASH.format("user_id || '|' || item_id")} END, rated_at DESC, item_id) <= least(greatest(3, CAST(floor(n * 0.2) AS INTEGER)), n - 1) AS held
+    FROM rated JOIN (SELECT user_id, max(c) / sum(c) > 0.5 AS bulk, sum(c) AS n FROM (SELECT user_id, CAST(rated_at AS DATE) AS day, count(*) AS c FROM rated GROUP BY 1, 2) GROUP BY 1) USING (user_id)""", "rated"))
 def temporal_split(t: Tables) -> DataFrame:
     return evaluate.temporal_split(t.rated).select("user_id", "item_id", "held")
 
@@ -530,16 +559,29 @@ def period_outcomes(t: Tables) -> DataFrame:
     return logs.period_outcomes(t.rec_log, t.list_entry, t.feedback, t.list_event, CUT, LOGS_AS_OF, "safe_bets", 40, 10)
 
 
-@query("sta1_residual_quantiles", oracle("SELECT item_id % 10 AS fold, round(quantile_cont(truth - prediction, 0.05), 3) AS q05, round(quantile_cont(truth - prediction, 0.5), 3) AS q50, round(quantile_cont(truth - prediction, 0.95), 3) AS q95 FROM pairs GROUP BY 1", "rated", "item_stats", pairs=_EVAL))
+@query("sta1_residual_quantiles", oracle("SELECT item_id % 10 AS fold, CAST(round(CAST(quantile_cont(truth - prediction, 0.05) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS q05, CAST(round(CAST(quantile_cont(truth - prediction, 0.5) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS q50, CAST(round(CAST(quantile_cont(truth - prediction, 0.95) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS q95 FROM pairs GROUP BY 1", "rated", "item_stats", pairs=_EVAL))
 def residual_quantiles(t: Tables) -> DataFrame:
     q = evaluate.residual_quantiles(_pairs(t).withColumn("fold", F.col("item_id") % 10), "fold")
     return q.select("fold", F.col("q")[1].alias("q05"), F.col("q")[10].alias("q50"), F.col("q")[19].alias("q95"))
 
 
-@query("sta2_likely_ratings")
+#: The chances of the ratings 1 to 10 of a pair, all runs of them, and the shortest that holds half with the likeliest rating in it.
+LIKELY = dict(
+    qs="SELECT list_transform(quantile_cont(truth - prediction, [" + ", ".join(str(k / 20) for k in range(21)) + "]), lambda x: CAST(round(CAST(x AS DECIMAL(18, 9)), 3) AS DOUBLE)) AS q FROM pairs",
+    edges="""SELECT user_id, item_id, prediction, truth, k, CASE WHEN k = 0 THEN 0.0 WHEN k = 10 THEN 1.0 WHEN i = 0 THEN 0.0 WHEN i = 21 THEN 1.0 ELSE (i - 1 + (x - q[i]) / (q[i + 1] - q[i])) / 20 END AS c
+        FROM (SELECT *, len(list_filter(q, lambda v: v <= x)) AS i FROM (SELECT p.*, q, k, k + 0.5 - prediction AS x FROM pairs p CROSS JOIN qs CROSS JOIN range(11) r(k)))""",
+    cells="SELECT user_id, item_id, prediction, truth, k + 1 AS rating, lead(c) OVER w - c AS p, c AS below, k FROM edges WINDOW w AS (PARTITION BY user_id, item_id ORDER BY k)",
+    modes="SELECT user_id, item_id, arg_min(rating, struct_pack(a := -p, b := rating)) AS mode, sum(p) FILTER (WHERE rating >= 9) AS p_high FROM cells WHERE k < 10 GROUP BY 1, 2",
+    runs="""SELECT a.user_id, a.item_id, a.prediction, a.truth, a.rating AS low, b.rating - 1 AS high, round(b.below - a.below, 9) AS mass FROM cells a JOIN cells b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.k < b.k JOIN modes m ON m.user_id = a.user_id AND m.item_id = a.item_id
+        WHERE m.mode BETWEEN a.rating AND b.rating - 1 AND round(b.below - a.below, 9) >= 0.5""",
+    likely="SELECT r.*, p_high FROM runs r JOIN modes USING (user_id, item_id) QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY high - low, mass DESC, low DESC) = 1",
+)
+
+
+@query("sta2_likely_ratings", oracle("SELECT user_id, item_id, CAST(low AS INTEGER) AS low, CAST(high AS INTEGER) AS high, round(p_high, 6) AS p_high FROM likely", "rated", "item_stats", pairs=_EVAL, **LIKELY))
 def likely_ratings(t: Tables) -> DataFrame:
     pairs = _pairs(t)
-    return evaluate.likely_ratings(pairs.crossJoin(F.broadcast(evaluate.residual_quantiles(pairs)))).drop("q")  # one row
+    return evaluate.likely_ratings(pairs.crossJoin(F.broadcast(evaluate.residual_quantiles(pairs)))).select("user_id", "item_id", "low", "high", *r6("p_high"))  # one row
 
 
 def _tests(t: Tables) -> DataFrame:
@@ -582,20 +624,31 @@ def list_changes(t: Tables) -> DataFrame:
     return merge.list_changes(t.list_entry.filter("item_id % 5 <> 0"), new, F.lit(AS_OF)).select("user_id", "item_id", "status", "score")
 
 
-@query("snk13_daily_usage", oracle("SELECT user_id, event_type AS kind, item_id, CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM ev GROUP BY 1, 2, 3, 4", "ev"))
+@query("snk13_daily_usage", oracle("SELECT user_id, event_type AS kind, item_id, CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, round(arg_max(value, struct_pack(a := ts, b := event_id)), 6) AS value FROM ev GROUP BY 1, 2, 3, 4", "ev"))
 def daily_usage(t: Tables) -> DataFrame:
-    return logs.daily_usage(t.events).drop("value")
+    return logs.daily_usage(t.events).withColumn("value", F.round("value", 6))
+
+
+#: The whole product, the spread of each user's predictions over it, one title a franchise, twenty a user.
+FLAGSHIP = oracle("""SELECT user_id, item_id, rank, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, item_id) AS rank FROM (
+    SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY user_id, franchise_id ORDER BY value DESC, item_id) = 1)) WHERE rank <= 20""", "list_entry", "item", "item_stats", "prequel", "feedback", closure=_CLOSURE, franchise=_FRANCHISE, offered=_OFFERED, needed=_NEEDED,
+    open_pairs=f"""SELECT u.user_id, o.item_id, f.franchise_id, s.mean, least(1.0, log10(greatest(s.popularity, 1)) / 3.7) AS novelty FROM (SELECT DISTINCT user_id FROM list_entry) u CROSS JOIN (SELECT item_id FROM offered WHERE {_MAIN}) o JOIN franchise f ON f.item_id = o.item_id JOIN item_stats s ON s.item_id = o.item_id
+        WHERE NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = u.user_id AND e.item_id = o.item_id) AND NOT EXISTS (SELECT 1 FROM feedback b WHERE b.user_id = u.user_id AND b.item_id = o.item_id AND b.action = 'not_interested')
+        AND NOT EXISTS (SELECT 1 FROM needed c WHERE c.item_id = o.item_id AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = u.user_id AND e.item_id = c.prequel_id AND e.status = 'completed'))""",
+    valued="SELECT user_id, item_id, franchise_id, mean + 1.0 * greatest(0, least(1, stddev_pop(mean) OVER (PARTITION BY user_id) / 0.3)) * novelty AS value FROM open_pairs").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def flagship(t: Tables, top: int = 20, s: Settings | None = None) -> DataFrame:
     """Eligible titles of every user, best known-to-be-liked and least known first: the top of each list."""
-    rows = eligible_pairs(t).filter("format_class = 'main'").join(t.item_stats.select("item_id", F.col("mean").alias("prediction"), "popularity"), "item_id").withColumn("key", F.col("prediction"))
-    one = rerank.collapse_franchises(rerank.with_novelty(rows, s or Settings()))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "item_id"))
-    return one.withColumn("rank", rank).filter(F.col("rank") <= top).select("user_id", "item_id", "rank", *r6("value"))
+    s = s or Settings()
+    stats = t.item.join(t.item_stats, "item_id")
+    offered = candidates.offered_items(stats, AS_OF, MIN_SCORERS).filter("format_class = 'main'").withColumns({"prediction": F.col("mean"), "novelty": S.novelty("popularity")})
+    lists = candidates.top_lists(t.list_entry.select("user_id"), offered, t.list_entry, t.feedback, _franchise(t), graph.prequel_closure(t.prequel), t.item, top, s.novelty_weight, s.novelty_ref_sd)
+    return lists.select("user_id", "item_id", "rank", *r6("value"))
 
 
 QUERIES["flagship_top_lists"] = flagship
+ORACLES["flagship_top_lists"] = FLAGSHIP
 
 
 def as_driver_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,6 +124,42 @@ def saved_surface(stored: DataFrame, built: DataFrame) -> DataFrame:
     return replace_set(stored, built, "user_id", "surface")
 
 
+def impressions(built: DataFrame, at: Column, top: int = 50) -> DataFrame:
+    """(user_id, surface, item_id, rank, predicted, shown_at): what a build appends to the log of shown titles."""
+    return built.filter(F.col("position") <= top).select("user_id", "surface", "item_id", F.col("position").alias("rank"), F.col("value").alias("predicted"), at.alias("shown_at"))
+
+
+def stamped(stored: DataFrame, arriving: DataFrame, stamp: str, at: Column, key: str = "item_id") -> DataFrame:
+    """The table with ``stamp`` set to ``at`` for the keys that arrive."""
+    new = arriving.select(key).distinct().withColumn("__at", at)
+    return stored.join(new, key, "left").withColumn(stamp, F.coalesce("__at", stamp)).drop("__at").select(*stored.columns)
+
+
+def mirrored(stored: DataFrame, writes: DataFrame, at: Column) -> DataFrame:
+    """A local copy of the lists after single writes (user_id, item_id, status, score, episodes): a null status removes the entry, a null
+    score keeps the stored one, episodes never fall. stored: (user_id, item_id, status, score, episodes, updated_at)."""
+    keys = ["user_id", "item_id"]
+    both = stored.alias("o").join(writes.withColumn("here", F.lit(True)).alias("n"), keys, "full_outer").filter("n.here is null or n.status is not null")
+    kept = F.col("n.here").isNull()
+    return both.select(
+        *keys, F.when(kept, F.col("o.status")).otherwise(F.col("n.status")).alias("status"), F.when(kept, F.col("o.score")).otherwise(F.coalesce("n.score", "o.score", F.lit(0))).alias("score"),
+        F.greatest(F.col("o.episodes"), F.col("n.episodes")).alias("episodes"), F.when(kept, F.col("o.updated_at")).otherwise(at).alias("updated_at"),
+    )
+
+
+def resumed(cursor: DataFrame, work: DataFrame, stage: str, order: str) -> DataFrame:
+    """The work left of a stage: what comes after the last place that its cursor (stage, done) holds; all of it without one."""
+    done = cursor.filter(F.col("stage") == stage).agg(F.max("done").alias("__done"))
+    return work.crossJoin(F.broadcast(done)).filter(F.col("__done").isNull() | (F.col(order) > F.col("__done"))).drop("__done")  # one row
+
+
+def undone(actions: DataFrame, undo: DataFrame) -> DataFrame:
+    """An action log without the newest action of each (user_id, item_id, action) that is taken back."""
+    newest = Window.partitionBy("user_id", "item_id", "action").orderBy(F.desc("created_at"))
+    at = actions.withColumn("__k", F.row_number().over(newest)).join(undo.select("user_id", "item_id", "action").distinct().withColumn("__gone", F.lit(True)), ["user_id", "item_id", "action"], "left")
+    return at.filter(F.col("__gone").isNull() | (F.col("__k") > 1)).drop("__k", "__gone")
+
+
 def missing(ids: DataFrame, stamped: DataFrame, as_of: Column | None = None, max_days: int | None = None) -> DataFrame:
     """Ids (item_id, ord) without a stamp, or with one older than ``max_days``, each once at its first place."""
     fresh = stamped.filter(F.col("stamp").isNotNull()) if max_days is None else stamped.filter(F.col("stamp") >= as_of - F.make_dt_interval(F.lit(max_days)))
@@ -138,3 +174,41 @@ def by_priority(*sources: DataFrame, key: str = "item_id") -> DataFrame:
         every = s if every is None else every.unionByName(s, allowMissingColumns=True)
     best = Window.partitionBy(key).orderBy("__p", *(c for c in sources[0].columns if c != key and not dict(sources[0].dtypes)[c].startswith(("array", "map"))))
     return every.withColumn("__k", F.row_number().over(best)).filter("__k = 1").drop("__k", "__p")
+
+
+def stale(items: DataFrame, entries: DataFrame, as_of: Column, days: int, scope: str = "all", recent_days: int = 120, least_members: int = 1000) -> DataFrame:
+    """(item_id) whose ``fetched_at`` is null or older than ``days``, the most listed first. scope ``recent``: airing, announced or begun in
+    the last ``recent_days``, and with enough members or on a list."""
+    due = items.filter(F.col("fetched_at").isNull() | (F.col("fetched_at") < as_of - F.make_dt_interval(F.lit(days))))
+    if scope == "recent":
+        since = F.date_sub(as_of.cast("date"), recent_days)
+        moving = F.col("status").isin("currently_airing", "not_yet_aired") | (F.col("start_date") >= since)
+        listed = entries.select("item_id").distinct().withColumn("__listed", F.lit(True))
+        due = due.filter(moving).join(listed, "item_id", "left").filter((F.coalesce("members", F.lit(0)) >= least_members) | F.col("__listed").isNotNull())
+    return due.orderBy(F.desc_nulls_last("members"), "item_id").select("item_id")
+
+
+def upcoming_unlinked(items: DataFrame, least_members: int = 1000) -> DataFrame:
+    """(item_id): announced titles of some audience whose relations were never fetched, the most awaited first."""
+    rows = items.filter((F.col("status") == "not_yet_aired") & F.col("graph_fetched_at").isNull() & (F.coalesce("members", F.lit(0)) >= least_members))
+    return rows.orderBy(F.desc("members"), "item_id").select("item_id")
+
+
+def details_pending(items: DataFrame, least_members: int = 1000) -> DataFrame:
+    """(item_id): titles of a real audience without their graph, or with a graph but without statistics, by popularity."""
+    lack = F.col("graph_fetched_at").isNull() | F.col("status_dist").isNull()
+    return items.filter(lack & (F.coalesce("members", F.lit(0)) >= least_members)).orderBy(F.asc_nulls_last("popularity"), "item_id").select("item_id")
+
+
+def second_source_pending(items: DataFrame, entries: DataFrame, least_scorers: int) -> DataFrame:
+    """(item_id, listed) never fetched from the second source that enough users scored or that are listed: listed ones first, then by popularity."""
+    listed = entries.select("item_id").distinct().withColumn("listed", F.lit(True))
+    rows = items.filter(F.col("fetched_at").isNull()).join(listed, "item_id", "left").fillna({"listed": False})
+    return rows.filter((F.coalesce("scorers", F.lit(0)) >= least_scorers) | F.col("listed")).orderBy(F.desc("listed"), F.asc_nulls_last("popularity"), "item_id").select("item_id", "listed")
+
+
+def list_needs(entries: DataFrame, graph: DataFrame, tags: DataFrame) -> DataFrame:
+    """(user_id, listed, rated, graph_missing, tags_missing): per user how much of the list still lacks its graph, and of what is rated its tags."""
+    at = entries.join(graph.select("item_id").distinct().withColumn("g", F.lit(1)), "item_id", "left").join(tags.select("item_id").distinct().withColumn("t", F.lit(1)), "item_id", "left")
+    rated = F.col("score") > 0
+    return at.groupBy("user_id").agg(F.count("*").alias("listed"), F.count_if(rated).alias("rated"), F.count_if(F.col("g").isNull()).alias("graph_missing"), F.count_if(rated & F.col("t").isNull()).alias("tags_missing"))

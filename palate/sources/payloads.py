@@ -80,3 +80,8 @@ def stub_rows(nodes: DataFrame) -> DataFrame:
     """(item_id, title) of titles that are only mentioned: they come in as stubs and wait for their details."""
     every = nodes.select(F.explode(F.concat(F.transform(F.coalesce("related_anime", F.array()), lambda x: x["node"]), F.transform(F.coalesce("recommendations", F.array()), lambda x: x["node"]))).alias("n"))
     return every.select(F.col("n.id").alias("item_id"), F.col("n.title").alias("title")).dropDuplicates(["item_id"]).join(nodes.select(F.col("id").alias("item_id")), "item_id", "left_anti")
+
+
+def unzipped(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Parallel arrays as rows: the key with the values at each place."""
+    return rows.select(key, F.explode(F.arrays_zip(*columns)).alias("__z")).select(key, *(F.col(f"__z.{c}").alias(c) for c in columns))

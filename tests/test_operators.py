@@ -134,19 +134,20 @@ def test_two_tribes(spark):
 
 def test_blocked_pairs_equal_the_plain_join(spark):
     _, res = population.residuals(tribes(spark), 5)
-    plain, blocked = (sorted((r.i, r.j, round(r.dot, 9), r.co) for r in population._pairs(res, "e", n).collect()) for n in (None, 5))
+    plain, blocked = (sorted((r.i, r.j, round(r.dot, 9), r.co) for r in population._pairs(res, "e", n).collect()) for n in (2_000, 5))
     assert plain == blocked
 
 
 def test_closed_form_model_against_numpy(spark):
     ratings = tribes(spark)
-    got = population.item_item_model(ratings, 20.0, 5, 100, 100).toPandas()
+    got = population.item_item_model(ratings, 20.0, 5, None, 100, block=16).toPandas()
     x = np.zeros((120, 40))
     for r in ratings.collect():
         x[r.user_id, r.item_id - 1000] = 1
     p = np.linalg.inv(x.T @ x + 20 * np.eye(40))
     w = -p / np.diag(p)[None, :]
-    for r in got.sample(50, random_state=1).itertuples():
+    assert len(got) > 1000
+    for r in got.sample(200, random_state=1).itertuples():
         assert r.weight == pytest.approx(w[r.other_id - 1000, r.item_id - 1000], abs=1e-9)
 
 
@@ -180,8 +181,27 @@ def test_one_decomposition_serves_every_penalty():
 def test_calibrated_choice_follows_the_profile():
     keys = np.array([1.0, 0.99, 0.98, 0.5])
     traits = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
-    assert 3 in rerank.pick_calibrated(keys, traits, np.array([0.5, 0.5]), 0.7, 2)
-    assert rerank.pick_calibrated(keys, traits, np.array([0.5, 0.5]), 0.0, 2) == [0, 1]
+    aim = np.array([0.5, 0.5])
+    assert 3 in rerank.greedy(keys, 0.3, [rerank.Balance(aim, traits, 0.7)], 2)
+    assert rerank.greedy(keys, 1.0, [rerank.Balance(aim, traits, 0.0)], 2) == [0, 1]
+    assert rerank.in_blocks([3, 0, 2, 1], 2) == [0, 3, 1, 2] and rerank.in_blocks([3, 0, 2, 1], 0) == [0, 1, 2, 3]
+
+
+def test_calibrated_choice_equals_plain_divergence():
+    """Each pick is the best trade, worked out from the divergence itself."""
+    rng = np.random.default_rng(2)
+    keys, traits, aim = rng.random(30), rng.dirichlet(np.ones(4), 30), np.array([0.1, 0.2, 0.0, 0.7])
+    worth = (keys - keys.min()) / (keys.max() - keys.min() + 1e-9)
+
+    def plain(rows):
+        q = 0.01 * aim + 0.99 * traits[rows].sum(0) / traits[rows].sum()
+        return 0.4 * worth[rows].sum() - 0.6 * sum(a * np.log(a / b) for a, b in zip(aim, q, strict=True) if a > 0)
+
+    picked = []
+    for _ in range(8):
+        rest = [r for r in range(30) if r not in picked]
+        picked.append(max(rest, key=lambda r: plain([*picked, r])))
+    assert rerank.greedy(keys, 0.4, [rerank.Balance(aim, traits, 0.6)], 8) == picked
 
 
 def test_unfiltered_read_is_the_stored_list(spark):
@@ -218,9 +238,9 @@ def test_step_up_and_step_down(spark):
 
 
 def test_likely_set_and_tails(spark):
-    q = np.linspace(-2, 2, 21)
-    low, high, top = evaluate._run(7.0, q, 0.5)
-    assert low <= 7 <= high and high - low <= 2 and 0 <= top <= 0.3
+    q = [float(x) for x in np.linspace(-1, 1, 21)]
+    r = evaluate.likely_ratings(spark.createDataFrame([(8.2, q)], "prediction double, q array<double>")).first()
+    assert (r.low, r.high) == (8, 8) and r.p_high == pytest.approx(0.35)
     assert evaluate.student_tail(np.array([2.0, 12.7062]), np.array([10.0, 1.0])) == pytest.approx([0.036694, 0.025], abs=1e-5)
     assert spark.range(1).select(evaluate.normal_tail(F.lit(1.959964))).first()[0] == pytest.approx(0.025, abs=1e-7)
     assert spark.range(1).select(evaluate.normal_tail(F.lit(4.0))).first()[0] == pytest.approx(3.1671e-5, rel=1e-3)
