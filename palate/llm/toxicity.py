@@ -12,8 +12,10 @@ smoothed base rate; repeated rows get equal scores; texts are read whole; other
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,8 @@ MIN_DOCS, MIN_GAIN, MIN_ODDS = 2, 8.0, 2.0
 #: inputs at most that come by pairs.
 PAIR_TERMS, PAIR_ROWS, PAIR_DOCS, PAIR_GAIN, MAX_PAIRED = 2_048, 6_000, 5, 32.0, 256
 PREFIXES = (3, 4, 5, 6)
-#: Characters of words that a task remembers the terms of.
-KNOWN_CHARS = 400_000
+#: Characters of words that a worker remembers the terms of: some 25 MB.
+KNOWN_CHARS = 1_500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,18 +47,18 @@ def _buckets(word: str) -> list[int]:
 
 
 class _Known(dict):
-    """Word -> its terms as int32 bytes: their buckets or, with ``place``, the inputs among them. Lives as long as a task; bounded."""
+    """Word -> its terms as int32 bytes: their buckets or, with ``place``, the inputs among them, which most words have none of."""
 
     def __init__(self, place: np.ndarray | None = None):
         super().__init__()
-        self.place, self.chars = place, 0
+        self.inputs = None if place is None else {int(b): int(place[b]) for b in np.flatnonzero(place >= 0)}
+        self.chars = 0
 
     def __missing__(self, word: str) -> bytes:
-        terms = np.array(_buckets(word), np.int32)
-        if self.place is not None:
-            terms = self.place[terms]
-            terms = terms[terms >= 0].astype(np.int32)
-        out = terms.tobytes()
+        terms = _buckets(word)
+        if self.inputs is not None:
+            terms = [self.inputs[b] for b in terms if b in self.inputs]
+        out = array("i", terms).tobytes() if terms else b""
         if len(word) <= 64:
             if self.chars > KNOWN_CHARS:
                 self.clear()
@@ -71,6 +73,18 @@ class _Known(dict):
         return np.unique(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32))
 
 
+_kept: dict[bytes, _Known] = {}
+
+
+def _known(place: np.ndarray) -> _Known:
+    """What a worker process remembers for the machine that it served last, from task to task; ``KNOWN_CHARS`` bound it."""
+    key = hashlib.sha256(place.tobytes()).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = _Known(place)
+    return _kept[key]
+
+
 def hashed_terms(text: str | None) -> np.ndarray:
     """The distinct buckets of a text's terms, ascending."""
     return _Known().of(text)
@@ -262,7 +276,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text"
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = sent.value
-        known = _Known(machine.place)
+        known = _known(machine.place)
         for batch in batches:
             for texts in slices(batch):
                 yield pa.array([machine.of_inputs(known.of(t)) for t in texts.to_pylist()], pa.float64())
