@@ -26,6 +26,8 @@ from .common import fresh, ship_package, slices
 #: Bounds of what is learned: bytes of a dictionary and of all of them (many languages share these), documents a language to fill it
 #: from, and characters of these (longer ones come last).
 DICT_BYTES, ALL_BYTES, DOCS_PER_LANG, USUAL_CHARS = 120_000, 24_000_000, 120, 4_000
+#: Rows of the chosen sample that are sent to every executor.
+MOST_SENT = 100_000
 LEVEL, CHUNK_BYTES, MOST_SAVED = 6, 1_024, 0.12
 #: A choice is rejected if the next language needs less than this share more bytes, or less than so many.
 NARROW_SHARE, NARROW_BYTES = 0.01, 3
@@ -34,14 +36,21 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content for each language. Only ids travel to choose the sample; of the chosen rows no more bytes are fetched
-    than two dictionaries hold."""
+    """Raw dictionary content for each language. Only ids travel to choose the sample, and the chosen ones go to the texts while they
+    are few (counted; texts meet them by a shuffle beyond that); of the chosen rows no more bytes are fetched than two dictionaries
+    hold. Repeated rows count as one text."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = min(DICT_BYTES, ALL_BYTES // max(1, rows.select("lang").distinct().count()))
-    order = Window.partitionBy("lang").orderBy("long", "key", "id")
-    picked = rows.select("lang", "id", (F.char_length("text") > USUAL_CHARS).alias("long"), F.xxhash64("id").alias("key"))
-    picked = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS_PER_LANG).select("lang", "id", "rank")
-    texts = rows.join(picked, ["id", "lang"]).select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, each).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    langs = rows.select("lang").distinct().count()
+    each = min(DICT_BYTES, ALL_BYTES // max(1, langs))
+    order = Window.partitionBy("lang").orderBy("long", "key", "id", "hash")
+    picked = rows.select("lang", "id", "hash", (F.char_length("text") > USUAL_CHARS).alias("long"), F.xxhash64("id").alias("key"))
+    picked = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS_PER_LANG)
+    picked = picked.groupBy("lang", "id", "hash").agg(F.min("rank").alias("rank"))
+    if langs * DOCS_PER_LANG <= MOST_SENT:
+        picked = F.broadcast(picked)
+    texts = rows.join(picked, ["id", "lang", "hash"]).select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, each).alias("text"))
+    texts = texts.groupBy("lang", "rank").agg(F.min("text").alias("text"))
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1))  # DOCS_PER_LANG rows a language
     texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * each).select("lang", "rank", "text")
     found: dict[str, list[str]] = {}

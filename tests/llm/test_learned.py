@@ -161,6 +161,15 @@ def test_odd_texts_have_no_language(spark):
     assert clash.columns == ["doc_id", "text", "made", "lang_pred", "score", "rejected"] and clash.filter("made = 7").count() == len(ODD)
 
 
+def test_languages_learned_alike_by_either_join(spark, monkeypatch):
+    rows = [(k, f"the cat {k} and the dog {k * k} of the house", "en") for k in range(300)] + [(k, f"le chat {k} et le chien", "fr") for k in range(9)]
+    schema = "doc_id long, text string, lang string"
+    once = langid.learn(spark.createDataFrame(rows, schema))
+    assert once == langid.learn(spark.createDataFrame(rows + rows[-9:] * 2, schema))
+    monkeypatch.setattr(langid, "MOST_SENT", 0)
+    assert once == langid.learn(spark.createDataFrame(rows, schema)) and sorted(once) == ["en", "fr"]
+
+
 def plain_sizes(text, dictionaries):
     """Packed bytes of each chunk with each dictionary, by a compressor made anew each time."""
     import zstandard
