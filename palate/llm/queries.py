@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, line_dedup, mixing, quality, simhash, topk, toxicity, url_filter
-from .common import read_table
+from . import bpe, html_text, langid, line_dedup, mixing, packing, periodic, quality, resample, simhash, topk, toxicity, url_filter
+from .common import read_table, words
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -91,6 +91,42 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
+    return resample.draw(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents, by hash of the id, the words from a on repeat with a period p."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:  # w: the words, split once, as a variable of the outer lambda
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x)), " ")
+
+    planted = F.transform(F.array(words(F.col("text"))), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(""))[0]
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), F.sha2(told, 256).alias("runs_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), with_ids=False)
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -120,5 +156,33 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html_text, op4_url_filter, op5_language, op6_mixing, op7_toxicity, op8_line_dedup, op9_quality, op10_topk)}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_topk": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html_text, op4_url_filter, op5_language, op6_mixing, op7_toxicity, op8_line_dedup, op9_quality, op10_topk, op11_resample, op12_periodic_runs, op13_packing)}
+#: crc32 by its table of 256 remainders, a byte at a time.
+OP11_SQL = """
+WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+features AS (
+  SELECT side, id, f, count(*) AS n FROM (
+    SELECT side, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts)
+  GROUP BY ALL),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)),
+                        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS x FROM features), crc),
+counted AS (SELECT side, id, bucket, sum(n) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+buckets AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM counted GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM buckets),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM buckets, sums),
+weighed AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM counted JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((list_reduce(list_prepend(0, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || id), i, 1)) - 1)), lambda a, b: a * 16 + b) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (id) WHERE side = 'd'),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_topk": OP10_SQL, "op11_resample": OP11_SQL}
