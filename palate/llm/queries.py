@@ -106,8 +106,8 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
         p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
         return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x)), " ")
 
-    planted = F.transform(F.array(words(F.col("text"))), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(""))[0]
-    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+    planted = F.transform(F.array(words(F.col("text"))), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(""))
+    return docs.select("doc_id", F.explode(F.when(h % 10 == 0, planted).otherwise(F.array("text"))).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
