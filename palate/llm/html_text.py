@@ -56,6 +56,10 @@ HOME = re.compile(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?(?:main|ar
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'>]*+>))*+")
+OPENED = re.compile(r"</?[a-zA-Z][^\s/>]*")
+#: A tag among quotes that nothing closes ends at the next angle bracket.
+CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)(?:>|(?=<)|\Z)")
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'>]*+>))*+)(?:>|\Z))", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\u3002\uff01\uff1f\u061f\u0964\u2026:;,\u3001\u060c]")
@@ -121,14 +125,18 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         away, named, around, home = open_tags[-1][1:] if open_tags else outside
         return name
 
-    pos, n = 0, len(html)
+    pos, n, unquoted = 0, len(html), 0
     while pos < n:
         lt = html.find("<", pos)
         if lt < 0:
             say(html[pos:])
             break
         say(html[pos:lt])
-        m = TAG.match(html, lt)
+        m = TAG.match(html, lt) if lt >= unquoted else CUT_TAG.match(html, lt)
+        if not m and lt >= unquoted and (opened := OPENED.match(html, lt)):
+            # no tag before this quote needs another look for its end; either kind of quote is left open once at most
+            unquoted = ATTRIBUTES.match(html, opened.end()).end()
+            m = CUT_TAG.match(html, lt)
         if not m:
             say("<")
             pos = lt + 1
@@ -284,8 +292,9 @@ def _labels(found: list[Block], declared: str, away: list[bool]) -> list[bool]:
         else:
             (one, d1), (two, d2) = before[i], after[i]
             out.append(one == GOOD if one == two or d1 < d2 else two == GOOD if d2 < d1 else False)
-    if not any(out):  # nothing stood out: plain pages of middling blocks
-        out = [x == NEAR for x in first]
+    own = [bool(b.home) == has_home for b in found]  # where the article is looked for
+    if not any(x and y for x, y in zip(out, own, strict=True)):  # nothing stood out there: plain pages of middling blocks
+        out = [x or (y and z == NEAR) for x, y, z in zip(out, own, first, strict=True)]
     return out
 
 

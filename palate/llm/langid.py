@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import fresh, ship_package, slices
 
 #: Bounds of what is learned: bytes of a dictionary and of all of them (many languages share these), documents a language to fill it
-#: from, and characters of these (longer ones come last).
-DICT_BYTES, ALL_BYTES, DOCS_PER_LANG, USUAL_CHARS = 120_000, 24_000_000, 120, 4_000
+#: from, and the share of a dictionary that one of them gives at most (its first bytes).
+DICT_BYTES, ALL_BYTES, DOCS_PER_LANG, SHARE = 120_000, 24_000_000, 120, 8
 #: Rows of the chosen sample that are sent to every executor.
 MOST_SENT = 100_000
 LEVEL, CHUNK_BYTES, MOST_SAVED = 6, 1_024, 0.12
@@ -43,13 +43,13 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = rows.withColumn("hash", F.xxhash64("text"))
     langs = rows.select("lang").distinct().count()
     each = min(DICT_BYTES, ALL_BYTES // max(1, langs))
-    order = Window.partitionBy("lang").orderBy("long", "key", "id", "hash")
-    picked = rows.select("lang", "id", "hash", (F.char_length("text") > USUAL_CHARS).alias("long"), F.xxhash64("id").alias("key"))
+    order = Window.partitionBy("lang").orderBy("key", "id", "hash")
+    picked = rows.select("lang", "id", "hash", F.xxhash64("id").alias("key"))
     picked = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DOCS_PER_LANG)
     picked = picked.groupBy("lang", "id", "hash").agg(F.min("rank").alias("rank"))
     if langs * DOCS_PER_LANG <= MOST_SENT:
         picked = F.broadcast(picked)
-    texts = rows.join(picked, ["id", "lang", "hash"]).select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, each).alias("text"))
+    texts = rows.join(picked, ["id", "lang", "hash"]).select("lang", "rank", F.substring(F.encode("text", "UTF-8"), 1, max(1, each // SHARE)).alias("text"))
     texts = texts.groupBy("lang", "rank").agg(F.min("text").alias("text"))
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1))  # DOCS_PER_LANG rows a language
     texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * each).select("lang", "rank", "text")

@@ -144,5 +144,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_c
     if missed:
         warnings.warn(f"tokens reached and wanted: {missed}", stacklevel=2)
     rate = rows.withColumn("rate", _rate(taken, floor))
-    luck = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(17), F.col(id_col))).otherwise(F.xxhash64(F.lit(17), F.col(text_col)))
+    luck = F.pmod(drawn, F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rate.withColumn("copies", (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))

@@ -340,8 +340,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = tuple(size)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # a checkpointed side gets an exchange of its own, so that a join on a hub is split
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = checkpointed(small.filter("u <> v").distinct())
@@ -351,15 +352,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id) of every row; fp is the fingerprint as a signed long."""
+    """(id, fp, component_id) of every row; fp is the fingerprint as a signed long. Links run between fingerprints, so rows without an
+    id link others, too."""
     ship_package(docs.sparkSession)
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp")))
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("node")))
     edges = near_edges(nodes.select("fp"), radius)
-    with_ids = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    groups = components(with_ids.filter("na is not null and nb is not null").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    labelled = nodes.join(groups, nodes["node"] == groups["v"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    groups = components(edges)
+    labelled = staged(nodes.join(groups, nodes["fp"] == groups["v"], "left").select("fp", "node", F.coalesce("component", "fp").alias("root")))
+    least = staged(labelled.groupBy("root").agg(F.min("node").alias("component_id")))
+    return prints.join(labelled.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 #: Words of the wide fingerprint of ``similar_documents``; the bits of its first word and of all words that candidates may differ in.
@@ -369,6 +371,8 @@ WIDE, APART, WIDE_APART, MANY, MANY_APART = 8, 24, 134, 64, 114
 #: Ranges of the hash space of which the least shingle is taken, and how many neighbouring ranges make a key. Two texts share the least
 #: shingle of a range with a chance of their overlap J, a key with J^8: at 0.8, one key of 40 at least with 0.9994, at 0.5 with 0.15.
 RANGES, A_KEY = 320, 8
+#: The overlap that these numbers are made for; a smaller one is refused.
+LEAST_SIMILARITY = 0.8
 #: Distinct shingles of a bucket that one task holds; larger buckets go out as pairs of chunks.
 HELD = 1 << 20
 
@@ -525,6 +529,8 @@ def _text_hashes(text: Column) -> list[Column]:
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, held: int) -> DataFrame:
     """(id, t1, t2, first) of every row: its id, the hashes of its text, and the same three of the first row of its group, as a struct:
     numbered rows before others, by id, then by the hashes."""
+    if not LEAST_SIMILARITY <= similarity <= 1:
+        raise ValueError(f"keys and bounds hold for a similarity of {LEAST_SIMILARITY} to 1")
     ship_package(docs.sparkSession)
     t1, t2 = _text_hashes(F.col(text_col))
     w = F.col("w")

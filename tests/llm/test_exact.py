@@ -239,3 +239,32 @@ def test_op2_query(spark, sf):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op2_simhash(spark, sf).collect()}
     assert got == {i: (f"{int(p):016x}", want[i]) for i, p in zip(ids, prints, strict=True)}
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_links_run_through_documents_without_an_id(spark):
+    """A and B are too far apart, N (no id) is near both."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(words, 300))
+    for seed in range(4000):
+        r = np.random.default_rng(seed)
+        a, b = list(base), list(base)
+        for t in (a, b):
+            for k in r.choice(300, 4, replace=False):
+                t[k] = f"x{r.integers(0, 10**6)}"
+        apart = lambda x, y: (simhash.fingerprint(" ".join(x)) ^ simhash.fingerprint(" ".join(y))).bit_count()
+        if apart(a, b) > 4 and apart(a, base) <= 4 and apart(b, base) <= 4:
+            break
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (None, " ".join(base)), (7, "quite another text"), (None, "and one that nothing is near")]
+    for rows_ in (rows, [(3 if d is None and k == 2 else d, t) for k, (d, t) in enumerate(rows)]):
+        got = simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in got if r.doc_id in (1, 2, 3)) == [(False, d, 1) for d, _ in rows_ if d in (1, 2, 3)]
+        assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted(["1", "None"] if rows_ is rows else ["None"])
+
+
+def test_smaller_similarities_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for run in (simhash.similar_documents, simhash.drop_similar):
+        with pytest.raises(ValueError):
+            run(df, similarity=0.5)
+    assert simhash.similar_documents(df, similarity=0.9).count() == 1

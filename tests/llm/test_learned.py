@@ -67,6 +67,23 @@ def test_time_is_linear_in_unclosed_tags():
     assert time.time() - start < 6
 
 
+def test_time_is_linear_in_open_quotes():
+    import time
+
+    start = time.time()
+    for tag in ('<a "" ', "<a '' ", "<a '\" ", "<a \" <b ' ", "</a '\" "):
+        for end in ("'", '"', "'\"", "'>", ""):
+            html_text.main_text(page(tag * 20_000 + end + f"<p>{PARA}</p>"))
+    assert time.time() - start < 30
+    assert html_text.main_text(page(f"<a 'x <p>{PARA}</p>")) == PARA
+
+
+def test_a_short_intro_does_not_hide_middling_paragraphs():
+    part = (PARA * 3)[:190].strip()
+    got = html_text.main_text(page("<main><p>A short intro to what is on this page.</p></main><div id='content'>" + f"<p>{part}</p>" * 4 + "</div>"))
+    assert got == "\n\n".join(["A short intro to what is on this page.", *[part] * 4])
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_no_article_is_lost_by_a_name_or_a_threshold(name):
     body, lang, want = WHOLE[name]
@@ -81,7 +98,7 @@ def test_main_text(name):
 
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no tags"), (4, "<p"), (5, "<" * 5000), (6, '<a title="' * 3000), (7, "&#0;&bad;&amp")], "page_id long, html string")
-    assert [r.main_text for r in html_text.extract(df).orderBy("page_id").collect()][:2] == ["", ""]
+    assert [r.main_text for r in html_text.extract(df).orderBy("page_id").collect()] == ["", "", "no tags", "", "", "", "\ufffd&bad;&"]
     assert html_text.extract(df.withColumn("main_text", F.lit(1))).dtypes[-1] == ("main_text", "string")
     assert html_text.extract(df.limit(0)).count() == 0
     long = page("".join(f"<p>{PARA}</p>" for _ in range(6_000)))
@@ -373,3 +390,12 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(df.limit(0), one, {"x": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, one, {})
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    """At a rate of 1/2 half of the documents go in, with or without ids."""
+    rows = [(None, f"alpha beta {i} gamma", "a") for i in range(400)] + [(i, f"delta {i} rho", "a") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = mixing.mix(df.select("doc_id", "text"), df.filter("doc_id is not null").select("doc_id", F.lit("a").alias("domain")), {"a": 1.0}, growth=0.5).collect()
+    for none in (True, False):
+        assert 120 < sum(r.copies for r in got if (r.doc_id is None) == none) < 280
