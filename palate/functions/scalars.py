@@ -133,6 +133,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's, as an aggregate; null where a side is constant."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def l2_normalize(v: Column | str) -> Column:
     """The vector at length 1; a zero vector as it is."""
     n = norm(v)

@@ -55,13 +55,27 @@ def disagreement(rows: DataFrame, reference: DataFrame, scale: str = "z") -> Dat
     if scale == "raw":
         return rows.withColumn("gap", F.col("stack") - F.col("personal"))
     both = reference.filter("stack is not null and personal is not null").groupBy("user_id").agg(
-        F.count("*").alias("n"), F.avg("stack").alias("ms"), F.stddev_pop("stack").alias("ss"), F.avg("personal").alias("mp"), F.stddev_pop("personal").alias("sp"), F.corr("stack", "personal").alias("rho")
+        F.count("*").alias("n"), F.avg("stack").alias("ms"), F.stddev_pop("stack").alias("ss"), F.avg("personal").alias("mp"), F.stddev_pop("personal").alias("sp"), S.correlation("stack", "personal").alias("rho")
     ).filter("n >= 20 and ss > 1e-6 and sp > 1e-6")
     zs, zp = (F.col("stack") - F.col("ms")) / F.col("ss"), (F.col("personal") - F.col("mp")) / F.col("sp")
     gap = ((F.col("rho") * zs if scale == "resid" else zs) - zp) * F.col("ss")
     return rows.join(both, "user_id", "left").withColumn("gap", F.coalesce(gap, F.lit(0.0))).drop("n", "ms", "ss", "mp", "sp", "rho")
 
 
+def reference_titles(items: DataFrame, rated: DataFrame, most: int = 500, head: int = 8) -> DataFrame:
+    """(user_id, item_id): of each user the ``most`` titles of a main format with the most scorers that they have not rated.
+
+    The head of the catalogue (``head`` times as many) goes to every user as one array and loses what the user has rated, so users and
+    titles are not multiplied. items: item_id, media_type, scorers.
+    """
+    main = items.filter(S.format_class("media_type") == "main").orderBy(F.desc_nulls_last("scorers"), "item_id").limit(head * most)
+    best = F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("scorers", F.lit(0))).alias("s"), "item_id"))), lambda x: x["item_id"])
+    row = main.agg(best.alias("best"))  # one row of head * most ids
+    own = rated.groupBy("user_id").agg(F.collect_set("item_id").alias("own"))  # one user's list
+    left = own.crossJoin(F.broadcast(row)).select("user_id", F.slice(F.array_except("best", "own"), 1, most).alias("left"))
+    return left.select("user_id", F.explode("left").alias("item_id"))
+
+
 def blend_search(rows: DataFrame, least: int = 20, steps: int = 10) -> DataFrame:
     """(user_id, share): of 0, 0.1, ..., 1 the personal share with the least squared error on held-out ratings; ties to the smaller one.
 
@@ -83,8 +97,18 @@ def choose_setting(scores: DataFrame, default: float, margin: float = 0.002, lea
 
 
 def level_trend(examples: DataFrame, kind: str = "lin3") -> DataFrame:
-    """Add age_y, how long before a user's newest rating each one was given: years up to 3 (``lin3``) or log of one more (``log``)."""
-    newest = F.max("rated_at").over(Window.partitionBy("user_id"))
+    """Add age_y, how long before a user's newest rating each one was given: years up to 3 (``lin3``), the log of one more (``log``), or
+    (``power``) the signed power 0.4 of the days from the user's mean rating date, in tenths, less what it is today. Undated ratings
+    have 0. Examples carry it and predictions do not (0), so these are made at today's level."""
+    user = Window.partitionBy("user_id")
+    newest = F.max("rated_at").over(user)
+    if kind == "power":
+        at = F.unix_micros(F.col("rated_at").cast("timestamp")) / F.lit(1e6 * 86_400)
+        curve = lambda x: F.signum(x) * F.pow(F.abs(x), F.lit(0.4)) / 10
+        middle = F.avg(at).over(user)
+        return examples.withColumn("age_y", F.coalesce(curve(at - middle) - curve(F.max(at).over(user) - middle), F.lit(0.0)))
+    if kind not in ("lin3", "log"):
+        raise ValueError("kind is lin3, log or power")
     years = (F.unix_micros(newest.cast("timestamp")) - F.unix_micros(F.col("rated_at").cast("timestamp"))) / F.lit(1e6 * S.YEAR_SECONDS)
     return examples.withColumn("age_y", F.coalesce(F.least(years, F.lit(3.0)) if kind == "lin3" else F.log1p(F.greatest(years, F.lit(0.0))), F.lit(0.0)))
 
@@ -137,54 +161,41 @@ def vocabulary(examples: DataFrame, features: DataFrame, least: int = 3) -> Data
 
 
 def choose_alpha(x: np.ndarray, y: np.ndarray, w: np.ndarray, alphas=ALPHAS, folds: int = 10) -> float:
-    """The penalty with the least weighted cross-validation error. A fold's Gram matrix is decomposed once; every penalty reuses it."""
-    n = len(y)
-    if n < 2 * folds:
-        return float(np.median(alphas))
-    of = np.arange(n) * 7919 % n % folds
-    loss = np.zeros(len(alphas))
-    for k in range(folds):
-        fit, held = of != k, of == k
-        mx, my = np.average(x[fit], axis=0, weights=w[fit]), np.average(y[fit], weights=w[fit])
-        xs, ys = (x[fit] - mx) * np.sqrt(w[fit])[:, None], (y[fit] - my) * np.sqrt(w[fit])
-        values, vectors = np.linalg.eigh(xs.T @ xs)
-        right = vectors.T @ (xs.T @ ys)
-        for i, alpha in enumerate(alphas):
-            miss = y[held] - my - (x[held] - mx) @ (vectors @ (right / (values + alpha)))
-            loss[i] += (w[held] * miss**2).sum()
-    return float(alphas[int(loss.argmin())])
+    """The penalty with the least weighted cross-validation error, for a dense matrix."""
+    from .training import Design, best_alpha
+
+    return best_alpha(Design([None] * len(x), [None] * len(x), extra=x), y, w, alphas, folds)
 
 
 def ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
-    xs = (x - mx) * np.sqrt(w)[:, None]
-    coef = np.linalg.solve(xs.T @ xs + alpha * np.eye(x.shape[1]), xs.T @ ((y - my) * np.sqrt(w)))
-    return coef, float(my - mx @ coef)
+    from .training import Design
+
+    return Design([None] * len(x), [None] * len(x), extra=x).sums(np.arange(len(x)), y, w).solutions((alpha,))[0]
 
 
-def fit_users(examples: DataFrame, features: DataFrame, vocab: DataFrame, alphas=ALPHAS) -> DataFrame:
+def fit_users(examples: DataFrame, features: DataFrame, vocab: DataFrame | None = None, alphas=ALPHAS) -> DataFrame:
     """(user_id, feature, coef) with an 'intercept' row and the chosen penalty as 'alpha'. A solve reads one user's examples.
 
-    examples: (user_id, item_id, score, w).
+    examples: (user_id, item_id, score, w). Titles come with their features packed, so one row an example is shuffled; a user's
+    vocabulary (features of three titles or more) is counted in the group, unless ``vocab`` (user_id, feature) gives it.
     """
-    rows = examples.select("user_id", "item_id", F.col("score").cast("double").alias("y"), "w").join(features, "item_id", "left")
-    rows = rows.join(vocab.withColumn("known", F.lit(True)), ["user_id", "feature"], "left").withColumn("feature", F.when(F.col("known"), F.col("feature")))
+    from .training import Design, best_alpha, packed_features
+
+    rows = examples.select("user_id", "item_id", F.col("score").cast("double").alias("y"), "w").join(packed_features(features), "item_id", "left")
+    if vocab is not None:
+        rows = rows.join(vocab.groupBy("user_id").agg(F.array_sort(F.collect_set("feature")).alias("names")), "user_id", "left")  # one user's features
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         one = group.drop_duplicates("item_id").sort_values("item_id")
-        place = {int(i): k for k, i in enumerate(one["item_id"])}
-        used = group.dropna(subset=["feature"])
-        names = sorted(used["feature"].unique())
-        at = {f: k for k, f in enumerate(names)}
-        x = np.zeros((len(one), len(names)))
-        x[used["item_id"].map(place).to_numpy(int), used["feature"].map(at).to_numpy(int)] = used["value"].to_numpy()
+        given = None if "names" not in one else [] if one["names"].iloc[0] is None else list(one["names"].iloc[0])
+        design = Design(one["f"].tolist(), one["v"].tolist(), names=given)
         y, w = one["y"].to_numpy(), one["w"].to_numpy()
-        if not names or w.sum() <= 0:
-            coef, intercept, alpha = np.zeros(len(names)), float(y.mean()), 0.0
+        if not design.names or w.sum() <= 0:
+            coef, intercept, alpha = np.zeros(design.width), float(y.mean()), 0.0
         else:
-            alpha = choose_alpha(x, y, w, alphas)
-            coef, intercept = ridge(x, y, w, alpha)
-        return pd.DataFrame({"user_id": group["user_id"].iloc[0], "feature": [*names, "intercept", "alpha"], "coef": [*coef, intercept, alpha]})
+            alpha = best_alpha(design, y, w, alphas)
+            (coef, intercept), *_ = design.sums(np.arange(design.n), y, w).solutions((alpha,))
+        return pd.DataFrame({"user_id": group["user_id"].iloc[0], "feature": [*design.names, "intercept", "alpha"], "coef": [*coef, intercept, alpha]})
 
     return rows.groupBy("user_id").applyInPandas(fit, "user_id long, feature string, coef double")
 

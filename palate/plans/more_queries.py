@@ -35,7 +35,7 @@ def vocabulary(t: Tables) -> DataFrame:
 @query("usr4_personal_models")
 def personal_models(t: Tables) -> DataFrame:
     examples, features = affinity.scored_entries(t.rated, AS_OF), usermodel.feature_values(t.item)
-    return usermodel.fit_users(examples, features, usermodel.vocabulary(examples, features))
+    return usermodel.fit_users(examples, features)
 
 
 @query("exp4_feature_importance")
