@@ -137,6 +137,23 @@ def likely_ratings(rows: DataFrame, mass: float = 0.5) -> DataFrame:
     return out.drop("__p", "__r")
 
 
+def range_report(pairs: DataFrame, quantiles: DataFrame, key: str = "user_id", low: int = 2, high: int = 18) -> DataFrame:
+    """(key, n, covered): the share of ratings between two of 21 error quantiles (one row, q) of their predictions; 10 and 90 in 100."""
+    at = pairs.crossJoin(F.broadcast(quantiles.select("q")))  # one row
+    inside = F.col("truth").between(F.col("prediction") + F.get("q", F.lit(low)), F.col("prediction") + F.get("q", F.lit(high)))
+    return at.groupBy(key).agg(F.count("*").alias("n"), F.avg(inside.cast("double")).alias("covered"))
+
+
+def age_recall(lists: DataFrame, truth: DataFrame, items: DataFrame, year: int, k: int = 50, least: int = 2) -> DataFrame:
+    """(user_id, recall_new, recall_old): of the liked titles under two years of age, and of the older ones, those in a list's first ``k``;
+    null under ``least`` such titles. truth: (user_id, item_id) of liked titles."""
+    bucket = S.age_bucket(F.lit(year) - F.col("season_year"))
+    at = truth.join(items.select("item_id", (F.coalesce(bucket, F.lit(0)) == 0).alias("new"), F.col("season_year").isNotNull().alias("dated")), "item_id").filter("dated")
+    at = at.join(lists.filter(F.col("position") <= k).select("user_id", "item_id", F.lit(1.0).alias("found")), ["user_id", "item_id"], "left")
+    share = lambda c: F.when(F.count_if(c) >= least, F.sum(F.when(c, F.coalesce("found", F.lit(0.0)))) / F.count_if(c))
+    return at.groupBy("user_id").agg(share(F.col("new")).alias("recall_new"), share(~F.col("new")).alias("recall_old"))
+
+
 def range_coverage(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(F.col("truth").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"), F.count("*").alias("n"))
 

@@ -116,9 +116,9 @@ def themes(t: Tables) -> DataFrame:
     return rows.filter(S.theme_category("category"))
 
 
-@query("prj12_own_line", oracle("SELECT user_id, rho >= 0.3 AND slope >= 0.5 AS usable FROM (SELECT user_id, corr(prediction, truth) AS rho, regr_slope(truth, prediction) AS slope FROM pairs GROUP BY 1 HAVING count(*) >= 10)", "rated", "item_stats", pairs=_EVAL))
+@query("prj12_own_line", oracle("SELECT user_id, rho >= 0.3 AND slope >= 0.5 AS usable FROM (SELECT user_id, covar_pop(prediction, truth) / nullif(stddev_pop(prediction) * stddev_pop(truth), 0) AS rho, covar_pop(prediction, truth) / nullif(var_pop(prediction), 0) AS slope FROM pairs GROUP BY 1 HAVING count(*) >= 10)", "rated", "item_stats", pairs=_EVAL))
 def own_line(t: Tables) -> DataFrame:
-    lines = _pairs(t).groupBy("user_id").agg(F.count("*").alias("n"), F.corr("prediction", "truth").alias("rho"), F.regr_slope("truth", "prediction").alias("slope")).filter("n >= 10")
+    lines = _pairs(t).groupBy("user_id").agg(F.count("*").alias("n"), S.correlation("prediction", "truth").alias("rho"), F.regr_slope("truth", "prediction").alias("slope")).filter("n >= 10")
     return lines.select("user_id", registry.own_line_usable("rho", "slope").alias("usable"))
 
 
