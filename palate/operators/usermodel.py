@@ -110,7 +110,8 @@ def level_trend(examples: DataFrame, kind: str = "lin3") -> DataFrame:
     if kind not in ("lin3", "log"):
         raise ValueError("kind is lin3, log or power")
     years = (F.unix_micros(newest.cast("timestamp")) - F.unix_micros(F.col("rated_at").cast("timestamp"))) / F.lit(1e6 * S.YEAR_SECONDS)
-    return examples.withColumn("age_y", F.coalesce(F.least(years, F.lit(3.0)) if kind == "lin3" else F.log1p(F.greatest(years, F.lit(0.0))), F.lit(0.0)))
+    age = F.least(years, F.lit(3.0)) if kind == "lin3" else F.log1p(F.greatest(years, F.lit(0.0)))
+    return examples.withColumn("age_y", F.when(years.isNotNull(), age).otherwise(F.lit(0.0)))
 
 
 def serving_mode(n: Column | str, blend_from: int = 300) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import affinity, candidates, evaluate, graph, logs, population, registry, rerank, taste, usermodel
+from ..operators import affinity, candidates, evaluate, graph, logs, population, registry, rerank, taste, text, usermodel
 from ..settings import Settings, deployed
 from ..sources import merge, payloads, snapshots
 from ..sources.projection import AS_OF, Tables
-from .more_queries import _TOP, _items, _terms, _toplist
+from .more_queries import _TERMS, _TOP, _items, _terms, _toplist
 from .oracle import oracle
 from .queries import _EVAL, _FRANCHISE, _HASH, _MAIN, MIN_SCORERS, _dev, _franchise, _pairs, query, r6
 
@@ -174,24 +174,23 @@ def outgrown(t: Tables) -> DataFrame:
 
 
 # ---- features and choices of a user ----
-@query("usr1_user_features", oracle("""SELECT p.user_id, p.item_id, round(coalesce(aff, 0), 6) AS aff, round(coalesce(best, 0), 6) AS franchise_best, coalesce(known, false) AS franchise_known FROM (SELECT DISTINCT user_id, item_id FROM rec_log) p
+@query("usr1_user_features", oracle("""SELECT p.user_id, p.item_id, round(coalesce(aff, 0), 6) AS aff, round(coalesce(best, 0), 6) AS franchise_best, coalesce(known, false) AS franchise_known, round(coalesce(c.cosine, 0), 4) AS tag_cosine FROM (SELECT DISTINCT user_id, item_id FROM rec_log) p
     LEFT JOIN (SELECT w.user_id, e.src AS item_id, sum(e.weight * w.w * (w.score - m.mu)) / (sum(e.weight * w.w) + 1.5) AS aff FROM weighted w JOIN user_mean m USING (user_id) JOIN rec_edge e ON e.dst = w.item_id GROUP BY 1, 2) a ON a.user_id = p.user_id AND a.item_id = p.item_id
-    LEFT JOIN (SELECT r.user_id, f.item_id, coalesce(max(d) FILTER (WHERE r.item_id <> f.item_id), 0) AS best, coalesce(bool_or(r.item_id <> f.item_id), false) AS known FROM franchise f JOIN rated_in r ON r.franchise_id = f.franchise_id GROUP BY 1, 2) b ON b.user_id = p.user_id AND b.item_id = p.item_id""",
-    "user_mean", "rec_edge", "rec_log", franchise=_FRANCHISE, rated_in="SELECT w.user_id, w.item_id, (w.score - m.mu) * w.w AS d, franchise_id FROM weighted w JOIN user_mean m USING (user_id) JOIN franchise USING (item_id)"))
+    LEFT JOIN (SELECT r.user_id, f.item_id, coalesce(max(d) FILTER (WHERE r.item_id <> f.item_id), 0) AS best, coalesce(bool_or(r.item_id <> f.item_id), false) AS known FROM franchise f JOIN rated_in r ON r.franchise_id = f.franchise_id GROUP BY 1, 2) b ON b.user_id = p.user_id AND b.item_id = p.item_id
+    LEFT JOIN (SELECT user_id, v.item_id, sum(t.x * v.x) / nullif(sqrt(sum(t.x * t.x) * sum(v.x * v.x)), 0) AS cosine FROM taste t JOIN cells v USING (pos) GROUP BY 1, 2) c ON c.user_id = p.user_id AND c.item_id = p.item_id""",
+    "user_mean", "rec_edge", "rec_log", "tag_vector", cells="SELECT item_id, CAST(unnest(vec) AS DOUBLE) AS x, generate_subscripts(vec, 1) AS pos FROM tag_vector WHERE item_id IN (SELECT item_id FROM rated UNION SELECT item_id FROM rec_log)",
+    taste="SELECT w.user_id, v.pos, sum((w.score - m.mu) * w.w * v.x) AS x FROM weighted w JOIN user_mean m USING (user_id) JOIN cells v USING (item_id) WHERE w.user_id IN (SELECT user_id FROM rec_log) GROUP BY 1, 2", franchise=_FRANCHISE, rated_in="SELECT w.user_id, w.item_id, (w.score - m.mu) * w.w AS d, franchise_id FROM weighted w JOIN user_mean m USING (user_id) JOIN franchise USING (item_id)"))
 def user_features(t: Tables) -> DataFrame:
     pairs, dev = t.rec_log.select("user_id", "item_id").distinct(), _dev(t)
-    from ..operators import text
-
     cosine = text.vector_affinity(pairs, affinity.taste_vector(dev, t.tag_vector), t.tag_vector)
     rows = usermodel.user_features(pairs, affinity.rec_affinity(dev, t.rec_edge), affinity.franchise_affinity(dev, _franchise(t)), cosine)
-    return rows.select("user_id", "item_id", *r6("aff", "franchise_best"), "franchise_known")
+    return rows.select("user_id", "item_id", *r6("aff", "franchise_best"), "franchise_known", F.round("tag_cosine", 4).alias("tag_cosine"))
 
 
-@query("usr3_catalogue_features", oracle("SELECT item_id, feature, round(value, 6) AS value FROM (SELECT item_id, 'n:mean' AS feature, coalesce(mean, 7.5) - 7.5 AS value FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 'n:audience', log10(coalesce(popularity, 5000)) - 3 FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 'n:scorers', log10(CASE WHEN coalesce(scorers, 0) = 0 THEN 1000 ELSE scorers END) - 4 FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 't:' || tag, max(rank) / 100 FROM tags GROUP BY 1, 2)", "item", "item_stats", "tag_vector", tags="SELECT item_id, unnest(genres) AS tag, num_episodes AS rank FROM item"))
+@query("usr3_catalogue_features", oracle("SELECT item_id, feature, round(value, 6) AS value FROM (SELECT item_id, 'n:mean' AS feature, coalesce(mean, 7.5) - 7.5 AS value FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 'n:audience', log10(coalesce(popularity, 5000)) - 3 FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 'n:scorers', log10(CASE WHEN coalesce(scorers, 0) = 0 THEN 1000 ELSE scorers END) - 4 FROM item LEFT JOIN item_stats USING (item_id) UNION ALL SELECT item_id, 't:' || tag, max(rank) / 100 FROM tags GROUP BY 1, 2 UNION ALL SELECT DISTINCT item_id, f, 1.0 FROM (SELECT item_id, unnest(list_concat(list_transform(genres, lambda g: 'g:' || g), ['st:' || studio, 'mt:' || media_type, 'dec:' || CAST(season_year // 5 * 5 AS VARCHAR), 'len:' || CASE WHEN num_episodes <= 13 THEN '1-13' WHEN num_episodes <= 26 THEN '14-26' WHEN num_episodes <= 60 THEN '27-60' ELSE '60+' END])) AS f FROM item))", "item", "item_stats", "tag_vector", tags="SELECT item_id, unnest(genres) AS tag, num_episodes AS rank FROM item"))
 def catalogue_features(t: Tables) -> DataFrame:
     tags = t.item.select("item_id", F.explode("genres").alias("tag"), F.col("num_episodes").alias("rank"))
-    rows = usermodel.catalogue_features(_items(t), tags).filter("feature like 'n:%' or feature like 't:%'")
-    return rows.select("item_id", "feature", *r6("value"))
+    return usermodel.catalogue_features(_items(t), tags).select("item_id", "feature", *r6("value"))
 
 
 @query("key6_acclaim", oracle("""SELECT user_id, item_id, round(x - usual, 6) AS acclaim FROM parts JOIN (SELECT user_id, avg(x) AS usual FROM parts GROUP BY 1) USING (user_id)""", "rated", "item_stats",
@@ -229,12 +228,13 @@ def level_trend(t: Tables) -> DataFrame:
 
 
 @query("usr15_taught_examples", oracle("""SELECT user_id, item_id, round(score, 6) AS score, round(w, 6) AS w FROM (SELECT user_id, item_id, CAST(score AS DOUBLE) AS score, w FROM weighted UNION ALL
-    SELECT user_id, item_id, greatest(1, least(10, mean + CASE status WHEN 'dropped' THEN -1.5 WHEN 'on_hold' THEN -0.5 ELSE 0 END)), 0.8 * (0.05 + 0.95 * pow(0.5, greatest((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(rated_at)) / 1e6 / 31557600, 0) / 0.5)) FROM (SELECT *, avg(score) FILTER (WHERE score > 0) OVER (PARTITION BY user_id) AS mean FROM list_entry) WHERE score = 0 AND mean IS NOT NULL AND status IN ('dropped', 'on_hold', 'completed'))""", "weighted"))
+    SELECT user_id, item_id, greatest(1, least(10, mean + CASE status WHEN 'dropped' THEN -1.5 WHEN 'on_hold' THEN -0.5 ELSE 0 END)), 0.8 * (0.05 + 0.95 * pow(0.5, greatest((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(rated_at)) / 1e6 / 31557600, 0) / 0.5)) FROM (SELECT *, avg(score) FILTER (WHERE score > 0) OVER (PARTITION BY user_id) AS mean FROM list_entry) WHERE score = 0 AND mean IS NOT NULL AND status IN ('dropped', 'on_hold', 'completed')
+    UNION ALL SELECT b.user_id, b.item_id, greatest(any_value(m.mean) - 1.0, 1.0), 0.4 * (0.05 + 0.95 * pow(0.5, greatest((epoch_us(TIMESTAMP '2002-01-01') - max(epoch_us(b.created_at))) / 1e6 / 31557600, 0) / 0.5)) FROM feedback b JOIN (SELECT user_id, avg(score) AS mean FROM rated GROUP BY 1) m USING (user_id)
+    WHERE b.action = 'not_interested' AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = b.user_id AND e.item_id = b.item_id) GROUP BY 1, 2)""", "weighted", "feedback"))
 def taught_examples(t: Tables) -> DataFrame:
     from .build import Inputs, taught_examples
 
-    none = t.feedback.limit(0)
-    return taught_examples(Inputs(t.list_entry, t.item, t.relation, none, _franchise(t), AS_OF), Settings()).select("user_id", "item_id", *r6("score", "w"))
+    return taught_examples(Inputs(t.list_entry, t.item, t.relation, t.feedback, _franchise(t), AS_OF), Settings()).select("user_id", "item_id", *r6("score", "w"))
 
 
 @query("usr18_error_ranges", oracle("SELECT user_id, CASE WHEN count(*) >= 20 THEN 'own' ELSE 'size' END AS source, 21 AS quantiles FROM pairs GROUP BY 1", "rated", "item_stats", pairs=_EVAL))
@@ -252,15 +252,27 @@ def contributions(t: Tables) -> DataFrame:
     return usermodel.contributions(t.rated, models, features, 1000).select("user_id", "item_id", "feature", *r6("part"))
 
 
-@query("exp3_explained", oracle("SELECT user_id, term, round(sum(points), 6) AS points FROM parts GROUP BY 1, 2", "rated", "item", "item_stats", parts="SELECT user_id, 'long' AS term, CAST(0.3 AS DOUBLE) * CAST(num_episodes >= 50 AS INTEGER) AS points FROM rated JOIN item USING (item_id) JOIN item_stats USING (item_id)"))
+#: Every term of the order key of ``_TERMS``, and what a ranker sees of a row.
+_PARTS = """SELECT *, 0.5 * (1 - share) * coalesce(stddev_pop(shown + relevance) OVER p, 0) * CASE WHEN stddev_pop(known) OVER p > 1e-9 THEN (known - avg(known) OVER p) / stddev_pop(known) OVER p ELSE 0 END AS prior FROM (
+    SELECT *, greatest(1, least(10, prediction)) AS shown, 0.5 * (1 - share) * z + 0.5 * share * greatest(-2, least(2, z)) AS relevance, -log10(popularity) AS known, CAST(0.3 AS DOUBLE) * CAST(num_episodes >= 50 AS INTEGER) AS risk_long, share / 0.5 * 0.5 * greatest(stack - personal, 0) AS risk_disagree,
+    share / 0.5 * 0.3 * CAST(unfamiliar AS INTEGER) AS risk_unfamiliar, share / 0.5 * 0.6 * greatest(acclaim, 0) * 0.1 / (0.1 + evidence) AS risk_acclaim FROM terms) WINDOW p AS (PARTITION BY user_id)"""
+
+
+@query("exp3_explained", oracle("""SELECT user_id, term, round(sum(points), 6) + 0.0 AS points FROM (SELECT user_id, unnest(['shown', 'relevance', 'prior', 'long', 'disagree', 'unfamiliar', 'acclaim']) AS term, unnest([shown, relevance, prior, -risk_long, -risk_disagree, -risk_unfamiliar, -risk_acclaim]) AS points FROM parts) GROUP BY 1, 2""", "rated", "item", "item_stats", terms=_TERMS, parts=_PARTS))
 def explained(t: Tables) -> DataFrame:
-    rows = usermodel.explain_terms(usermodel.order_key(_terms(t), 2002, deployed(), 0.5)).filter("term = 'long'")
-    return rows.groupBy("user_id", "term").agg(F.round(F.sum(-F.col("points")), 6).alias("points"))
+    rows = usermodel.explain_terms(usermodel.order_key(_terms(t), 2002, deployed(), 0.5))
+    return rows.groupBy("user_id", "term").agg((F.round(F.sum("points"), 6) + 0.0).alias("points"))
 
 
-@query("ltr1_ranking_inputs", oracle("SELECT user_id, item_id, round(ln(1 + scorers), 6) AS log_scorers, round(log10(popularity), 6) AS log_rank, CAST(2002 - season_year AS DOUBLE) AS age, CAST(num_episodes AS DOUBLE) AS episodes FROM rated JOIN item USING (item_id) JOIN item_stats USING (item_id)", "rated", "item", "item_stats"))
+@query("ltr1_ranking_inputs", oracle(f"""SELECT p.user_id, p.item_id, {", ".join(f"round({c}, 6) AS {c}" for c in ("shown", "z", "prior", "risk_long", "risk_disagree", "risk_unfamiliar", "risk_acclaim", "share"))}, round(stack, 6) AS pred_pop, round(personal, 6) AS pred_personal, round(personal - stack, 6) AS pred_gap, round(ln(1 + n), 6) AS log_n, round(mean, 6) AS mean,
+    round(ln(1 + scorers), 6) AS log_scorers, round(log10(s.popularity), 6) AS log_rank, CAST(2002 - season_year AS DOUBLE) AS age, CAST(i.num_episodes AS DOUBLE) AS episodes, round(least(1.0, log10(greatest(s.popularity, 1)) / 3.7), 6) AS novelty, round(coalesce(fit, 0), 6) AS genre_fit, round(coalesce(long_share, 0), 6) AS long_share, round(coalesce(long_lift, 0), 6) AS long_lift, round(coalesce(long_drop, 0), 6) AS long_drop
+    FROM parts p JOIN item i USING (item_id) JOIN item_stats s USING (item_id) LEFT JOIN fits f ON f.user_id = p.user_id AND f.item_id = p.item_id LEFT JOIN longs l ON l.user_id = p.user_id""", "weighted", "item", "item_stats", terms=_TERMS, parts=_PARTS,
+    profile="SELECT user_id, genre, x / sum(x) OVER (PARTITION BY user_id) AS part FROM (SELECT user_id, genre, sum(w / n) AS x FROM weighted JOIN (SELECT item_id, unnest(genres) AS genre, len(genres) AS n FROM item) USING (item_id) GROUP BY 1, 2)",
+    fits="SELECT r.user_id, r.item_id, sum(part) / any_value(n) AS fit FROM rated r JOIN (SELECT item_id, unnest(genres) AS genre, greatest(len(genres), 1) AS n FROM item) g USING (item_id) JOIN profile q ON q.user_id = r.user_id AND q.genre = g.genre GROUP BY 1, 2",
+    longs="SELECT user_id, avg(CAST(num_episodes >= 50 AS INTEGER)) AS long_share, coalesce(avg(score) FILTER (WHERE num_episodes >= 50 AND score > 0) - avg(score) FILTER (WHERE score > 0), 0) AS long_lift, coalesce(avg(CAST(list_entry.status = 'dropped' AS INTEGER)) FILTER (WHERE num_episodes >= 50) - avg(CAST(list_entry.status = 'dropped' AS INTEGER)) FILTER (WHERE num_episodes < 50), 0) AS long_drop FROM list_entry JOIN item USING (item_id) GROUP BY 1"))
 def ranking_inputs(t: Tables) -> DataFrame:
-    return _ranking_rows(t).select("user_id", "item_id", *r6("log_scorers", "log_rank"), "age", "episodes")
+    whole = ("age", "episodes")
+    return _ranking_rows(t).select("user_id", "item_id", *r6(*(c for c in usermodel.RANKING_INPUTS if c not in whole)), *whole)
 
 
 def _ranking_rows(t: Tables) -> DataFrame:
@@ -274,7 +286,7 @@ def boosted_order(t: Tables) -> DataFrame:
     mu = t.rated.groupBy("user_id").agg(F.avg("score").alias("mu"))
     gains = usermodel.rank_labels(t.rated.join(mu, "user_id").join(evaluate.propensity(t.list_entry), "item_id").withColumn("listed", F.lit(True))).select("user_id", "item_id", "gain")
     rows = _ranking_rows(t).join(gains, ["user_id", "item_id"])
-    return usermodel.fit_boosted(rows, trees=5).transform(rows).select("user_id", "item_id", "learned")
+    return usermodel.fit_boosted(rows).transform(rows).select("user_id", "item_id", "learned")
 
 
 # ---- pages ----

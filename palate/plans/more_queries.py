@@ -119,7 +119,7 @@ def overlap_lists(t: Tables) -> DataFrame:
 def build_all(t: Tables) -> DataFrame:
     entries, items = checkpointed(t.list_entry), checkpointed(_items(t))
     i = Inputs(entries, items, t.relation, t.feedback, _franchise(t), AS_OF)
-    return build(i, fit_population(entries, items, rank=16, iterations=3), deployed(), 15, 20)
+    return build(i, fit_population(entries, items), deployed(), 15, 20)
 
 
 def _toplist(t: Tables) -> DataFrame:
@@ -188,10 +188,10 @@ def shared_series(t: Tables) -> DataFrame:
 
 @query("prj11_first_miss", oracle(f"""SELECT user_id, item_id, CASE WHEN EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = p.user_id AND e.item_id = p.item_id) THEN 'listed' WHEN media_type IN ('music','cm','pv') THEN 'format' WHEN coalesce(scorers, 0) < 15 THEN 'too few scores' WHEN start_date > DATE '2002-01-01' THEN 'not aired'
     WHEN EXISTS (SELECT 1 FROM needed c WHERE c.item_id = p.item_id AND NOT EXISTS (SELECT 1 FROM list_entry e WHERE e.user_id = p.user_id AND e.item_id = c.prequel_id AND e.status = 'completed')) THEN 'prequels' END AS miss
-    FROM (SELECT user_id, item_id FROM rec_log UNION SELECT user_id, item_id FROM list_entry WHERE item_id % 5 = 0) p JOIN item USING (item_id) LEFT JOIN item_stats USING (item_id)""", "list_entry", "item", "item_stats", "rec_log", "prequel", closure=_CLOSURE, needed=_NEEDED).replace("WITH ", "WITH RECURSIVE ", 1))
+    FROM (SELECT user_id, item_id FROM rec_log UNION SELECT user_id, item_id FROM list_entry) p JOIN item USING (item_id) LEFT JOIN item_stats USING (item_id)""", "list_entry", "item", "item_stats", "rec_log", "prequel", closure=_CLOSURE, needed=_NEEDED).replace("WITH ", "WITH RECURSIVE ", 1))
 def first_miss(t: Tables) -> DataFrame:
-    """Why titles that a user was shown, and some that are listed, are in no pool: all five rules at work."""
-    pairs = t.rec_log.select("user_id", "item_id").union(t.list_entry.filter("item_id % 5 = 0").select("user_id", "item_id")).distinct()
+    """Why titles that a user was shown, and those that are listed, are in no pool: all five rules at work."""
+    pairs = t.rec_log.select("user_id", "item_id").union(t.list_entry.select("user_id", "item_id")).distinct()
     unmet = graph.unmet_prequels(pairs, graph.prequel_closure(t.prequel), t.item, t.list_entry).select("user_id", "item_id").distinct().withColumn("unmet", F.lit(True))
     rows = pairs.join(t.list_entry.select("user_id", "item_id", F.lit(True).alias("listed")), ["user_id", "item_id"], "left").join(unmet, ["user_id", "item_id"], "left").fillna({"listed": False, "unmet": False}).join(_items(t), "item_id")
     return rows.select("user_id", "item_id", candidates.first_miss(F.col("scorers"), S.format_class("media_type"), F.col("start_date") <= F.lit(AS_OF).cast("date"), F.col("listed"), ~F.col("unmet"), 15).alias("miss"))
