@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpointed
+from ..sources.session import checkpointed, discard, staged_at
 
 # Relation types by kind, in order of priority.
 KINDS = (
@@ -109,37 +109,107 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def story_groups(nodes: DataFrame, relation: DataFrame, hanging: tuple[str, ...], max_rounds: int = 100) -> DataFrame:
+def story_groups(nodes: DataFrame, relation: DataFrame, hanging: tuple[str, ...], max_rounds: int = 1000) -> DataFrame:
     """(item_id, group_id): what chains and retellings join, and what hangs off it; group_id is the smallest member.
 
-    A hanging link only ever joins a group to a larger one (by members, then the smaller id). Rounds over a table of neighbouring
-    groups: those that are smaller than all their neighbours act at once, and since no two of them are neighbours, none waits for
-    another. A group with one neighbour, or a single title, joins its largest neighbour; another one with several stays alone. Either
-    way its other links are given up, so the table shrinks until it is empty.
+    A hanging link only ever joins a group to a larger one (by members, then the smaller id). Groups take turns, the smallest of the
+    start of a pass first. In its turn a group looks at its larger neighbours: it joins the only one; a single title with several
+    joins the largest; another group with several stays alone; either way the links looked at are given up. Passes go on while groups
+    join. ``hung`` gives the outcome of these turns one by one, in rounds that act for all groups that need not wait.
     """
     kinds = pair_kinds(relation)
     joined = connected_components(nodes.select(F.col("item_id").alias("node")), kinds.filter(F.col("kind").isin("chain", "retold")).select("a", "b"))
     of = checkpointed(joined.select(F.col("node").alias("item_id"), F.col("component").alias("group_id")))
     links = kinds.filter(F.col("kind").isin(*hanging)).select("a", "b")
     at = of.select(F.col("item_id").alias("a"), F.col("group_id").alias("ga")), of.select(F.col("item_id").alias("b"), F.col("group_id").alias("gb"))
-    links = checkpointed(links.join(at[0], "a").join(at[1], "b").filter("ga <> gb").select("ga", "gb").distinct())
+    links = links.join(at[0], "a").join(at[1], "b").select("ga", "gb")
+    into = hung(of.groupBy("group_id").agg(F.count("*").alias("n")), links, max_rounds)
+    return of.join(into, "group_id", "left").select("item_id", F.coalesce("into", "group_id").alias("group_id"))
+
+
+def hung(groups: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(group_id, into): the groups with links and what each is in at the end, by the turns that ``story_groups`` describes.
+
+    groups: (group_id, n); links: (ga, gb). ``turn`` is a group's place in a pass: its size and id at the start of the pass. A group's
+    act depends on its links and on the sizes of its neighbours, so it waits for an earlier turn at one or two links' distance, which
+    could give it members or make a neighbour grow. At two links it need not wait where both groups are *settled*: no neighbour has an
+    earlier turn, all neighbours are larger, and it is known whether to join the only one or to stay alone, as sizes only grow. So the
+    many titles that hang off one large group act in one round; titles that hang off several take turns where these groups are shared,
+    which is what the number of rounds grows with. The tables exchanged are the groups with links. They are written and read back: the
+    constraints that a checkpoint keeps for the optimizer would double with each round.
+    """
+    links = _both_ways(links)
+    linked = links.select(F.col("ga").alias("group_id")).distinct()
+    state = groups.join(linked, "group_id", "left_semi").select(F.col("group_id").alias("g"), "n")
+    part = state.select(F.col("g").alias("group_id"), F.col("g").alias("into"))
+    mine, theirs = _place("n", "g"), _place("nb", "gb")
+    turn_of = "struct<n:bigint,id:bigint>"
+    state, joined, paths = state.withColumn("turn", mine.cast(turn_of)), False, {}
+
+    def carried(name: str, df: DataFrame) -> DataFrame:
+        """The table of the next round in the place of the last one's."""
+        out, path = staged_at(df)
+        old.append(paths.get(name))
+        paths[name] = path
+        return out
+
+    old: list[str | None] = []
+    state, part = carried("state", state), carried("part", part)
     for _ in range(max_rounds):
-        if links.isEmpty():
-            return of
-        size = of.groupBy("group_id").agg(F.count("*").alias("n"))
-        both = links.unionByName(links.select(F.col("gb").alias("ga"), F.col("ga").alias("gb"))).distinct()
-        near = both.join(size.select(F.col("group_id").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("group_id").alias("gb"), F.col("n").alias("nb")), "gb")
-        mine, theirs = F.struct("na", (-F.col("ga")).alias("id")), F.struct(F.col("nb").alias("na"), (-F.col("gb")).alias("id"))
-        acting = near.groupBy("ga").agg(F.max(mine).alias("mine"), F.min(theirs).alias("least"), F.max(theirs).alias("most"), F.count("*").alias("near")).filter(F.col("mine") < F.col("least"))
-        acting = checkpointed(acting.select("ga", F.when((F.col("near") == 1) | (F.col("mine.na") == 1), -F.col("most.id")).alias("into")))
-        moved = acting.filter("into is not null")
-        name = moved.groupBy("into").agg(F.min("ga").alias("least")).select("into", F.least("into", "least").alias("now"))
-        renamed = moved.join(name, "into").select("ga", "now").unionByName(name.select(F.col("into").alias("ga"), "now"))
-        of = checkpointed(of.join(renamed.withColumnRenamed("ga", "group_id"), "group_id", "left").select("item_id", F.coalesce("now", "group_id").alias("group_id")))
-        kept = links.join(acting.select("ga"), "ga", "left_anti").join(acting.select(F.col("ga").alias("gb")), "gb", "left_anti")
-        kept = kept.join(renamed.select("ga", F.col("now").alias("na")), "ga", "left").join(renamed.select(F.col("ga").alias("gb"), F.col("now").alias("nb")), "gb", "left")
-        links = checkpointed(kept.select(F.coalesce("na", "ga").alias("ga"), F.coalesce("nb", "gb").alias("gb")).filter("ga <> gb").distinct())
-    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
+        near = links.join(state.select(F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("turn").alias("tb")), "gb")
+        near = near.join(state.withColumnRenamed("g", "ga"), "ga").withColumn("up", theirs > _place("n", "ga"))
+        view = near.groupBy(F.col("ga").alias("g")).agg(
+            F.first("n").alias("n"), F.first("turn").alias("turn"), F.min("tb").alias("next"), F.count("*").alias("near"), F.count_if("up").alias("ups"), F.max(F.when(F.col("up"), theirs)).alias("most"),
+        )
+        settled = (F.col("next").isNull() | (F.col("turn") < F.col("next"))) & (F.col("ups") == F.col("near")) & ((F.col("near") == 1) | (F.col("n") > 1))
+        view = checkpointed(view.withColumn("settled", F.coalesce(settled, F.lit(False))).withColumn("open", F.when(~F.col("settled"), F.col("turn"))))
+        if view.isEmpty():
+            break
+        # the earliest turn, and the earliest of an unsettled group, within one link and then within two
+        at = view.select(F.col("g").alias("gb"), F.col("turn").alias("tb"), F.col("open").alias("ob"))
+        one = links.join(at, "gb").groupBy("ga").agg(F.min("tb").alias("t1"), F.min("ob").alias("o1"))
+        own = view.select(F.col("g").alias("ga"), F.col("turn"), F.col("open")).join(one, "ga").select(F.col("ga").alias("gb"), F.least("turn", "t1").alias("t1"), F.least("open", "o1").alias("o1"))
+        two = links.join(own, "gb").groupBy(F.col("ga").alias("g")).agg(F.min("t1").alias("first"), F.min("o1").alias("first_open"))
+        free = (F.col("turn") == F.col("first")) | (F.col("settled") & (F.col("first_open").isNull() | (F.col("turn") < F.col("first_open"))))
+        acting = view.join(two, "g").filter(F.col("turn").isNotNull() & free)
+        acting = checkpointed(acting.select("g", F.when((F.col("ups") == 1) | ((F.col("n") == 1) & (F.col("ups") > 0)), -F.col("most.id")).alias("to")))
+        if acting.isEmpty():
+            if not joined:
+                break
+            # the next pass: every group has a turn again
+            state, joined = state.withColumn("turn", mine.cast(turn_of)), False
+            continue
+        # what acted has had its turn and gives up its links to larger groups
+        acted = acting.select(F.col("g").alias("ga"), F.lit(True).alias("acted"))
+        low = near.filter("up").join(acted, "ga", "left_semi").select("ga", "gb")
+        links = links.join(low, ["ga", "gb"], "left_anti").join(low.select(F.col("gb").alias("ga"), F.col("ga").alias("gb")), ["ga", "gb"], "left_anti")
+        moved = acting.filter("to is not null")
+        state = state.join(acting.select("g", F.lit(True).alias("acted")), "g", "left").withColumn("turn", F.when(F.col("acted").isNull(), F.col("turn"))).drop("acted")
+        if not moved.isEmpty():
+            joined = True
+            sizes = moved.join(state.select("g", "n"), "g").groupBy("to").agg(F.min("g").alias("least"), F.sum("n").alias("more"))
+            name = checkpointed(sizes.select("to", F.least("to", "least").alias("now"), "more"))
+            renamed = moved.join(name.select("to", "now"), "to").select("g", "now").unionByName(name.select(F.col("to").alias("g"), "now"))
+            grown = state.join(moved.select("g"), "g", "left_anti").join(name.withColumnRenamed("to", "g"), "g", "left")
+            state = grown.select(F.coalesce("now", "g").alias("g"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "turn")
+            part = carried("part", part.join(renamed.withColumnRenamed("g", "into"), "into", "left").select("group_id", F.coalesce("now", "into").alias("into")))
+            to = renamed.withColumnRenamed("g", "ga").withColumnRenamed("now", "na"), renamed.withColumnRenamed("g", "gb").withColumnRenamed("now", "nb")
+            links = links.join(to[0], "ga", "left").join(to[1], "gb", "left").select(F.coalesce("na", "ga").alias("ga"), F.coalesce("nb", "gb").alias("gb")).filter("ga <> gb").distinct()
+        state, links = carried("state", state), carried("links", links)
+        while old:
+            discard(old.pop() or "")
+    else:
+        raise RuntimeError(f"groups not settled after {max_rounds} rounds")
+    return part
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return checkpointed(links.unionByName(links.select(F.col("gb").alias("ga"), F.col("ga").alias("gb"))).filter("ga <> gb").distinct())
+
+
+def _place(n: str, g: str):
+    """Larger groups, then smaller ids, come last."""
+    return F.struct(F.col(n).cast("long").alias("n"), (-F.col(g)).cast("long").alias("id"))
 
 
 def series_and_franchise(nodes: DataFrame, relation: DataFrame) -> DataFrame:
