@@ -218,6 +218,16 @@ def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return 0.5 * np.where(flip, 1 - beta, beta)
 
 
+def two_sided_p(z: str, n: str) -> Column:
+    """Two-sided p of a mean of n values, z standard errors off, on Student's t; 1 for a single value."""
+
+    @F.pandas_udf("double")
+    def p(z: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(np.where(n > 1, np.minimum(1.0, 2 * student_tail(z.abs().to_numpy(float), np.maximum(n.to_numpy(float) - 1, 1))), 1.0))
+
+    return p(z, n)
+
+
 def group_evidence(values: DataFrame, mu: DataFrame, least: int = 4, z_least: float = 2.0, floor: float = 0.5, fdr: float = 0.1) -> DataFrame:
     """(user_id, kind, name, series, mean, lift, z, p, clear): groups of series against the user's mean, corrected together per user and kind.
 
@@ -226,12 +236,7 @@ def group_evidence(values: DataFrame, mu: DataFrame, least: int = 4, z_least: fl
     by = values.groupBy("user_id", "series_id", "kind", "name").agg(F.avg("score").alias("score"))
     g = by.groupBy("user_id", "kind", "name").agg(F.count("*").alias("series"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd")).filter(F.col("series") >= least).join(mu.select("user_id", "mu"), "user_id")
     g = g.withColumn("lift", F.col("mean") - F.col("mu")).withColumn("z", F.col("lift") / (F.greatest(F.col("sd"), F.lit(floor)) / F.sqrt("series")))
-
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(np.where(n > 1, np.minimum(1.0, 2 * student_tail(z.abs().to_numpy(float), np.maximum(n.to_numpy(float) - 1, 1))), 1.0))
-
-    g = benjamini_hochberg(g.withColumn("p", two_sided("z", "series")).withColumn("family", F.concat_ws("|", F.col("user_id").cast("string"), "kind")), fdr)
+    g = benjamini_hochberg(g.withColumn("p", two_sided_p("z", "series")).withColumn("family", F.concat_ws("|", F.col("user_id").cast("string"), "kind")), fdr)
     return g.select("user_id", "kind", "name", "series", "mean", "lift", "z", "p", (F.col("keep") & (F.abs("z") >= z_least)).alias("clear"))
 
 
