@@ -12,7 +12,7 @@ from ..functions import scalars as S
 
 NODE = "id long, title string, alternative_titles struct<en: string, synonyms: array<string>>, media_type string, status string, start_date string, end_date string, num_episodes int, mean double, popularity int, num_list_users long, num_scoring_users long, nsfw string, genres array<struct<id: int, name: string>>, studios array<struct<id: int, name: string>>, start_season struct<year: int, season: string>, related_anime array<struct<node: struct<id: long, title: string>, relation_type: string>>, recommendations array<struct<node: struct<id: long, title: string>, num_recommendations: int>>, statistics struct<status: map<string, string>, num_list_users: long>"
 MEDIA = "id long, idMal long, averageScore int, favourites int, tags array<struct<name: string, rank: int, isAdult: boolean>>, staff struct<edges: array<struct<role: string, node: struct<id: long>>>>, stats struct<scoreDistribution: array<struct<score: int, amount: long>>, statusDistribution: array<struct<status: string, amount: long>>>"
-LIST_ROW = f"user_id long, data array<struct<node: struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in ('id long', 'title string'))}>, list_status: struct<status: string, score: int, num_episodes_watched: int, finish_date: string, updated_at: timestamp>>>"
+LIST_ROW = f"user_id long, page int, error string, paging struct<next: string>, data array<struct<node: struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in ('id long', 'title string'))}>, list_status: struct<status: string, score: int, num_episodes_watched: int, finish_date: string, updated_at: timestamp>>>"
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +36,17 @@ def item_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
+def whole_lists(pages: DataFrame) -> DataFrame:
+    """The pages of those users whose lists came whole: pages 0, 1, ... without a gap, none with an error, and only the last without a next
+    one. A user who lacks a page keeps what is stored, so part of a list never passes for a shorter list. Of a page that was fetched
+    twice any one is taken."""
+    one = pages.dropDuplicates(["user_id", "page"])
+    last = F.coalesce("paging.next", F.lit("")) == ""
+    seen = one.groupBy("user_id").agg(F.count("page").alias("n"), F.count("*").alias("of"), F.max("page").alias("top"), F.min("page").alias("low"), F.count_if(last).alias("ends"), F.max(F.when(last, F.col("page"))).alias("end"), F.count("error").alias("errors"))
+    whole = seen.filter("errors = 0 and n = of and low = 0 and top = n - 1 and ends = 1 and end = top").select("user_id")
+    return one.join(whole, "user_id", "left_semi")
+
+
 def list_rows(lists: DataFrame) -> DataFrame:
     """(user_id, item_id, status, score, episodes, finished_at, rated_at)"""
     e = lists.select("user_id", F.explode("data").alias("e"))

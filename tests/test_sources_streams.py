@@ -73,3 +73,15 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in drain.newest_update(out, "user_id", "kind", "day").select("user_id", "day", "n").collect())
     want = logs.daily_usage(spark.createDataFrame(rows, schema)).groupBy("user_id", "day").agg(F.sum("n"))
     assert got == sorted(tuple(r) for r in want.collect())
+
+
+def test_lists_come_whole_or_not_at_all(spark, tmp_path):
+    entry = lambda k: {"node": {"id": k, "title": "t"}, "list_status": {"status": "completed", "score": k % 10, "num_episodes_watched": 1, "finish_date": "2013-04", "updated_at": "2014-01-01T00:00:00"}}
+    page = lambda user, n, more, **other: {"user_id": user, "page": n, "data": [entry(10 * n + 1)], "paging": {"next": "more"} if more else {}, **other}
+    pages = [page(1, 0, True), page(1, 1, False), page(1, 1, False), page(2, 0, True), page(2, 1, False, error="504"), page(3, 0, True), page(3, 2, False), page(4, 0, True), page(5, 0, False), page(6, 1, False)]
+    (tmp_path / "l.json").write_text("\n".join(map(json.dumps, pages)))
+    lists = payloads.read_lists(spark, str(tmp_path / "l.json"))
+    rows = payloads.list_rows(payloads.whole_lists(lists)).collect()
+    assert sorted((r.user_id, r.item_id, r.score) for r in rows) == [(1, 1, 1), (1, 11, 1), (5, 1, 1)]
+    assert {str(r.rated_at) for r in rows} == {"2013-04-01 00:00:00"}
+    assert payloads.whole_lists(lists.limit(0)).collect() == []
