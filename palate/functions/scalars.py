@@ -152,6 +152,16 @@ def merged_maps(old: Column | str, new: Column | str) -> Column:
     return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(kept, new))
 
 
+def drop_column(rate: Column | str) -> Column:
+    """A drop rate as a feature: its logarithm, centred and scaled by fixed values; 0 where unknown."""
+    return F.coalesce((F.log10(col(rate) + 0.01) + 1.27) / 0.4, F.lit(0.0))
+
+
+def polar_column(sd: Column | str) -> Column:
+    """The spread of a title's scores as a feature, centred and scaled by fixed values; 0 where unknown."""
+    return F.coalesce((col(sd) - 1.78) / 0.3, F.lit(0.0))
+
+
 def spread_of_counts(dist: Column | str, least: int = 50) -> Column:
     """Population standard deviation of a map value -> count; null under ``least`` in all."""
     e = F.map_entries(col(dist))

@@ -91,9 +91,42 @@ def age_mix(scored: DataFrame, items: DataFrame, year: int, least: int = 10) ->
     return at.groupBy("user_id").agg(F.when((F.count("*") >= least) & (total > 0), F.array(*(F.coalesce(F.sum(F.when(F.col("b") == k, F.col("w"))), F.lit(0.0)) / total for k in range(5)))).alias("mix"))
 
 
-def age_aim(mix: Column, fresh: Column, weight: float = 0.5) -> Column:
-    """The mix to aim at: between the lasting and the recent one."""
-    return F.zip_with(mix, fresh, lambda a, b: (1 - weight) * a + weight * b)
+def watched_age_mix(entries: DataFrame, items: DataFrame, years: DataFrame | None = None, least: int = 10) -> DataFrame:
+    """(user_id, mix): shares of the five buckets of how old titles were when the user watched them, each started title counted once.
+
+    A habit over the whole list, so neither scores nor recency count. Planned and undated entries are left out; with fewer than ``least``
+    of the others the mix is null. years: (item_id, season_year) of a stored shortlist, for titles that ``items`` does not date.
+    """
+    dated = items.select("item_id", "season_year")
+    if years is not None:
+        dated = dated.join(years.select("item_id", F.col("season_year").alias("__y")).dropDuplicates(["item_id"]), "item_id", "full").select("item_id", F.coalesce("season_year", "__y").alias("season_year"))
+    started = entries.filter("status <> 'plan_to_watch' and rated_at is not null").select("user_id", "item_id", F.year("rated_at").alias("__at"))
+    b = S.age_bucket(F.col("__at") - F.col("season_year"))
+    at = started.join(dated.filter("season_year is not null"), "item_id").select("user_id", b.alias("b"))
+    shares = F.array(*(F.count_if(F.col("b") == k) / F.count("*") for k in range(5)))
+    return at.groupBy("user_id").agg(F.when(F.count("*") >= least, shares).alias("mix"))
+
+
+def age_aim(mix: Column | str, fresh_weight: float) -> Column:
+    """The mix that a list is held to: the user's, its share of titles under two years scaled by ``fresh_weight``. A mix of nothing else
+    at weight 0 stays as it is."""
+    mix = S.col(mix)
+    scaled = F.transform(mix, lambda x, k: F.when(k == 0, x * fresh_weight).otherwise(x))
+    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(scaled, lambda x: x / total)).otherwise(mix)
+
+
+def staff_affinity(pairs: DataFrame, dev: DataFrame, staff: DataFrame, shrink: float = 2.0) -> DataFrame:
+    """(user_id, item_id, signal, n) of the asked pairs only: the weighted mean deviation of the user's other rated titles that share a
+    person with the title, each counted once however many people they share.
+
+    Both sides are joined on (user, person), so nothing grows with the square of a person's titles.
+    """
+    people = staff.select("item_id", "staff_id").distinct()
+    asked = pairs.select("user_id", "item_id").distinct().join(people, "item_id")
+    mine = dev.select("user_id", F.col("item_id").alias("__rated"), "d", "w").join(people.withColumnRenamed("item_id", "__rated"), "__rated")
+    met = asked.join(mine, ["user_id", "staff_id"]).filter("item_id <> __rated").select("user_id", "item_id", "__rated", "d", "w").distinct()
+    return met.groupBy("user_id", "item_id").agg((F.sum(F.col("d") * F.col("w")) / (F.sum("w") + shrink)).alias("signal"), F.count("*").alias("n"))
 
 
 def staff_signal(dev: DataFrame, staff: DataFrame, candidates: DataFrame | None = None, shrink: float = 2.0) -> DataFrame:

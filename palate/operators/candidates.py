@@ -257,6 +257,13 @@ def derived_titles(relation: DataFrame) -> DataFrame:
     return relation.filter(F.col("relation_type").isin("parent_story", "full_story")).select(F.col("src").alias("item_id")).distinct()
 
 
+def left_to(pairs: DataFrame, saved: DataFrame, surface: str) -> DataFrame:
+    """Pairs (user_id, item_id, ...) without what a saved list (user_id, surface, item_id) shows the same user: the list keeps these
+    titles to itself. What it does not show stays."""
+    shown = saved.filter(F.col("surface") == surface).select("user_id", "item_id")
+    return pairs.join(shown, ["user_id", "item_id"], "left_anti")
+
+
 def surface_pool(offered: DataFrame, derived: DataFrame, gems: DataFrame | None = None) -> DataFrame:
     """The main titles that a discovery list draws on: none derived from another; for hidden gems, only gems."""
     out = offered.filter("format_class = 'main'").join(derived, "item_id", "left_anti")

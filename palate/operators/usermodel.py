@@ -38,6 +38,47 @@ def user_features(pairs: DataFrame, affinity: DataFrame, franchise: DataFrame, c
     return out.fillna({"aff": 0.0, "franchise_best": 0.0, "tag_cosine": 0.0, "franchise_known": False})
 
 
+def user_rows(pairs: DataFrame, items: DataFrame, cosine: DataFrame | None = None, staff: DataFrame | None = None) -> DataFrame:
+    """The catalogue's rows of the asked (user_id, item_id), with what they say to the user: tag_cosine and staff_aff, 0 where unknown or
+    not asked for. Titles that the catalogue lacks have no row."""
+    keys = ["user_id", "item_id"]
+    out = pairs.select(*keys).distinct().join(items, "item_id")
+    for df, source, name in ((cosine, "cosine", "tag_cosine"), (staff, "signal", "staff_aff")):
+        out = out.withColumn(name, F.lit(0.0)) if df is None else out.join(df.select(*keys, F.col(source).alias(name)), keys, "left").fillna({name: 0.0})
+    return out
+
+
+def extra_columns(s: Settings) -> tuple[str, ...]:
+    """Names of the optional feature columns that the settings switch on."""
+    return (("drop_c", "polar_c") if s.content_audience else ()) + (("staff_aff",) if s.content_staff else ()) + (("age_y",) if s.level_trend else ())
+
+
+def audience_extras(items: DataFrame, s: Settings) -> DataFrame:
+    """(item_id, feature, value) of the optional columns of a title: how often it is dropped, as a logarithm, and how divided its
+    audience is; 0 where unknown. items: item_id, drop_rate, score_sd. Empty where the settings leave them out."""
+    known = {"drop_c": S.drop_column("drop_rate"), "polar_c": S.polar_column("score_sd")}
+    on = [n for n in extra_columns(s) if n in known]
+    if not on:
+        return items.select("item_id", F.lit("").alias("feature"), F.lit(0.0).alias("value")).limit(0)
+    pairs = F.array(*(F.struct(F.lit("x:" + n).alias("feature"), known[n].alias("value")) for n in on))
+    return items.select("item_id", F.explode(pairs).alias("p")).select("item_id", "p.feature", "p.value")
+
+
+#: Lists that can have a learned order, and the setting that gives its weight.
+LEARNED_ORDER = {"safe_bets": "order_ranker_weight", "discover": "discover_ranker_weight", "hidden_gems": "gems_ranker_weight"}
+
+
+def enabled_surfaces(s: Settings) -> tuple[str, ...]:
+    """The lists whose learned order is switched on."""
+    return tuple(n for n, weight in LEARNED_ORDER.items() if getattr(s, weight) > 0)
+
+
+def surface_key(surface: str, s: Settings) -> dict[str, float]:
+    """How the key of a list is formed, for ``order_key``: only safe bets lean on what is well known, and may take another part of the risk."""
+    safe = surface == "safe_bets"
+    return {"popularity_prior": s.popularity_prior if safe else 0.0, "risk_scale": s.safe_bets_risk if safe else 1.0}
+
+
 def acclaim_lift(pairs: DataFrame, models: DataFrame, features: DataFrame, rated: DataFrame) -> DataFrame:
     """(user_id, item_id, acclaim): the part of a personal prediction above the user's average rated title that comes from consensus."""
     said = models.filter(F.col("feature").isin(*CONSENSUS))

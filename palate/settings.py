@@ -32,6 +32,7 @@ class Settings:
     acclaim_penalty: float = 0.6
     acclaim_evidence: float = 0.1
     popularity_prior: float = 0.5
+    safe_bets_risk: float = 1.0
     memory_mix: float = 0.0
     memory_cap: float = 0.15
     order_ranker_weight: float = 0.0
@@ -40,6 +41,9 @@ class Settings:
     blend_share_max: float = 0.5
     blend_size_middle: float = 150.0
     ranking_share_middle: float = 80.0
+    content_audience: bool = False
+    content_staff: bool = False
+    level_trend: str = ""
 
 
 def deployed() -> Settings:
