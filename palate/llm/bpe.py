@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import weakref
 from array import array
 from collections.abc import Iterator
 from itertools import pairwise
@@ -30,9 +31,9 @@ from .common import fresh, ship_package, slices
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of pieces and number of token pairs that a task remembers before it starts afresh, and the longest piece remembered:
-#: some 60 MB in all. Memory only, results do not depend on them.
-PIECE_CHARS, PAIRS, LONGEST_KEPT = 600_000, 250_000, 200
+#: Bytes of pieces with their ids and number of token pairs that a worker remembers, and the longest piece remembered: some 50 MB in
+#: all. ``SLICE``: bytes of text encoded at a time. Memory only, results do not depend on them.
+PIECE_BYTES, PAIRS, LONGEST_KEPT, SLICE = 28 << 20, 250_000, 200, 1 << 20
 
 _NEVER = 1 << 60
 
@@ -56,26 +57,44 @@ def _refuse_unknown(spec: dict) -> None:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as int32 bytes."""
+    """Piece -> its ids as int32 bytes. When half of ``PIECE_BYTES`` is full, it becomes ``older``, and what was there is forgotten;
+    pieces still in use are taken back from it, so rare ones do not drive out frequent ones."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.chars = encode, 0
-
-    def clear(self) -> None:
-        super().clear()
-        self.chars = 0
+        self.encode, self.older, self.held = encode, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.encode(piece.encode()).tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if self.chars >= PIECE_CHARS:
-                self.clear()
-            self[piece] = out
-            self.chars += len(piece)
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = self.encode(piece)
+            if len(piece) > LONGEST_KEPT:
+                return out
+        size = piece.__sizeof__() + len(out) + 65  # of both objects and the place in the table
+        if self.held + size > PIECE_BYTES // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[piece] = out
+        self.held += size
         return out
 
 
+class _Before(dict):
+    """Token -> whether it may stand before the one token that this table is of. -1, no token, may not."""
+
+    __slots__ = ("tokenizer", "token")
+
+    def __init__(self, tokenizer: BpeTokenizer, token: int):
+        super().__init__()
+        self.tokenizer, self.token = weakref.proxy(tokenizer), token  # the automaton holds this table, and no collector sees into it
+
+    def __missing__(self, before: int) -> bool:
+        fits = before >= 0 and self.tokenizer.compatible(before, self.token)
+        self.tokenizer.remember_pair()
+        self[before] = fits
+        return fits
+
+
 class BpeTokenizer:
     """A byte-level BPE vocabulary read from the JSON of a ``tokenizers`` file."""
 
@@ -98,12 +117,13 @@ class BpeTokenizer:
             if self.parts[c] is not None or max(self.made[a], self.made[b]) >= k:
                 raise ValueError("merges must make each token once, from tokens made before")
             self.rank[a, b], self.made[c], self.parts[c] = k, k, (a, b)
-        self.pair_ok: dict[int, bool] = {}
+        self.n_pairs, self.befores = 0, []
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if self._encodes_to_itself(i):
-                key = self.bytes_of[i].decode("latin-1")
-                self.automaton.add_word(key, (len(key) - 1, i))
+                key, before = self.bytes_of[i].decode("latin-1"), _Before(self, i)
+                self.befores.append(before)
+                self.automaton.add_word(key, (len(key) - 1, i, before.__getitem__))
         self.automaton.make_automaton()
         self.size_of = [len(b) for b in self.bytes_of]
         self.find = regex.compile(SPLIT).findall
@@ -140,26 +160,25 @@ class BpeTokenizer:
         return len(self.bytes_of[token]) == 1 if pair is None else self._first_merge(*pair) == pair
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.pair_ok.get(key)
-        if found is None:
-            if len(self.pair_ok) >= PAIRS:
-                self.pair_ok.clear()
-            found = self.pair_ok[key] = self._first_merge(a, b) is None
-        return found
-
-    def _encode_piece(self, piece: bytes) -> array:
+        return self._first_merge(a, b) is None
+
+    def remember_pair(self) -> None:
+        """Count a pair; past ``PAIRS`` all are forgotten."""
+        if self.n_pairs >= PAIRS:
+            self.n_pairs = 0
+            for before in self.befores:
+                before.clear()
+        self.n_pairs += 1
+
+    def _encode_piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
         last = [-1] * len(piece)  # the last token of each prefix
-        known, done = self.pair_ok.get, -1
-        for end, (n, token) in self.automaton.iter(piece.decode("latin-1")):
+        done = -1
+        for end, (n, token, may_follow) in self.automaton.iter(piece):
             if done == end:
                 continue
-            if end == n:  # the token starts the piece; n is its length less one
-                last[end], done = token, end
-                continue
-            before = last[end - n - 1]
-            fits = known(before << 32 | token)
-            if fits or fits is None and before >= 0 and self.compatible(before, token):
+            if end == n or may_follow(last[end - n - 1]):  # the token starts the piece (n is its length less one), or fits what is before
                 last[end], done = token, end
         ids, end, size = [], len(piece) - 1, self.size_of
         while end >= 0:
@@ -169,7 +188,7 @@ class BpeTokenizer:
             ids.append(token)
             end -= size[token]
         ids.reverse()
-        return array("i", ids)
+        return array("i", ids).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as int32 bytes."""
@@ -213,26 +232,22 @@ def _decoded(tokenizer: BpeTokenizer, lists: pa.Array) -> pa.Array:
 
 
 def _with(df: DataFrame, tokenizer_json: str, kind: str, work):
-    """An Arrow UDF of ``work(tokenizer, batch)``. The vocabulary travels once; what a task remembered is dropped at its end."""
+    """An Arrow UDF of ``work(tokenizer, batch)``. The vocabulary travels once; what a worker remembers serves its next tasks, too."""
     ship_package(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: a few MB
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _tokenizer(spec.value)
-        try:
-            for batch in batches:
-                yield from work(tokenizer, batch)
-        finally:
-            tokenizer.pieces.clear()
-            tokenizer.pair_ok.clear()
+        for batch in batches:
+            yield from work(tokenizer, batch)
 
     return run
 
 
 def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the ids of each whole text. ``tokenizer_json``: the file's content."""
-    ids = _with(df, tokenizer_json, "array<int>", lambda tokenizer, texts: (_id_lists(tokenizer, part) for part in slices(texts)))
+    ids = _with(df, tokenizer_json, "array<int>", lambda tokenizer, texts: (_id_lists(tokenizer, part) for part in slices(texts, SLICE)))
     return df.withColumn(ids_col, ids(F.col(text_col)))
 
 
@@ -246,7 +261,7 @@ def encode_and_decode(df: DataFrame, tokenizer_json: str, text_col: str = "text"
     """Add the ids of each whole text and what they decode to, in one pass of one worker."""
 
     def both(tokenizer: BpeTokenizer, texts: pa.Array) -> Iterator[pa.Array]:
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             ids = _id_lists(tokenizer, part)
             yield pa.StructArray.from_arrays([ids, _decoded(tokenizer, ids)], ["ids", "decoded"])
 

@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """An Arrow batch of texts cut by bytes: batches are cut by Spark (``spark.sql.execution.arrow.maxBytesPerBatch``), but Python
     strings take several times their bytes."""
     if not len(texts):
@@ -39,7 +39,7 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
     at = 0
     while at < len(texts):
         before = int(ends[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
         yield texts.slice(at, stop - at)
         at = stop
 

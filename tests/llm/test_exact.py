@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -55,6 +57,22 @@ def test_encode_and_decode_frames(spark, library):
     assert bpe.encode(df.limit(0), spec).count() == 0
 
 
+def test_pieces_in_use_stay_known(library):
+    """Ever new pieces neither drive out those in use nor fill the memory; the ids stay the same."""
+    mine = bpe.BpeTokenizer(Path(PATH).read_text())
+    worked_out, encode = Counter(), mine.pieces.encode
+    mine.pieces.encode = lambda piece: worked_out.update([piece]) or encode(piece)
+    rng = np.random.default_rng(11)
+    for k in range(60):
+        text = " the of".join(" " + "".join(letters) for letters in rng.choice(list("abcdefghij"), (4000, 9)).tolist())
+        ids = mine.encode(text)
+        if k % 20 == 19:
+            assert ids == library.encode(text, add_special_tokens=False).ids
+    assert sum(worked_out.values()) > 230_000 and worked_out[" the"] == worked_out[" of"] == 1
+    held = [sum(sys.getsizeof(p) + sys.getsizeof(i) for p, i in part.items()) for part in (mine.pieces, mine.pieces.older)]
+    assert max(held) <= bpe.PIECE_BYTES // 2 and min(held) > 0
+
+
 def test_op1_query(spark, sf, library):
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op1_bpe(spark, sf).collect():
