@@ -82,14 +82,16 @@ def fit_rates(rows: DataFrame, targets: list[float], floor: float = 0.0, growth:
     k = len(targets)
     table = staged(rows.select(F.col("n_words").cast("double").alias("n_words"), "posterior"))
     cell = lambda i: F.col("posterior")[i]
+    upper = np.triu_indices(k)
 
     def totals(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """What each domain gets, and the tokens of each two domains in documents whose rate may still fall or is above the floor."""
         at = table.withColumn("r", _rate(taken, floor))
         free = F.when(F.col("r") > floor, F.col("n_words")).otherwise(0.0) if taken else F.col("n_words")
-        got = at.agg(*(F.sum(F.col("r") * F.col("n_words") * cell(i)) for i in range(k)), *(F.sum(free * cell(i) * cell(j)) for i in range(k) for j in range(k))).first()
-        numbers = np.array([x or 0.0 for x in got])
-        return numbers[:k], numbers[k:].reshape(k, k)
+        got = at.agg(*(F.sum(F.col("r") * F.col("n_words") * cell(i)) for i in range(k)), *(F.sum(free * cell(i) * cell(j)) for i, j in zip(*(x.tolist() for x in upper), strict=True))).first()
+        numbers, both = np.array([x or 0.0 for x in got]), np.zeros((k, k))
+        both[upper] = both.T[upper] = numbers[k:]
+        return numbers[:k], both
 
     now, shared = totals([])
     if now.sum() <= 0:

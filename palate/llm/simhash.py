@@ -330,8 +330,16 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, n: in
     return _ordered(dealt.select("bucket", "fp", "node").sortWithinPartitions("bucket", "fp", "node").mapInArrow(_bucket_edges(radius), "a long, b long"))
 
 
+#: Edges that a task reads at least in the rounds of ``components``, where there are more tasks than cores.
+A_TASK = 50_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, component): the smallest node that each node of the edges (a, b) reaches, by large-star and small-star rounds."""
+    """(v, component): the smallest node that each node of the edges (a, b) reaches, by large-star and small-star rounds.
+
+    Tables of a round have as many partitions as a shuffle has, however few edges are left. They are read in tasks by their edges, for
+    the driver keeps notes of every task."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
@@ -339,10 +347,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(size) == before or not size[0]:
             break
         before = tuple(size)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = max(cores, size[0] // A_TASK)
+        both = now.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         # a checkpointed side gets an exchange of its own, so that a join on a hub is split
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))).coalesce(tasks)
+        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()).coalesce(tasks)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = checkpointed(small.filter("u <> v").distinct())

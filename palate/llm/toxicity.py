@@ -29,6 +29,8 @@ from .common import checkpointed, discard, ship_package, slices, staged_at
 #: Hash buckets (a power of two), labelled documents that teach at most, inputs of the machine at most, factors.
 BUCKETS, MAX_TRAIN, MAX_TERMS, FACTORS = 1 << 18, 20_000, 4_096, 6
 STEPS, RATE, DECAY, SEED = 150, 0.1, 2e-3, 11
+#: Entries (a text's input each) whose weights and factors are gathered at a time as the machine is fitted: some 4 MB.
+GATHERED = 1 << 16
 #: Least documents of a term, least association with the label (G-squared) and least change of the odds for it to become an input.
 MIN_DOCS, MIN_GAIN, MIN_ODDS = 2, 8.0, 2.0
 #: Terms (the most frequent ones and the telling ones) whose pairs are looked at and taught rows to look at them in, least documents
@@ -109,12 +111,12 @@ def _term_column(text_col: str):
 
 
 def _placed(terms_col: str, place: np.ndarray):
-    """The inputs among the buckets of each row."""
+    """The inputs among the buckets of each row; there are fewer than 32,768."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<smallint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield _lists([(x := place[row.values.to_numpy()])[x >= 0] for row in lists])
+            yield _lists([(x := place[row.values.to_numpy()])[x >= 0] for row in lists]).cast(pa.list_(pa.int16()))
 
     return of(F.col(terms_col))
 
@@ -135,19 +137,33 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def _run_sums(table: np.ndarray, of: np.ndarray, starts: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    """Put into the rows ``at`` of ``out`` the sums of ``table[of]`` over the runs that begin at ``starts`` (ascending, none empty).
+    Whole runs are gathered, ``GATHERED`` entries at a time or one longer run."""
+    ends = np.append(starts[1:], len(of))
+    k = 0
+    while k < len(starts):
+        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + GATHERED, "right")))
+        out[at[k:stop]] = np.add.reduceat(np.take(table, of[starts[k] : ends[stop - 1]], axis=0), starts[k:stop] - starts[k], axis=0)
+        k = stop
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, linear weights and factors by full-batch Adam on the logistic loss.
 
     Weights and factors are one table, a row a term. What a text sums over its terms and a term over its texts are sums over runs of
-    neighbouring entries; the part of a factor's gradient that is its own share of the text's sum leaves the inner sum.
+    neighbouring entries, gathered in parts; the part of a factor's gradient that is its own share of the text's sum leaves the inner sum.
     """
     rng, n = np.random.default_rng(SEED), len(rows)
     sizes = np.array([len(r) for r in rows])
-    cols = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+    cols = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
     held, row_at = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
     by_term = np.argsort(cols, kind="stable")
-    terms, term_at = np.unique(cols[by_term], return_index=True)
-    text_of = np.repeat(np.arange(n), sizes)[by_term]
+    docs_of = np.bincount(cols, minlength=n_terms)
+    terms = np.flatnonzero(docs_of)
+    term_at = (np.cumsum(docs_of) - docs_of)[terms]
+    text_of = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
+    del by_term
     bias = np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])
     table = np.concatenate([np.zeros((n_terms, 1)), rng.normal(0, 0.01, (n_terms, FACTORS))], 1)  # linear weight, factors
     params = [bias, table]
@@ -155,14 +171,14 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> tuple[fl
     sums, squares = np.zeros((n, 1 + FACTORS)), np.zeros(n)
     for step in range(1, STEPS + 1):
         if len(cols):
-            sums[held] = np.add.reduceat(np.take(table, cols, axis=0), row_at, axis=0)
-            squares[held] = np.add.reduceat(np.take((table[:, 1:] ** 2).sum(1), cols), row_at)
+            _run_sums(table, cols, row_at, sums, held)
+            _run_sums((table[:, 1:] ** 2).sum(1), cols, row_at, squares, held)
         z = bias[0] + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
         grad = np.zeros_like(table)
         if len(cols):
             weighed = error[:, None] * np.concatenate([np.ones((n, 1)), sums[:, 1:]], 1)
-            grad[terms] = np.add.reduceat(np.take(weighed, text_of, axis=0), term_at, axis=0)
+            _run_sums(weighed, text_of, term_at, grad, terms)
             grad[:, 1:] -= table[:, 1:] * grad[:, :1]
         grad += DECAY / n_terms * table
         for k, (p, g) in enumerate(zip(params, (np.array([error.sum()]), grad), strict=True)):
@@ -236,7 +252,7 @@ def _learned(taught: DataFrame, max_terms: int) -> FactorizationMachine:
     got = taught.select("y", _placed("t", place).alias("x")).toArrow()  # max_train rows of pool terms
     y = got.column("y").to_numpy().astype(float)
     sizes = np.concatenate([x.value_lengths().to_numpy() for x in got.column("x").chunks])
-    cols = np.concatenate([x.flatten().to_numpy() for x in got.column("x").chunks]).astype(np.int16)  # the pool is smaller than that
+    cols = np.concatenate([x.flatten().to_numpy() for x in got.column("x").chunks])
     del got
     ends = np.cumsum(sizes)[:-1]
 
