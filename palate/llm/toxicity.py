@@ -275,9 +275,9 @@ def _learned(taught: DataFrame, max_terms: int) -> FactorizationMachine:
     some = np.sort(np.concatenate([rare, rest[:: max(1, len(rest) // (PAIR_ROWS - len(rare)))][: PAIR_ROWS - len(rare)]]))
     at = np.full(len(pool) + 1, -1, np.int16)
     at[looked] = np.arange(len(looked))
-    row_of = np.full(len(y), -1, np.int32)
+    row_of = np.full(len(y), -1, np.int16)  # of PAIR_ROWS
     row_of[some] = np.arange(len(some))
-    of = row_of[np.repeat(np.arange(len(y)), sizes)]
+    of = np.repeat(row_of, sizes)
     seen = (at[cols] >= 0) & (of >= 0)
     paired = looked[telling_pairs(of[seen], at[cols[seen]], y[some], scores[some], len(looked))] if len(looked) else looked
     paired = paired[paired >= len(terms)][:MAX_PAIRED].tolist()
