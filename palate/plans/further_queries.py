@@ -10,6 +10,7 @@ from ..operators import affinity, candidates, evaluate, graph, logs, population,
 from ..settings import Settings, deployed
 from ..sources import merge, payloads, snapshots
 from ..sources.projection import AS_OF, Tables
+from ..sources.session import staged
 from .more_queries import _TERMS, _TOP, _items, _terms, _toplist
 from .oracle import oracle
 from .queries import _EVAL, _FRANCHISE, _HASH, _MAIN, MIN_SCORERS, _dev, _franchise, _pairs, query, r6
@@ -182,8 +183,9 @@ def outgrown(t: Tables) -> DataFrame:
     taste="SELECT w.user_id, v.pos, sum((w.score - m.mu) * w.w * v.x) AS x FROM weighted w JOIN user_mean m USING (user_id) JOIN cells v USING (item_id) WHERE w.user_id IN (SELECT user_id FROM rec_log) GROUP BY 1, 2", franchise=_FRANCHISE, rated_in="SELECT w.user_id, w.item_id, (w.score - m.mu) * w.w AS d, franchise_id FROM weighted w JOIN user_mean m USING (user_id) JOIN franchise USING (item_id)"))
 def user_features(t: Tables) -> DataFrame:
     pairs, dev = t.rec_log.select("user_id", "item_id").distinct(), _dev(t)
+    dev = staged(dev.join(pairs.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id", "d", "w"))
     cosine = text.vector_affinity(pairs, affinity.taste_vector(dev, t.tag_vector), t.tag_vector)
-    rows = usermodel.user_features(pairs, affinity.rec_affinity(dev, t.rec_edge), affinity.franchise_affinity(dev, _franchise(t)), cosine)
+    rows = usermodel.user_features(pairs, affinity.rec_affinity(dev, t.rec_edge, pairs=pairs), affinity.franchise_affinity(dev, _franchise(t), pairs), cosine)
     return rows.select("user_id", "item_id", *r6("aff", "franchise_best"), "franchise_known", F.round("tag_cosine", 4).alias("tag_cosine"))
 
 
