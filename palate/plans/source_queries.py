@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import affinity, candidates, rerank, taste, text, usermodel
 from ..settings import Settings, deployed
-from ..sources import merge, payloads, scan
+from ..sources import merge, payloads, scan, session
 from ..sources.projection import Tables
 from .more_queries import _toplist
 from .oracle import oracle
@@ -147,7 +147,8 @@ def scale_words(t: Tables) -> DataFrame:
     "user_mean", "rec_log", "item", "item_staff", "tag_vector", cells="SELECT item_id, CAST(unnest(vec) AS DOUBLE) AS x, generate_subscripts(vec, 1) AS pos FROM tag_vector WHERE item_id IN (SELECT item_id FROM rated UNION SELECT item_id FROM rec_log)",
     taste="SELECT w.user_id, v.pos, sum((w.score - m.mu) * w.w * v.x) AS x FROM weighted w JOIN user_mean m USING (user_id) JOIN cells v USING (item_id) WHERE w.user_id IN (SELECT user_id FROM rec_log) GROUP BY 1, 2"))
 def user_rows(t: Tables) -> DataFrame:
-    pairs, dev = t.rec_log.select("user_id", "item_id").distinct(), _dev(t)
+    pairs = t.rec_log.select("user_id", "item_id").distinct()
+    dev = session.staged(_dev(t).join(pairs.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id", "d", "w"))
     cosine = text.vector_affinity(pairs, affinity.taste_vector(dev, t.tag_vector), t.tag_vector)
     rows = usermodel.user_rows(pairs, t.item.select("item_id", "title"), cosine, affinity.staff_affinity(pairs, dev, t.item_staff))
     return rows.select("user_id", "item_id", "title", *r6("staff_aff"), F.round("tag_cosine", 4).alias("tag_cosine"))
